@@ -7,17 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe import fixed_values as fv
-from gradeframe.functions.text import sentence_count, strip
+from gradeframe.functions.text import let, sentence_count, strip
 from gradeframe.spec import EvalSpec, column
 
 _STRICT = {"allowSingleQuotes": "false"}
 
 
 def braced_text(text: Column) -> Column:
-    """The text from the first ``{`` to the last ``}``, else NULL."""
-    first = F.instr(text, "{")
-    last = F.length(text) - F.length(F.substring_index(text, "}", -1))
-    return F.when((first > 0) & (last > first), F.substring(text, first, last - first + 1))
+    """The text from the first ``{`` to the last ``}``, empty when there is none.
+
+    Anchored and possessive up to the first brace, so linear in the text.
+    """
+    return F.regexp_extract(text, r"(?s)^[^{]*+(\{.*\})", 1)
 
 
 def extract_json_object(text: Column, answer_keys: Sequence[str] = (fv.JSON_ANSWER,)) -> Column:
@@ -28,31 +29,32 @@ def extract_json_object(text: Column, answer_keys: Sequence[str] = (fv.JSON_ANSW
     in an array before a closing element that carries a hash of the text:
     only if that element comes second was the whole text read as one value.
     """
-    body = braced_text(text)
-    seal = F.xxhash64(body).cast("string")
     names = [*answer_keys, fv.JSON_LABELS]
-    fields = [f"`{n}` string" for n in answer_keys] + [f"`{fv.JSON_LABELS}` array<string>"]
-    seal_key = next(k for k in ("seal", "seal_", "seal__") if k not in names)
-    elements = F.from_json(
-        F.concat(F.lit("["), body, F.lit(f',{{"{seal_key}":"'), seal, F.lit('"}]')),
-        f"array<struct<{', '.join(fields)}, {seal_key} string>>",
-        _STRICT,
-    )
-    whole = (F.size(elements) == 2) & (F.get(elements, F.lit(1))[seal_key] == seal)
-    value = F.get(elements, F.lit(0))
-    return F.when(whole, F.struct(*[value[n].alias(n) for n in names]))
+    seal = next(name for name in ("seal", "seal_", "seal__") if name not in names)
+    fields = [f"`{name}` string" for name in answer_keys]
+    fields += [f"`{fv.JSON_LABELS}` array<string>", f"{seal} string"]
+
+    def parse(body: Column) -> Column:
+        mark = F.xxhash64(body).cast("string")
+        sealed = F.concat(F.lit("["), body, F.lit(f',{{"{seal}":"'), mark, F.lit('"}]'))
+        elements = F.from_json(sealed, f"array<struct<{', '.join(fields)}>>", _STRICT)
+        whole = F.filter(
+            F.array(elements), lambda e: (F.size(e) == 2) & (F.get(e, F.lit(1))[seal] == mark)
+        )
+        return F.get(F.get(whole, F.lit(0)), F.lit(0))
+
+    return let(braced_text(text), lambda body: F.when(body != "", parse(body)))
 
 
 def answer_letter(value: Column) -> Column:
     """Stripped, upper-cased value if it is an answer letter, else NULL."""
-    letter = F.upper(strip(value))
-    return F.when(letter.isin(*fv.ANSWER_LETTERS), letter)
+    letters = F.create_map(*[F.lit(letter) for pair in zip(fv.ANSWER_LETTERS, fv.ANSWER_LETTERS) for letter in pair])
+    return F.try_element_at(letters, F.upper(strip(value)))
 
 
 def answer_from_text(text: Column) -> Column:
     """Letter of the first ``Answer: X`` in any case, upper-cased."""
-    found = F.regexp_extract(text, fv.ANSWER_MARK, 1)
-    return F.upper(F.nullif(found, F.lit("")))
+    return answer_letter(F.regexp_extract(text, fv.ANSWER_MARK, 1))
 
 
 def labels_from_text(text: Column) -> Column:
@@ -70,8 +72,11 @@ def clean_labels(labels: Column, n_sentences: Column) -> Column:
         name = strip(label)
         return F.when(name.isin(*fv.RELEVANCE_LABELS), name)
 
-    return F.when(F.size(labels) == n_sentences, F.transform(labels, known)).otherwise(
-        F.array().cast("array<string>")
+    return let(
+        labels,
+        lambda found: F.when(F.size(found) == n_sentences, F.transform(found, known)).otherwise(
+            F.array().cast("array<string>")
+        ),
     )
 
 

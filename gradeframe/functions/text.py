@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from string import Formatter
 
 from pyspark.sql import Column, functions as F
@@ -18,6 +19,15 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(fv.WHITE_SPACE))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used.
+
+    A projection alone does not ensure that: a filter above it gets a copy of
+    the whole expression for every mention.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def prompt_text(cell: Column) -> Column:
     """A cell as it enters a prompt: stripped text, or ``nan`` when missing."""
     return F.coalesce(strip(cell.cast("string")), F.lit(fv.MISSING_TEXT))

@@ -61,10 +61,11 @@ def accuracy(df: DataFrame, answer_col: str, gold_col: str, by: str | None = Non
     A group without a valid answer does not appear.
     """
     answer = column(answer_col)
-    correct, valid = F.count_if(is_correct(answer, column(gold_col))), F.count(F.lit(1))
-    return _grouped(df.where(is_valid_answer(answer)), by).agg(
+    correct, valid = F.count_if(is_correct(answer, column(gold_col))), F.count_if(is_valid_answer(answer))
+    rows = _grouped(df, by).agg(
         correct.alias("correct"), valid.alias("valid"), ratio(correct, valid).alias("accuracy")
     )
+    return rows.where(F.col("valid") > 0) if by else rows
 
 
 def answer_metrics(df: DataFrame, answer_col: str, gold_col: str, by: str) -> DataFrame:

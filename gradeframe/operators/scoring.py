@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from gradeframe import fixed_values as fv
@@ -13,6 +16,10 @@ from gradeframe.functions.text import render_prompt
 from gradeframe.operators.resume import attach_responses, with_reply
 from gradeframe.spec import EvalSpec, column
 
+# What the responder task needs of this package travels with the task, so the
+# package need not be installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules["gradeframe"])
+
 Respond = Callable[[list[str]], Sequence[str | None]]
 MakeResponder = Callable[[EvalSpec], Respond]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -124,7 +125,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the folder the cluster shares for checkpoints."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.gettempdir()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -1,0 +1,141 @@
+"""Response parsing: strict JSON, fallbacks, label cleaning."""
+
+import json
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from gradeframe import (
+    EvalSpec, Question, answer_from_text, answer_letter, clean_labels, extract_json_object,
+    labels_from_text, parse_multi, parse_single, sentence_count,
+)
+
+H, L, I = "High Relevance", "Low Relevance", "Irrelevant"
+
+JSON_CASES = [
+    '{"Answer":"A"}', '{"Answer":"A"} junk }', '{"Answer": "A"}] or [{"Answer": "B"}', '{"Answer":"A"},{"Answer":"B"}',
+    '{"Answer":"A",}', "{'Answer':'A'}", '{"Answer":"A"', 'no braces', '} {', '{', '', '{}',
+    '{"Answer":"A","Sentence_Relevance":"x"}', '{"Answer":"A","Answer":"B"}', '{"Answer":1}', '{"Answer":null}',
+    '{"Answer":["A"]}', '{"Answer":{"x":"A"}}', '{"x":{"Answer":"A"}}', '{"Answer":"A","x":NaN}',
+    '{"Answer":"A","Sentence_Relevance":["High Relevance",null,1,{"a":1},[2],true]}', '{"a":"\t"}', '{"a":"x\ny"}',
+    '{"Answer":"A","x":01}', '{"Answer":"A","x":"\\q"}', '{"Answer":"A"}, {"seal":"1"}] {}', '{"Answer":"A","x":"é\\u0041"}',
+    '{"Answer":"A","x":.5}', '{"Answer":"A","x":1.}', '{"Answer":"A","Sentence_Relevance":{"a":1}}',
+    '{"Answer":"A"/*c*/}', '{Answer:"A"}', '{"Answer":"A"}}', '{{"Answer":"A"}}', '{"answer":"A"}',
+    '{"Answer":"A","Sentence_Relevance":[]}', '{"Answer":"A","Sentence_Relevance":null}', '{"Answer":"\\u0041"}',
+    'x {"Answer":"A","x":{"y":[1,2,{"z":"}"}]}} y', '{"Answer":"A"}\n\n', '[{"Answer":"A"}]', '{"seal":"A","Answer":"B"}',
+    '{"Answer":"A"}' + " " * 5000 + "}", "{" * 3000,
+]
+
+
+def python_read(text):
+    """What json.loads makes of the text between the outer braces."""
+    first, last = text.find("{"), text.rfind("}")
+    if first < 0 or last < first:
+        return None
+    try:
+        return json.loads(text[first:last + 1])
+    except json.JSONDecodeError:
+        return None
+
+
+def test_strict_json_reads_what_python_reads(spark):
+    df = spark.createDataFrame(list(enumerate(JSON_CASES)), "i int, t string")
+    rows = df.select("i", "t", extract_json_object(F.col("t")).alias("o")).orderBy("i").collect()
+    for row in rows:
+        want = python_read(row.t)
+        assert (row.o is None) == (want is None), row.t
+        if want is None:
+            continue
+        answer, listed = want.get("Answer"), want.get("Sentence_Relevance")
+        if isinstance(answer, str):
+            assert row.o.Answer == answer, row.t
+        elif answer is None:
+            assert row.o.Answer is None
+        else:
+            assert row.o.Answer not in set("ABCDEFGHIJ")
+        if isinstance(listed, list):
+            assert len(row.o.Sentence_Relevance) == len(listed)
+            for got, elem in zip(row.o.Sentence_Relevance, listed):
+                assert got == elem if isinstance(elem, str) else got not in (H, L, I)
+        else:
+            assert row.o.Sentence_Relevance is None, row.t
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet='{}[]",:A1 \\', max_size=14), min_size=60, max_size=60))
+def test_strict_json_on_random_text(spark, texts):
+    bodies = ['{"Answer":"A"' + t + "}" for t in texts]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, t string")
+    rows = df.select("t", extract_json_object(F.col("t")).alias("o")).collect()
+    for row in rows:
+        assert (row.o is None) == (python_read(row.t) is None), row.t
+
+
+def test_answer_letter(spark):
+    cases = ["A", " j ", "b ", "K", "", None, "AB", "1", "ı"]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, v string")
+    got = [r.o for r in df.select("i", answer_letter(F.col("v")).alias("o")).orderBy("i").collect()]
+    assert got == ["A", "J", "B", None, None, None, None, None, "I"]
+
+
+@pytest.mark.parametrize("text,letter", [
+    ("Answer: B", "B"), ("the ANSWER:\n c.", "C"), ("Answer: a patient", "A"), ("Answer: K", None),
+    ('"Answer": "B"', None), ("myAnswer: B", None), ("Answer: BC Answer: D", "D"), ("Answer:J", "J"),
+    ("Answer: Bé", None), ("Answer:\x1c D", "D"), ("", None), (None, None),
+])
+def test_answer_from_text(spark, text, letter):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(answer_from_text(F.col("t")).alias("o")).first().o == letter
+
+
+def test_labels_from_text(spark):
+    df = spark.createDataFrame([("[high relevance] [IRRELEVANT][Low relevance] [other] Irrelevant",)], "t string")
+    assert df.select(labels_from_text(F.col("t")).alias("o")).first().o == [H, I, L]
+
+
+def test_clean_labels_keeps_unknown_in_place(spark):
+    df = spark.createDataFrame([([f" {H}\t", "what", None, I], 4), ([H], 2), (None, 0), ([], 0)], "l array<string>, n int")
+    got = [r.o for r in df.select(clean_labels(F.col("l"), F.col("n")).alias("o")).collect()]
+    assert got == [[H, None, None, I], [], [], []]
+
+
+SINGLE_CASES = [
+    # sentences, response, max_sentences, answer, labels
+    ("S1: a S2: b", f'{{"Answer": " b ", "Sentence_Relevance": ["{H}", "{I}"]}}', 30, "B", [H, I]),
+    # Only unknown labels, right number: no fallback to the marks.
+    ("S1: a", f'{{"Answer": "A", "Sentence_Relevance": ["[{H}]"]}} ', 30, "A", [None]),
+    # Wrong number: the marks are taken.
+    ("S1: a", f'[{L}] {{"Answer": "A", "Sentence_Relevance": ["{H}", "{H}"]}}', 30, "A", [L]),
+    # The number must fit before the cut.
+    ("S1: a S2: b S3: c", f'{{"Answer": "A", "Sentence_Relevance": ["{H}", "{I}", "{L}"]}}', 2, "A", [H, I]),
+    ("S1: a S2: b", f'{{"Answer": "Z", "Sentence_Relevance": ["{H}"]}} Answer: C', 30, "C", []),
+    ("S1: a S2: b", "I will not say.", 30, None, []),
+    ("S1: a", None, 30, None, []),
+    ("no marks", '{"Answer": "D", "Sentence_Relevance": []}', 30, "D", []),
+    (None, '{"Answer": "D"}', 30, "D", []),
+]
+
+
+@pytest.mark.parametrize("sentences,response,cut,answer,labels", SINGLE_CASES)
+def test_parse_single(spark, sentences, response, cut, answer, labels):
+    df = spark.createDataFrame([(sentences, response)], "s string, r string")
+    row = parse_single(df, F.col("r"), sentence_count(F.col("s")), cut).first()
+    assert (row.LLM_answer, row.labels) == (answer, labels)
+
+
+def test_parse_multi_has_no_text_fallback(spark):
+    rows = [
+        ("S1: a", f'{{"Q 1": "a", "Q.2": "x", "Sentence_Relevance": ["{L}"]}}'),
+        ("S1: a", f"Answer: B [{H}]"), ("S1: a", '{"Q.2": "J "'), ("S1: a", '{"Q.2": "J "}'),
+    ]
+    df = spark.createDataFrame(rows, "s string, r string")
+    got = parse_multi(df, F.col("r"), ["Q 1", "Q.2"], sentence_count(F.col("s")), 30).collect()
+    assert [(r["Q 1"], r["Q.2"], r["labels"]) for r in got] == [
+        ("A", None, [L]), (None, None, []), (None, None, []), (None, "J", []),
+    ]
+
+
+def test_spec_targets():
+    assert EvalSpec(gold_col="g").answer_columns == ["LLM_answer"]
+    assert EvalSpec(questions=(Question("x"), Question("y", "gy"))).answer_columns == ["x", "y"]

@@ -27,9 +27,10 @@ WHITE_SPACE = (
 )
 
 # Java patterns. (?U) makes \b, \d and \s follow Unicode; \x1c-\x1f are white
-# space in Python but not in Java.
-SENTENCE_MARK = r"(?U)(?:\bS\d+[\s\x1c-\x1f]*:|\b\d+\.)"
-ANSWER_MARK = r"(?iU)\bAnswer:[\s\x1c-\x1f]*([A-J])\b"
+# space in Python but not in Java. A look at the first character comes before
+# the word boundary, which is dear to test at every place.
+SENTENCE_MARK = r"(?U)(?=[S\d])\b(?:S\d+[\s\x1c-\x1f]*:|\d+\.)"
+ANSWER_MARK = r"(?iU)(?=a)\bAnswer:[\s\x1c-\x1f]*([A-J])\b"
 LABEL_MARK = r"(?iU)\[(High Relevance|Low Relevance|Irrelevant)\]"
 
 # z value of the 95 % interval.

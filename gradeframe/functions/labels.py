@@ -49,16 +49,15 @@ def label_share(valid: Column, label: str) -> Column:
 
 
 def majority_label(valid: Column) -> Column:
-    """Most frequent label; ties go to the one seen first; NULL when none."""
-    candidates = [
-        F.struct(
-            label_count(valid, label).alias("n"),
-            (-F.array_position(valid, label)).alias("first"),
-            F.lit(label).alias("label"),
-        )
-        for label in fv.RELEVANCE_LABELS
-    ]
-    return F.when(F.size(valid) > 0, F.array_max(F.array(*candidates))["label"])
+    """Most frequent label; ties go to the one seen first; NULL when none.
+
+    Of the labels that reach the highest count, the one at the lowest position.
+    """
+    most = F.greatest(*[label_count(valid, label) for label in fv.RELEVANCE_LABELS])
+    first = F.least(*[
+        F.when(label_count(valid, label) == most, F.array_position(valid, label)) for label in fv.RELEVANCE_LABELS
+    ])
+    return F.get(valid, (first - 1).cast("int"))
 
 
 def share_name(label: str) -> str:

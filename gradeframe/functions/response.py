@@ -46,10 +46,14 @@ def extract_json_object(text: Column, answer_keys: Sequence[str] = (fv.JSON_ANSW
     return let(braced_text(text), lambda body: F.when(body != "", parse(body)))
 
 
+def _if_one_of(value: Column, allowed: Sequence[str]) -> Column:
+    """The value if it is allowed, else NULL. A lookup names the value once."""
+    return F.try_element_at(F.create_map(*[F.lit(v) for name in allowed for v in (name, name)]), value)
+
+
 def answer_letter(value: Column) -> Column:
     """Stripped, upper-cased value if it is an answer letter, else NULL."""
-    letters = F.create_map(*[F.lit(letter) for pair in zip(fv.ANSWER_LETTERS, fv.ANSWER_LETTERS) for letter in pair])
-    return F.try_element_at(letters, F.upper(strip(value)))
+    return _if_one_of(F.upper(strip(value)), fv.ANSWER_LETTERS)
 
 
 def answer_from_text(text: Column) -> Column:
@@ -69,8 +73,7 @@ def clean_labels(labels: Column, n_sentences: Column) -> Column:
     A wrong number gives an empty array; an unknown label gives NULL in place.
     """
     def known(label: Column) -> Column:
-        name = strip(label)
-        return F.when(name.isin(*fv.RELEVANCE_LABELS), name)
+        return _if_one_of(strip(label), fv.RELEVANCE_LABELS)
 
     return let(
         labels,

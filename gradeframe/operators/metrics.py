@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe import fixed_values as fv
-from gradeframe.functions.labels import label_share, majority_label, valid_labels
+from gradeframe.functions.labels import label_count, majority_label, valid_labels
 from gradeframe.functions.predicates import is_correct, is_refused, is_valid_answer
 from gradeframe.spec import column
 
@@ -107,11 +107,14 @@ def headline(df: DataFrame, answer_col: str, gold_col: str | None = None) -> Dat
 
 
 def label_facts(labels: Column) -> Column:
-    """Majority label and label shares of a row; shares NULL without labels."""
+    """Majority label and label shares of a row; all NULL without labels.
+
+    Free of conditions, so that the counts are shared within the projection.
+    """
     return F.struct(
         majority_label(labels).alias("majority"),
         *[
-            F.when(F.size(labels) > 0, label_share(labels, name)).alias(f"share_{i}")
+            ratio(label_count(labels, name), F.size(labels)).alias(f"share_{i}")
             for i, name in enumerate(fv.RELEVANCE_LABELS)
         ],
     )

@@ -17,6 +17,11 @@ from gradeframe.spec import column, has_column
 _KEY = "_done_id"
 
 
+def distinct_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """The ids of a table as text, each once (column ``id``)."""
+    return df.where(column(id_col).isNotNull()).select(column(id_col).cast("string").alias("id")).distinct()
+
+
 def processed_ids(existing: DataFrame, id_col: str, retry_errors: bool = False) -> DataFrame:
     """Distinct ids, as text, of rows already there (column ``id``).
 
@@ -24,20 +29,26 @@ def processed_ids(existing: DataFrame, id_col: str, retry_errors: bool = False)
     """
     if retry_errors and has_column(existing, fv.ERROR):
         existing = existing.where(F.col(fv.ERROR).isNull())
-    return existing.where(column(id_col).isNotNull()).select(column(id_col).cast("string").alias("id")).distinct()
+    return distinct_ids(existing, id_col)
 
 
 def pending(
-    items: DataFrame, existing: DataFrame | None, id_col: str | None, retry_errors: bool = False
+    items: DataFrame, existing: DataFrame | None, id_col: str | None, retry_errors: bool = False,
+    scratch: str | None = None,
 ) -> DataFrame:
     """The items whose id is not in the existing results.
 
     Without an id column nothing is skipped; a missing id is never skipped;
     repeated ids in the input are all kept or all skipped.
+
+    The ids that are in both tables are worked out first, from the id columns
+    alone, and staged. They are no more than the smaller table has: a few new
+    items against a large table of results are then filtered by broadcast.
     """
     if existing is None or not has_column(existing, id_col):
         return items
-    done = staged(processed_ids(existing, id_col, retry_errors).withColumnRenamed("id", _KEY), "done-ids")
+    done = processed_ids(existing, id_col, retry_errors).join(distinct_ids(items, id_col), "id", "left_semi")
+    done = staged(done.select(F.col("id").alias(_KEY)), "done-ids", scratch)
     named = items.where(column(id_col).isNotNull())
     left = named.join(done, column(id_col).cast("string") == F.col(_KEY), "left_anti")
     return left.unionByName(items.where(column(id_col).isNull()))
@@ -50,9 +61,10 @@ def attach_responses(
     """Add the recorded response of each item: ``Raw_Response`` and ``error``.
 
     Of several responses to an id the one with the highest attempt is taken
-    (the greatest text where attempts tie or there are none). ``unique`` says
-    that ids do not repeat, which saves that aggregation. An item without a
-    response becomes an error row.
+    (the greatest text where attempts tie or there are none); they are reduced
+    to one per id before they are joined. ``unique`` says that ids do not
+    repeat, which saves that step. An item without a response becomes an error
+    row.
     """
     recorded = responses.where(column(id_col).isNotNull()).select(
         column(id_col).cast("string").alias(_KEY),
@@ -61,7 +73,9 @@ def attach_responses(
     )
     if not unique:
         best = F.max(F.struct("_attempt", "_text"))["_text"]
-        recorded = staged(recorded.groupBy(_KEY).agg(best.alias("_text")), "responses")
+        wanted = distinct_ids(items, id_col).withColumnRenamed("id", _KEY)
+        one_each = recorded.groupBy(_KEY).agg(best.alias("_text")).join(wanted, _KEY, "left_semi")
+        recorded = staged(one_each, "responses")
     named = items.where(column(id_col).isNotNull())
     joined = named.join(
         recorded.select(_KEY, "_text"), column(id_col).cast("string") == F.col(_KEY), "left"

@@ -82,10 +82,9 @@ def score(
     how many responders work at a time, at the price of a shuffle.
     """
     _check_free(items, spec)
-    asked = with_prompt(items, spec, "_prompt")
     if partitions:
-        asked = asked.repartition(partitions)
-    asked = asked.withColumn("_reply", responder_udf(make_responder, spec, batch_rows)("_prompt"))
+        items = items.repartition(partitions)
+    asked = with_prompt(items, spec, "_prompt").withColumn("_reply", responder_udf(make_responder, spec, batch_rows)("_prompt"))
     replied = with_reply(asked, F.col("_reply")["text"], F.col("_reply")["problem"])
     return parse_responses(replied.drop("_prompt", "_reply"), spec)
 

@@ -68,7 +68,7 @@ def _totals(results: DataFrame, spec: EvalSpec) -> DataFrame:
     )
     # Grouping sets give no overall row for an empty table; a row of zeros does.
     counts = [n for n in aggregates if not n.startswith(("mean_", "std_"))]
-    zero = results.sparkSession.range(1).select(
+    zero = results.sparkSession.range(0, 1, 1, 1).select(
         F.lit(True).alias("is_overall"), F.lit(None).cast(facts.schema["grp"].dataType).alias("grp"),
         *[(F.lit(0).cast("long") if n in counts else F.lit(None).cast("double")).alias(n) for n in aggregates],
     )

@@ -131,13 +131,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     What is read has a known size, so Spark's broadcast decision rests on it,
     and a join with it shuffles straight from the scan, which is the form in
-    which adaptive execution can split a hot key of the other side.
+    which adaptive execution can split a hot key of the other side. A caller
+    that stages again and again gives a ``path``, which is written over.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path = path or scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

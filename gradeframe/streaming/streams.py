@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from gradeframe.operators.metrics import answer_metrics
 from gradeframe.operators.resume import pending
-from gradeframe.sources.tables import existing_results
+from gradeframe.sources.tables import existing_results, scratch_path
 from gradeframe.spec import EvalSpec
 
 _STREAM, _BATCH = "stream", "batch_id"
@@ -48,20 +48,16 @@ def stream_score(
     ``lambda todo: score(todo, spec, make_responder)``. Start the writer with
     the trigger of your choice.
     """
-    if not re.fullmatch(r"[\w.-]+", stream_name):
-        raise ValueError("stream_name becomes a folder name: letters, digits, _ . - only")
+    if not re.fullmatch(r"[A-Za-z][\w.-]*", stream_name):
+        raise ValueError("stream_name becomes a folder name: a letter, then letters, digits, _ . - only")
+    scratch = scratch_path(items.sparkSession, "done-ids")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        scored = scorer(batch)
-        with_keys = StructType(scored.schema.fields + [
-            StructField(_STREAM, StringType()), StructField(_BATCH, LongType()),
-        ])
-        there = existing_results(spark, path, with_keys)
+        there = existing_results(batch.sparkSession, path)
         if there is not None:
             others = there.where((F.col(_STREAM) != stream_name) | (F.col(_BATCH) != batch_id))
-            scored = scorer(pending(batch, others, spec.id_col))
-        scored.write.mode("overwrite").parquet(f"{path}/{_STREAM}={stream_name}/{_BATCH}={batch_id}")
+            batch = pending(batch, others, spec.id_col, scratch=scratch)
+        scorer(batch).write.mode("overwrite").parquet(f"{path}/{_STREAM}={stream_name}/{_BATCH}={batch_id}")
 
     return items.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
 

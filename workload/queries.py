@@ -628,7 +628,7 @@ def stream_score(spark, sf_dir):
         items.write.mode("append").parquet(f"{root}/in")
         gf.stream_score(
             gf.read_stream(spark, f"{root}/in", items.schema), t.SPEC,
-            lambda todo: gf.score_recorded(todo, recorded, t.SPEC),
+            lambda todo: gf.score_recorded(todo, recorded, t.SPEC, unique=True),
             f"{root}/out", f"{root}/progress", "items",
         ).trigger(availableNow=True).start().awaitTermination()
     return gf.read_stream_results(spark, f"{root}/out").select(

@@ -158,7 +158,7 @@ def error_rows(spark, sf_dir):
 
 @query("resume_pending", t.FIXTURE_SQL + """
 , i as (select *, case when row_id % 11 = 0 then null else row_id // 2 end as item_id from fx)
-select row_id, item_id, question_options from i
+select row_id, cast(item_id as varchar) as item_id, question_options from i
 where item_id is null or not exists (select 1 from labels l where l.doc_id = item_id)""")
 def resume_pending(spark, sf_dir):
     """Items with repeated and missing ids; done are the ids of ``labels``."""
@@ -166,7 +166,8 @@ def resume_pending(spark, sf_dir):
         "item_id", F.when(F.col("row_id") % 11 != 0, F.expr("row_id div 2"))
     )
     done = t.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "item_id")
-    return gf.pending(items, done, "item_id").select("row_id", "item_id", "question_options")
+    left = gf.pending(items, done, "item_id")
+    return left.select("row_id", F.col("item_id").cast("string").alias("item_id"), "question_options")
 
 
 @query("attach_responses", t.FIXTURE_SQL + f"""
@@ -352,14 +353,20 @@ m as (
 
 
 _ROUNDED_METRICS = """
-select * replace (round(value, 9) as value, round(std, 9) as std, round(ci_low, 9) as ci_low, round(ci_high, 9) as ci_high) from mt"""
+select * replace (coalesce(question_no, -1) as question_no, coalesce(label_no, -1) as label_no, round(value, 9) as value, round(std, 9) as std, round(ci_low, 9) as ci_low, round(ci_high, 9) as ci_high) from mt"""
 
 _SINGLE = "select 0 as question_no, 'LLM_answer' as question, grp, ok, correct, majority from done"
 
 
+def shown_metrics(metrics: DataFrame) -> DataFrame:
+    """Rounded, with -1 for "no question" and "no label"."""
+    numbers = {n: F.coalesce(F.col(n), F.lit(-1)) for n in ("question_no", "label_no")}
+    return rounded(metrics.withColumns(numbers))
+
+
 @query("metrics_table", t.RESULTS_SQL + _metrics_sql("done", _SINGLE, True) + _ROUNDED_METRICS)
 def metrics_table(spark, sf_dir):
-    return rounded(gf.evaluate(t.results(spark, sf_dir), t.SPEC))
+    return shown_metrics(gf.evaluate(t.results(spark, sf_dir), t.SPEC))
 
 
 # The two questions of a multi response; labels and majority as in ``done``.
@@ -394,7 +401,7 @@ select 1, 'Q2', grp, q2 is not null, coalesce(q2 = q2_gold, false), majority fro
 
 @query("question_metrics", _MULTI_SQL + _metrics_sql("mdone", _TWO, False) + _ROUNDED_METRICS)
 def question_metrics(spark, sf_dir):
-    return rounded(gf.question_metrics(t.multi_results(spark, sf_dir), t.MULTI_SPEC))
+    return shown_metrics(gf.question_metrics(t.multi_results(spark, sf_dir), t.MULTI_SPEC))
 
 
 _F4 = "printf('%.4f', {})"

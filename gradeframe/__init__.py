@@ -22,7 +22,7 @@ from gradeframe.plans.evaluate import evaluate, question_metrics, report_lines
 from gradeframe.plans.jobs import run_all, run_evaluation, run_recorded, run_scoring
 from gradeframe.sources.tables import (
     append_results, bind_roles, existing_results, normalize_missing, preview, read_items,
-    read_results, read_table, write_report, write_summary,
+    read_results, read_table, write_report, write_summary, write_table,
 )
 from gradeframe.spec import EvalSpec, Question
 from gradeframe.streaming.streams import (

@@ -101,14 +101,19 @@ def bind_roles(df: DataFrame, spec: EvalSpec) -> DataFrame:
     return df.select(*[column(n).alias(role) for role, n in roles.items() if n])
 
 
-def write_summary(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write the per-row summary, as parquet or as CSV with a header."""
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """Write parquet, or CSV with a header that ``read_table`` reads back."""
     if fmt == "csv":
         flags = [f.name for f in df.schema.fields if isinstance(f.dataType, BooleanType)]
         df = df.withColumns({n: F.initcap(column(n).cast("string")) for n in flags})
-        df.write.mode("overwrite").options(**_CSV).csv(path)
+        df.write.mode(mode).options(**_CSV).csv(path)
     else:
-        df.write.mode("overwrite").format(fmt).save(path)
+        df.write.mode(mode).format(fmt).save(path)
+
+
+def write_summary(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write the per-row summary in place of an earlier one."""
+    write_table(df, path, fmt)
 
 
 def write_report(lines: DataFrame, path: str) -> None:

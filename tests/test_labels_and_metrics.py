@@ -230,3 +230,19 @@ def test_sums_fit(spark, rows):
     assert overall.total == len(rows) and overall.n + valid == len(rows)
     groups = gf.refusal_rate(df, "LLM_answer", "grp").collect()
     assert sum(g.total for g in groups) == sum(r[0] is not None for r in rows)
+
+
+def test_many_questions(spark):
+    """More aggregates than generated code takes in one operator."""
+    n = 25
+    names = [f"q{i}" for i in range(n)]
+    rows = [tuple(["ABCDEFGHIJ"[(r + i) % 10] if (r * i) % 3 else None for i in range(n)] + ["A", f"g{r % 2}"]) for r in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in [*names, "gold", "grp"]))
+    spec = EvalSpec(group_col="grp", questions=tuple(Question(name, "gold") for name in names))
+    got = gf.question_metrics(df, spec).where("section in ('refusal', 'accuracy') and scope = 'overall'").collect()
+    assert len(got) == 2 * n
+    for row in got:
+        answers = [r[row.question_no] for r in rows]
+        valid = [a for a in answers if a]
+        want = (len(answers) - len(valid), len(answers)) if row.section == "refusal" else (valid.count("A"), len(valid))
+        assert (row.n, row.total) == want

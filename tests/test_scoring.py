@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import gradeframe as gf
 from gradeframe import EvalSpec
 from gradeframe.operators.resume import settled_results
+from gradeframe.sources.tables import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,8 +36,7 @@ def ids(df):
 
 def test_csv_round_trip(spark, tmp_path):
     rows = [("1", 'two\nlines, "quoted"', " padded ", "NA"), ("007", "x", "None", "A")]
-    spark.createDataFrame(rows, "id string, s string, o string, gold string").write.options(
-        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(str(tmp_path / "c"))
+    gf.write_table(spark.createDataFrame(rows, "id string, s string, o string, gold string"), str(tmp_path / "c"), "csv")
     got = gf.read_items(spark, str(tmp_path / "c"), "csv")
     assert sorted(tuple(r) for r in got.collect()) == [
         ("007", "x", None, "A"), ("1", 'two\nlines, "quoted"', " padded ", None)]
@@ -190,3 +190,35 @@ def test_stream_survives_a_failure_between_write_and_commit(spark, tmp_path, mon
 def test_stream_name_is_checked(spark, tmp_path):
     with pytest.raises(ValueError, match="stream_name"):
         gf.stream_score(spark.range(1), SPEC, lambda d: d, str(tmp_path), str(tmp_path), "a/b")
+
+
+def test_scratch_goes_to_the_shared_folder(spark, monkeypatch):
+    class Conf:
+        shared = "hdfs://shared/x/"
+
+        def get(self, key, default):
+            assert key == "spark.checkpoint.dir"
+            return self.shared
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "yarn"
+
+    assert scratch_path(Session, "a").startswith("hdfs://shared/x/a-")
+    assert scratch_path(Session, "a") != scratch_path(Session, "a")
+    Conf.shared = None
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Session, "a")
+    Session.sparkContext.master = "local[2]"
+    assert "/a-" in scratch_path(Session, "a")
+
+
+def test_results_as_csv_and_back(spark, tmp_path):
+    rows = [("1", '{"Answer": "A"}\n"x"', "A", [H, None]), ("2", "", None, [])]
+    made = spark.createDataFrame(rows, "id string, Raw_Response string, LLM_answer string, labels array<string>")
+    gf.write_table(gf.labels_to_wide(made, 2), str(tmp_path / "c"), "csv")
+    back = {r.id: r for r in gf.read_results(spark, str(tmp_path / "c"), "csv").collect()}
+    assert (back["1"].Raw_Response, back["1"].LLM_answer, back["1"].labels) == ('{"Answer": "A"}\n"x"', "A", [H, None])
+    assert (back["2"].Raw_Response, back["2"].LLM_answer, back["2"].labels) == (None, None, [None, None])

@@ -52,9 +52,7 @@ def items_scan(spark, sf_dir):
     docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("note"))
     path = scratch_path(spark, "items-csv")
     made = t.items(spark, sf_dir).select("row_id", "sentences", "gold", "grp").join(docs, "row_id")
-    made.write.options(
-        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    ).csv(path)
+    gf.write_table(made, path, "csv")
     back = gf.read_items(spark, path, "csv")
     return back.withColumn("row_id", F.col("row_id").cast("long"))
 

@@ -48,7 +48,8 @@ def extract_json_object(text: Column, answer_keys: Sequence[str] = (fv.JSON_ANSW
 
 def _if_one_of(value: Column, allowed: Sequence[str]) -> Column:
     """The value if it is allowed, else NULL. A lookup names the value once."""
-    return F.try_element_at(F.create_map(*[F.lit(v) for name in allowed for v in (name, name)]), value)
+    pairs = ", ".join(f"'{name}', '{name}'" for name in allowed)
+    return F.try_element_at(F.expr(f"map({pairs})"), value)
 
 
 def answer_letter(value: Column) -> Column:

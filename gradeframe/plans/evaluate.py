@@ -34,23 +34,21 @@ def _facts(results: DataFrame, spec: EvalSpec) -> DataFrame:
 def _aggregates(facts: DataFrame, n_questions: int) -> dict[str, Column]:
     """Named aggregates over the facts; all of them can be merged by max with
     0 or NULL."""
-    out = {"total": F.count("present")}
+    sql = {"total": "count(present)"}
     for q in range(n_questions):
         if f"ok_{q}" not in facts.columns:
             continue
-        ok = F.col(f"ok_{q}")
-        out[f"valid_{q}"] = F.count_if(ok)
+        sql[f"valid_{q}"] = f"count_if(ok_{q})"
         if f"right_{q}" in facts.columns:
-            right = F.col(f"right_{q}")
-            out[f"correct_{q}"] = F.count_if(right)
-            for k, name in enumerate(fv.RELEVANCE_LABELS):
-                here = F.col("majority") == name
-                out[f"valid_{q}_{k}"] = F.count_if(ok & here)
-                out[f"correct_{q}_{k}"] = F.count_if(right & here)
+            sql[f"correct_{q}"] = f"count_if(right_{q})"
+            for k, label in enumerate(fv.RELEVANCE_LABELS):
+                sql[f"valid_{q}_{k}"] = f"count_if(ok_{q} and majority = '{label}')"
+                sql[f"correct_{q}_{k}"] = f"count_if(right_{q} and majority = '{label}')"
     for k in _LABEL_NUMBERS:
-        share = F.col(f"share_{k}")
-        out[f"n_{k}"], out[f"mean_{k}"], out[f"std_{k}"] = F.count(share), F.avg(share), F.stddev_samp(share)
-    return out
+        sql[f"n_{k}"], sql[f"mean_{k}"], sql[f"std_{k}"] = (
+            f"count(share_{k})", f"avg(share_{k})", f"stddev_samp(share_{k})"
+        )
+    return {name: F.expr(text) for name, text in sql.items()}
 
 
 def _totals(results: DataFrame, spec: EvalSpec) -> DataFrame:
@@ -70,9 +68,9 @@ def _totals(results: DataFrame, spec: EvalSpec) -> DataFrame:
     counts = [n for n in aggregates if not n.startswith(("mean_", "std_"))]
     zero = results.sparkSession.range(0, 1, 1, 1).select(
         F.lit(True).alias("is_overall"), F.lit(None).cast(facts.schema["grp"].dataType).alias("grp"),
-        *[(F.lit(0).cast("long") if n in counts else F.lit(None).cast("double")).alias(n) for n in aggregates],
+        *[F.expr(f"0L as {n}" if n in counts else f"cast(null as double) as {n}") for n in aggregates],
     )
-    return rows.unionByName(zero).groupBy("is_overall", "grp").agg(*[F.max(n).alias(n) for n in aggregates])
+    return rows.unionByName(zero).groupBy("is_overall", "grp").agg(*[F.expr(f"max({n}) as {n}") for n in aggregates])
 
 
 def evaluate(results: DataFrame, spec: EvalSpec) -> DataFrame:
@@ -86,41 +84,38 @@ def evaluate(results: DataFrame, spec: EvalSpec) -> DataFrame:
     the distribution ``n`` rows give the mean ``value``, ``std`` and interval.
     """
     totals = _totals(results, spec)
-    have = set(totals.columns)
-    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
-
-    def entry(q, section, n, total, value, k=None, std=no_number, low=no_number, high=no_number, keep=None):
-        return F.when(F.lit(True) if keep is None else keep, F.struct(
-            F.lit(q).cast("int").alias("question_no"),
-            (no_text if q is None else F.lit(spec.targets[q].name)).alias("question"),
-            F.lit(section).alias("section"),
-            F.lit(k).cast("int").alias("label_no"),
-            (no_text if k is None else F.lit(fv.RELEVANCE_LABELS[k])).alias("label"),
-            n.alias("n"), total.alias("total"), value.alias("value"),
-            std.alias("std"), low.alias("ci_low"), high.alias("ci_high"),
-        ))
-
-    total, entries = F.col("total"), []
+
+    def entry(question, section, n, total, label="null", mean="null", std="null"):
+        return (
+            f"struct(cast({question} as int) as question_no, '{section}' as section, cast({label} as int) as label_no, "
+            f"{n} as n, {total} as total, cast({mean} as double) as mean, cast({std} as double) as std)"
+        )
+
+    entries = []
     for q in range(len(spec.targets)):
-        if f"valid_{q}" not in have:
+        if f"valid_{q}" not in totals.columns:
             continue
-        valid = F.col(f"valid_{q}")
-        entries.append(entry(q, "refusal", total - valid, total, ratio(total - valid, total)))
-        if f"correct_{q}" not in have:
+        entries.append(entry(q, "refusal", f"total - valid_{q}", "total"))
+        if f"correct_{q}" not in totals.columns:
             continue
-        correct = F.col(f"correct_{q}")
-        # A group without a valid answer has no accuracy.
-        entries.append(entry(q, "accuracy", correct, valid, ratio(correct, valid),
-                             keep=F.col("is_overall") | (valid > 0)))
-        for k in _LABEL_NUMBERS:
-            c, t = F.col(f"correct_{q}_{k}"), F.col(f"valid_{q}_{k}")
-            entries.append(entry(q, "label_accuracy", c, t, ratio(c, t), k))
-    for k in _LABEL_NUMBERS:
-        n, mean, std = F.col(f"n_{k}"), F.col(f"mean_{k}"), F.col(f"std_{k}")
-        low, high = interval(mean, std, n)
-        entries.append(entry(None, "distribution", n, total, mean, k, std, low, high))
-    scope = F.when(F.col("is_overall"), "overall").otherwise("group").alias("scope")
-    return totals.select(scope, "grp", F.inline(F.array_compact(F.array(*entries))))
+        entries.append(entry(q, "accuracy", f"correct_{q}", f"valid_{q}"))
+        entries += [entry(q, "label_accuracy", f"correct_{q}_{k}", f"valid_{q}_{k}", k) for k in _LABEL_NUMBERS]
+    entries += [entry("null", "distribution", f"n_{k}", "total", k, f"mean_{k}", f"std_{k}") for k in _LABEL_NUMBERS]
+
+    rows = totals.select("is_overall", "grp", F.expr(f"inline(array({', '.join(entries)}))"))
+    # A group without a valid answer has no accuracy.
+    rows = rows.where("is_overall or section <> 'accuracy' or total > 0")
+    questions = F.array(*[F.lit(name) for name in spec.answer_columns])
+    labels = F.array(*[F.lit(name) for name in fv.RELEVANCE_LABELS])
+    n, std = F.col("n"), F.col("std")
+    value = F.when(F.col("section") == "distribution", F.col("mean")).otherwise(ratio(n, F.col("total")))
+    low, high = interval(F.col("mean"), std, n)
+    return rows.select(
+        F.when(F.col("is_overall"), "overall").otherwise("group").alias("scope"), "grp",
+        "question_no", F.get(questions, F.col("question_no")).alias("question"), "section",
+        "label_no", F.get(labels, F.col("label_no")).alias("label"),
+        "n", "total", value.alias("value"), "std", low.alias("ci_low"), high.alias("ci_high"),
+    )
 
 
 def question_metrics(results: DataFrame, spec: EvalSpec) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gradeframe import fixed_values as fv
 from gradeframe.operators.resume import pending
@@ -12,10 +13,12 @@ from gradeframe.operators.scoring import MakeResponder, score, score_recorded
 from gradeframe.operators.summary import row_summary
 from gradeframe.plans.evaluate import evaluate, report_lines
 from gradeframe.sources.tables import (
-    append_results, existing_results, read_results, write_report, write_summary,
+    append_results, existing_results, read_results, scratch_path, write_report, write_summary,
 )
 from gradeframe.spec import EvalSpec
 
+_SLICE = "_slice"
+
 
 @dataclass(frozen=True)
 class RunCounters:
@@ -26,35 +29,56 @@ class RunCounters:
     written: int
 
 
-def _append_counted(items: DataFrame, scored: DataFrame, results_path: str) -> RunCounters:
-    """Append and count in the same pass: the responder must not run twice."""
+def _append_counted(scored: DataFrame, results_path: str) -> tuple[int, int]:
+    """Append and count (rows, errors) in one pass: the responder must not run
+    a second time for the counts."""
     seen = Observation("scored")
     append_results(scored.observe(
         seen, F.count(F.lit(1)).alias("written"), F.count_if(F.col(fv.ERROR).isNotNull()).alias("errors"),
     ), results_path)
-    counts = seen.get
-    return RunCounters(items.count() - counts["errors"], counts["errors"], counts["written"])
+    return seen.get["written"], seen.get["errors"]
+
+
+def _slices(todo: DataFrame, n: int) -> list[DataFrame]:
+    """The rows staged in n parts of whole input partitions, to be read one
+    part at a time; no shuffle, and no id weighs on one part."""
+    path = scratch_path(todo.sparkSession, "slices")
+    todo.withColumn(_SLICE, F.spark_partition_id() % n).write.partitionBy(_SLICE).parquet(path)
+    schema = StructType([*todo.schema.fields, StructField(_SLICE, IntegerType())])
+    read = todo.sparkSession.read.schema(schema).parquet(path)
+    return [read.where(F.col(_SLICE) == k).drop(_SLICE) for k in range(n)]
 
 
 def run_scoring(
     items: DataFrame, spec: EvalSpec, make_responder: MakeResponder, results_path: str,
-    partitions: int | None = None, batch_rows: int = 64, retry_errors: bool = False,
+    partitions: int | None = None, batch_rows: int = 64, retry_errors: bool = False, slices: int = 1,
 ) -> RunCounters:
-    """Score the items that have no result yet and append their results."""
+    """Score the items that have no result yet and append their results.
+
+    One slice is one append: a run that dies before its end has written
+    nothing. With more ``slices`` each is appended when it is done, and a
+    re-run goes on after the last of them.
+    """
     existing = existing_results(items.sparkSession, results_path)
     todo = pending(items, existing, spec.id_col, retry_errors)
-    return _append_counted(items, score(todo, spec, make_responder, partitions, batch_rows), results_path)
+    written = errors = 0
+    for part in _slices(todo, slices) if slices > 1 else [todo]:
+        scored = score(part, spec, make_responder, partitions, batch_rows)
+        counts = _append_counted(scored, results_path)
+        written, errors = written + counts[0], errors + counts[1]
+    return RunCounters(items.count() - errors, errors, written)
 
 
 def run_recorded(
     items: DataFrame, responses: DataFrame, spec: EvalSpec, results_path: str,
-    response_col: str = "response", attempt_col: str | None = None,
+    response_col: str = "response", attempt_col: str | None = None, unique: bool = False,
 ) -> RunCounters:
     """The same with recorded responses in place of a responder."""
     existing = existing_results(items.sparkSession, results_path)
     todo = pending(items, existing, spec.id_col)
-    scored = score_recorded(todo, responses, spec, response_col, attempt_col)
-    return _append_counted(items, scored, results_path)
+    scored = score_recorded(todo, responses, spec, response_col, attempt_col, unique)
+    written, errors = _append_counted(scored, results_path)
+    return RunCounters(items.count() - errors, errors, written)
 
 
 def run_evaluation(

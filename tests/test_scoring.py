@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import gradeframe as gf
 from gradeframe import EvalSpec
 from gradeframe.operators.resume import settled_results
+from gradeframe.plans import jobs
 from gradeframe.sources.tables import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -110,6 +111,27 @@ def test_resume_equals_one_run(spark, tmp_path):
     assert third.written == 0
 
 
+def test_a_sliced_run_keeps_what_was_done_before_it_died(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "r")
+    items = items_of(spark, ["1", "2", "bad", "4", "5", "6", "7", "8"]).repartition(4)
+    plain, calls = jobs.append_results, []
+
+    def dying(df, where):
+        calls.append(where)
+        if len(calls) == 3:
+            raise RuntimeError("driver lost")
+        plain(df, where)
+
+    monkeypatch.setattr(jobs, "append_results", dying)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        gf.run_scoring(items, SPEC, make_responder, path, slices=3)
+    done = spark.read.parquet(path).count()
+    assert 0 < done < 8
+    again = gf.run_scoring(items, SPEC, make_responder, path, slices=3)
+    assert again.written == 8 - done
+    assert ids(spark.read.parquet(path)) == ["1", "2", "4", "5", "6", "7", "8", "bad"]
+
+
 def test_retry_replaces_error_rows(spark, tmp_path):
     path = str(tmp_path / "r")
     items = items_of(spark, ["1", "bad", "none"])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradeframe import fixed_values as fv
 from gradeframe.functions.labels import label_count, majority_label, valid_labels
 from gradeframe.functions.predicates import is_correct, is_refused, is_valid_answer
-from gradeframe.spec import column
+from gradeframe.spec import column, has_column
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -68,24 +68,30 @@ def accuracy(df: DataFrame, answer_col: str, gold_col: str, by: str | None = Non
     return rows.where(F.col("valid") > 0) if by else rows
 
 
-def answer_metrics(df: DataFrame, answer_col: str, gold_col: str, by: str) -> DataFrame:
+def answer_metrics(
+    df: DataFrame, answer_col: str, gold_col: str | None = None, by: str | None = None
+) -> DataFrame:
     """Refusal and accuracy, overall and per group, in one pass.
 
     ``scope`` tells the overall row from the groups; the accuracy of a group
-    without a valid answer is NULL.
+    without a valid answer is NULL. Without the gold column there is no
+    accuracy, without the group column no group.
     """
     answer = column(answer_col)
-    facts = df.select(
-        column(by).alias("grp"), is_valid_answer(answer).alias("ok"),
-        is_correct(answer, column(gold_col)).alias("right"),
-    )
-    refused, total = F.count_if(~F.col("ok")), F.count(F.lit(1))
-    correct, valid = F.count_if("right"), F.count_if("ok")
-    rows = facts.groupingSets([[], [F.col("grp")]], F.col("grp")).agg(
-        F.grouping("grp").alias("over_all"),
+    right = is_correct(answer, column(gold_col)) if has_column(df, gold_col) else F.lit(None).cast("boolean")
+    grouped = has_column(df, by)
+    group = column(by) if grouped else F.lit(None).cast("string")
+    facts = df.select(group.alias("grp"), is_valid_answer(answer).alias("ok"), right.alias("right"))
+    refused, total, valid = F.count_if(~F.col("ok")), F.count(F.lit(1)), F.count_if("ok")
+    correct = F.count_if("right") if has_column(df, gold_col) else F.lit(None).cast("long")
+    metrics = [
         refused.alias("refused"), total.alias("total"), ratio(refused, total).alias("refusal_rate"),
         correct.alias("correct"), valid.alias("valid"), ratio(correct, valid).alias("accuracy"),
-    )
+    ]
+    if not grouped:
+        rows = facts.agg(*metrics)
+        return rows.select(F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("grp"), *rows.columns)
+    rows = facts.groupingSets([[], [F.col("grp")]], F.col("grp")).agg(F.grouping("grp").alias("over_all"), *metrics)
     return rows.where((F.col("over_all") == 1) | F.col("grp").isNotNull()).select(
         F.when(F.col("over_all") == 1, "overall").otherwise("group").alias("scope"),
         *[n for n in rows.columns if n != "over_all"],
@@ -95,7 +101,7 @@ def answer_metrics(df: DataFrame, answer_col: str, gold_col: str, by: str) -> Da
 def headline(df: DataFrame, answer_col: str, gold_col: str | None = None) -> DataFrame:
     """Total rows, refusal rate and accuracy (NULL without a gold column)."""
     answer, total = column(answer_col), F.count(F.lit(1))
-    if gold_col in df.columns:
+    if has_column(df, gold_col):
         right = ratio(F.count_if(is_correct(answer, column(gold_col))), F.count_if(is_valid_answer(answer)))
     else:
         right = F.lit(None).cast("double")

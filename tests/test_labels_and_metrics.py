@@ -81,6 +81,8 @@ def test_answer_metrics_and_headline(results):
     got = rows_of(gf.answer_metrics(results, "LLM_answer", "gold", "grp"), "scope", "grp", "refused", "total", "correct", "valid", "accuracy")
     assert got == [("group", "x", 1, 3, 1, 2, 0.5), ("group", "y", 1, 2, 0, 1, 0.0),
                    ("group", "z", 2, 2, 0, 0, None), ("overall", None, 4, 8, 2, 4, 0.5)]
+    assert gf.answer_metrics(results, "LLM_answer", "absent", "absent").collect() == [("overall", None, 4, 8, 0.5, None, 4, None)]
+    assert gf.answer_metrics(results, "LLM_answer", None, "grp").where("grp = 'x'").first()[2:] == (1, 3, 1 / 3, None, 2, None)
     assert gf.headline(results, "LLM_answer", "gold").first() == (8, 0.5, 0.5)
     assert gf.headline(results, "LLM_answer", "absent").first() == (8, 0.5, None)
 

@@ -93,20 +93,20 @@ def parse_single(df: DataFrame, response: Column, n_sentences: Column, max_sente
     """
     text = F.coalesce(response, F.lit(""))
     return (
-        df.withColumns({"_json": extract_json_object(text), "_n": n_sentences})
+        df.withColumns({"_gf_json": extract_json_object(text), "_gf_n": n_sentences})
         .withColumns({
-            "_listed": clean_labels(F.col("_json")[fv.JSON_LABELS], F.col("_n")),
-            fv.SINGLE_ANSWER: F.coalesce(answer_letter(F.col("_json")[fv.JSON_ANSWER]), answer_from_text(text)),
+            "_gf_listed": clean_labels(F.col("_gf_json")[fv.JSON_LABELS], F.col("_gf_n")),
+            fv.SINGLE_ANSWER: F.coalesce(answer_letter(F.col("_gf_json")[fv.JSON_ANSWER]), answer_from_text(text)),
         })
         .withColumn(
             fv.LABELS,
             F.slice(
-                F.when(F.size("_listed") > 0, F.col("_listed"))
-                .otherwise(clean_labels(labels_from_text(text), F.col("_n"))),
+                F.when(F.size("_gf_listed") > 0, F.col("_gf_listed"))
+                .otherwise(clean_labels(labels_from_text(text), F.col("_gf_n"))),
                 1, max_sentences,
             ),
         )
-        .drop("_json", "_n", "_listed")
+        .drop("_gf_json", "_gf_n", "_gf_listed")
     )
 
 
@@ -115,12 +115,12 @@ def parse_multi(
 ) -> DataFrame:
     """Add one answer column per question name and ``labels``, from JSON only."""
     text = F.coalesce(response, F.lit(""))
-    answers = {name: answer_letter(F.col("_json").getField(name)) for name in names}
-    labels = clean_labels(F.col("_json")[fv.JSON_LABELS], F.col("_n"))
+    answers = {name: answer_letter(F.col("_gf_json").getField(name)) for name in names}
+    labels = clean_labels(F.col("_gf_json")[fv.JSON_LABELS], F.col("_gf_n"))
     return (
-        df.withColumns({"_json": extract_json_object(text, names), "_n": n_sentences})
+        df.withColumns({"_gf_json": extract_json_object(text, names), "_gf_n": n_sentences})
         .withColumns({**answers, fv.LABELS: F.slice(labels, 1, max_sentences)})
-        .drop("_json", "_n")
+        .drop("_gf_json", "_gf_n")
     )
 
 

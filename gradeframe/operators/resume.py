@@ -14,7 +14,7 @@ from gradeframe.functions.text import strip
 from gradeframe.sources.tables import staged
 from gradeframe.spec import column, has_column
 
-_KEY = "_done_id"
+_KEY = "_gf_id"
 
 
 def distinct_ids(df: DataFrame, id_col: str) -> DataFrame:
@@ -68,20 +68,20 @@ def attach_responses(
     """
     recorded = responses.where(column(id_col).isNotNull()).select(
         column(id_col).cast("string").alias(_KEY),
-        column(response_col).cast("string").alias("_text"),
-        (column(attempt_col) if attempt_col else F.lit(0)).alias("_attempt"),
+        column(response_col).cast("string").alias("_gf_text"),
+        (column(attempt_col) if attempt_col else F.lit(0)).alias("_gf_attempt"),
     )
     if not unique:
-        best = F.max(F.struct("_attempt", "_text"))["_text"]
+        best = F.max(F.struct("_gf_attempt", "_gf_text"))["_gf_text"]
         wanted = distinct_ids(items, id_col).withColumnRenamed("id", _KEY)
-        one_each = recorded.groupBy(_KEY).agg(best.alias("_text")).join(wanted, _KEY, "left_semi")
+        one_each = recorded.groupBy(_KEY).agg(best.alias("_gf_text")).join(wanted, _KEY, "left_semi")
         recorded = staged(one_each, "responses")
     named = items.where(column(id_col).isNotNull())
     joined = named.join(
-        recorded.select(_KEY, "_text"), column(id_col).cast("string") == F.col(_KEY), "left"
+        recorded.select(_KEY, "_gf_text"), column(id_col).cast("string") == F.col(_KEY), "left"
     ).drop(_KEY)
-    nameless = items.where(column(id_col).isNull()).withColumn("_text", F.lit(None).cast("string"))
-    return with_reply(joined.unionByName(nameless), F.col("_text"), F.lit("no response recorded")).drop("_text")
+    nameless = items.where(column(id_col).isNull()).withColumn("_gf_text", F.lit(None).cast("string"))
+    return with_reply(joined.unionByName(nameless), F.col("_gf_text"), F.lit("no response recorded")).drop("_gf_text")
 
 
 def with_reply(df: DataFrame, response: Column, problem: Column) -> DataFrame:

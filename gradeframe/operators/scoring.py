@@ -84,9 +84,9 @@ def score(
     _check_free(items, spec)
     if partitions:
         items = items.repartition(partitions)
-    asked = with_prompt(items, spec, "_prompt").withColumn("_reply", responder_udf(make_responder, spec, batch_rows)("_prompt"))
-    replied = with_reply(asked, F.col("_reply")["text"], F.col("_reply")["problem"])
-    return parse_responses(replied.drop("_prompt", "_reply"), spec)
+    asked = with_prompt(items, spec, "_gf_prompt").withColumn("_gf_reply", responder_udf(make_responder, spec, batch_rows)("_gf_prompt"))
+    replied = with_reply(asked, F.col("_gf_reply")["text"], F.col("_gf_reply")["problem"])
+    return parse_responses(replied.drop("_gf_prompt", "_gf_reply"), spec)
 
 
 def score_recorded(
@@ -95,6 +95,8 @@ def score_recorded(
 ) -> DataFrame:
     """Score from recorded responses instead of asking."""
     _check_free(items, spec)
+    if not spec.id_col:
+        raise ValueError("recorded responses are found by id: the spec needs an id_col")
     attached = attach_responses(items, responses, spec.id_col, response_col, attempt_col, unique)
     return parse_responses(attached, spec)
 

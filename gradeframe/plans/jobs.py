@@ -17,7 +17,7 @@ from gradeframe.sources.tables import (
 )
 from gradeframe.spec import EvalSpec
 
-_SLICE = "_slice"
+_SLICE = "_gf_slice"
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import gradeframe as gf
+from gradeframe.operators import resume
 from workload import tables as t
 from workload.queries import QUERIES, make_counting_responder
 
@@ -137,3 +138,20 @@ def test_small_done_sets_are_broadcast_by_their_measured_size(spark, tmp_path):
     spark.range(100000).write.parquet(str(tmp_path / "i"))
     text = physical(gf.pending(spark.read.parquet(str(tmp_path / "i")), spark.range(50), "id"))
     assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_ids_and_responses_are_reduced_before_they_meet(spark, skewed, monkeypatch):
+    """Map-side combine on both sides, and no shuffle beyond that."""
+    seen = []
+    monkeypatch.setattr(resume, "staged", lambda df, *rest: seen.append(df) or df)
+    said = skewed.withColumnRenamed("x", "response").withColumn("attempt", F.lit(1))
+    gf.pending(skewed, said, "id")
+    gf.attach_responses(skewed, said, "id", attempt_col="attempt")
+    for df in seen:
+        text = physical(df)
+        assert text.count("Exchange hashpartitioning") == 2 and text.count("Exchange") == 2
+        for side in text.split("Exchange hashpartitioning")[1:]:
+            below = side.split("Exchange")[0]
+            assert "HashAggregate" in below or "partial_max" in below
+    ids_only = physical(seen[0])
+    assert "ReadSchema: struct<id:bigint>" in ids_only and "x:string" not in ids_only

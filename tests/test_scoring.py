@@ -244,3 +244,39 @@ def test_results_as_csv_and_back(spark, tmp_path):
     back = {r.id: r for r in gf.read_results(spark, str(tmp_path / "c"), "csv").collect()}
     assert (back["1"].Raw_Response, back["1"].LLM_answer, back["1"].labels) == ('{"Answer": "A"}\n"x"', "A", [H, None])
     assert (back["2"].Raw_Response, back["2"].LLM_answer, back["2"].labels) == (None, None, [None, None])
+
+
+def test_working_columns_do_not_take_the_callers(spark):
+    items = items_of(spark, ["1"]).withColumns({n: F.lit(n) for n in ("_n", "_json", "_prompt", "_text")})
+    said = spark.createDataFrame([("1", "Answer: C")], "id string, response string")
+    for scored in (gf.score(items, SPEC, make_responder), gf.score_recorded(items, said, SPEC)):
+        assert scored.columns[:9] == [*items.columns]
+        assert scored.first()["_n"] == "_n"
+    with pytest.raises(ValueError, match="id_col"):
+        gf.score_recorded(items, said, EvalSpec(sentences_col="s", options_col="o"))
+
+
+@pytest.mark.parametrize("second", ["b", "a"])
+def test_streams_share_a_sink(spark, tmp_path, second):
+    """Another stream, or the same one later, skips the ids already there."""
+    schema = items_of(spark, []).schema
+    for name, group in (("a", ["1", "2"]), (second, ["2", "3"])):
+        src = str(tmp_path / ("in-" + name))
+        items_of(spark, group).coalesce(1).write.mode("append").parquet(src)
+        gf.stream_score(
+            gf.read_stream(spark, src, schema), SPEC, lambda todo: gf.score(todo, SPEC, make_responder),
+            str(tmp_path / "out"), str(tmp_path / ("progress-" + name)), name,
+        ).trigger(availableNow=True).start().awaitTermination()
+    assert ids(gf.read_stream_results(spark, str(tmp_path / "out"))) == ["1", "2", "3"]
+
+
+def test_metrics_stream_equals_batch(spark, tmp_path):
+    rows = [(g, a, "A") for g in ("x", "y", None) for a in ("A", "B", None, "A")]
+    results = spark.createDataFrame(rows, "grp string, LLM_answer string, gold string")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for g in ("grp = 'x'", "grp is null", "grp = 'y'"):
+        results.where(g).coalesce(1).write.mode("append").parquet(src)
+        gf.stream_metrics(gf.read_stream(spark, src, results.schema, 1), "LLM_answer", "gold", "grp", out, str(tmp_path / "p")
+                          ).trigger(availableNow=True).start().awaitTermination()
+    want = gf.answer_metrics(results, "LLM_answer", "gold", "grp")
+    assert sorted(map(repr, spark.read.parquet(out).collect())) == sorted(map(repr, want.collect()))

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-
 import sys
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -41,7 +40,11 @@ def _replies(respond: Respond, prompts: list[str]) -> list[tuple[str | None, str
         if len(prompts) == 1:
             return [(None, f"{type(error).__name__}: {error}")]
         return [reply for prompt in prompts for reply in _replies(respond, [prompt])]
-    return [(text, None) if text is not None else (None, "no response") for text in texts]
+    return [(text, None) if isinstance(text, str) else (None, _no_text(text)) for text in texts]
+
+
+def _no_text(reply: object) -> str:
+    return "no response" if reply is None else f"response is no text but {type(reply).__name__}"
 
 
 def responder_udf(make_responder: MakeResponder, spec: EvalSpec, batch_rows: int):
@@ -84,7 +87,8 @@ def score(
     _check_free(items, spec)
     if partitions:
         items = items.repartition(partitions)
-    asked = with_prompt(items, spec, "_gf_prompt").withColumn("_gf_reply", responder_udf(make_responder, spec, batch_rows)("_gf_prompt"))
+    ask = responder_udf(make_responder, spec, batch_rows)
+    asked = with_prompt(items, spec, "_gf_prompt").withColumn("_gf_reply", ask("_gf_prompt"))
     replied = with_reply(asked, F.col("_gf_reply")["text"], F.col("_gf_reply")["problem"])
     return parse_responses(replied.drop("_gf_prompt", "_gf_reply"), spec)
 

@@ -17,7 +17,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
     # Hash instead of sort joins, but only where every partition of the id
     # side was measured to be this small.
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16MB",
     # Do not look up the Python line of every column made: plans here are big.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Prompts are long: few of them per Arrow batch.

@@ -93,6 +93,24 @@ def test_wrong_number_of_responses_is_an_error(spark):
     assert {r.error for r in scored.collect()} == {"ValueError: 1 prompts but 3 responses"}
 
 
+def test_a_response_that_is_no_text_is_an_error(spark):
+    scored = gf.score(items_of(spark, ["1"]), SPEC, lambda spec: lambda prompts: [5 for _ in prompts])
+    assert scored.first().error == "response is no text but int"
+
+
+def test_batches_are_bounded_and_the_responder_made_once_per_task(spark):
+    def make(spec):
+        sizes = []
+
+        def respond(prompts):
+            sizes.append(len(prompts))
+            return [",".join(map(str, sizes))] * len(prompts)
+        return respond
+
+    scored = gf.score(items_of(spark, [str(i) for i in range(10)]).coalesce(1), SPEC, make, batch_rows=4)
+    assert {r.Raw_Response for r in scored.collect()} == {"4", "4,4", "4,4,2"}
+
+
 def test_items_with_result_columns_are_refused(spark):
     with pytest.raises(ValueError, match="error"):
         gf.score(items_of(spark, ["1"]).withColumn("error", F.lit(1)), SPEC, make_responder)

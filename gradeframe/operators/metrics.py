@@ -131,7 +131,8 @@ def with_label_facts(df: DataFrame, labels_col: str, max_sentences: int | None =
     labels = column(labels_col)
     if max_sentences is not None:
         labels = F.slice(labels, 1, max_sentences)
-    return df.withColumn("_valid", valid_labels(labels)).withColumn("_labels", label_facts(F.col("_valid"))).drop("_valid")
+    known = df.withColumn("_valid", valid_labels(labels))
+    return known.withColumn("_labels", label_facts(F.col("_valid"))).drop("_valid")
 
 
 def relevance_distribution(df: DataFrame, labels_col: str, by: str | None = None) -> DataFrame:

@@ -166,7 +166,9 @@ def report_lines(metrics: DataFrame, results_columns: list[str], spec: EvalSpec,
     group_type = metrics.schema["grp"].dataType
     headings = metrics.sparkSession.createDataFrame(
         fixed, "block_no int, part_no int, line_no int, text string"
-    ).select("block_no", "part_no", F.lit(0).alias("level"), F.lit(None).cast(group_type).alias("grp"), "line_no", "text")
+    ).select(
+        "block_no", "part_no", F.lit(0).alias("level"), F.lit(None).cast(group_type).alias("grp"), "line_no", "text"
+    )
 
     indent = F.lit(fv.REPORT_INDENT)
     group_text = F.col("grp").cast("string")

@@ -63,13 +63,16 @@ def read_results(
     return results
 
 
-def existing_results(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+def existing_results(spark: SparkSession, path: str) -> DataFrame | None:
     """The results table at a path, or None when there is none yet."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return None
     try:
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        # The folder is there but no file has been committed.
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return None
         raise
 

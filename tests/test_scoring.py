@@ -170,6 +170,8 @@ def test_append_is_by_name_and_strict(spark, tmp_path):
         with pytest.raises(ValueError, match="other columns"):
             gf.append_results(wrong, path)
     assert gf.existing_results(spark, str(tmp_path / "absent")) is None
+    (tmp_path / "bare").mkdir()
+    assert gf.existing_results(spark, str(tmp_path / "bare")) is None
     assert gf.results_union(one, one.select("b", "a")).count() == 2
 
 

@@ -3,6 +3,7 @@
 import sys
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -69,6 +70,19 @@ def test_pending_keeps_missing_and_repeated_ids(spark):
     assert [r.id for r in gf.processed_ids(done, "id").collect()] == ["1"]
 
 
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.integers(0, 6))), st.lists(st.one_of(st.none(), st.integers(0, 6))))
+def test_pending_and_processed_make_up_the_input(spark, given_ids, done_ids):
+    items = spark.createDataFrame([(i,) for i in given_ids], "id int")
+    done = spark.createDataFrame([(None if i is None else str(i),) for i in done_ids], "id string")
+    left = ids(gf.pending(items, done, "id"))
+    processed = {r.id for r in gf.processed_ids(done, "id").collect()}
+    assert processed == {str(i) for i in done_ids if i is not None}
+    skipped = [i for i in given_ids if i is not None and str(i) in processed]
+    assert sorted(left + skipped, key=repr) == sorted(given_ids, key=repr)
+    assert not {str(i) for i in left if i is not None} & processed
+
+
 def test_attach_takes_the_last_attempt(spark):
     items = items_of(spark, ["1", "1", "2", "3", None])
     said = spark.createDataFrame([("1", "old", 1), ("1", " new ", 2), ("2", None, 1), (None, "x", 1)], "id string, response string, attempt int")

@@ -483,12 +483,27 @@ def render_prompt(spark, sf_dir):
 
 
 @query("extract_json", t.RESULTS_SQL + f"""
-select row_id, js is not null as is_object, json_extract_string(js, '$.Answer') as answer_text,
-  {sql_shown('j_list')} as listed from raw""")
+, found as (
+  select 'response' as kind, row_id as id, response as txt from fx
+  union all select 'event', event_id, props from events
+  union all select 'page', page_id, html from pages
+  union all select 'document', doc_id, text from documents),
+cut as (select kind, id, nullif(regexp_extract(txt, '(?s)\\{{.*\\}}'), '') as body from found),
+obj as (select kind, id, case when json_valid(body) then body end as js from cut)
+select kind, id, js is not null as is_object, json_extract_string(js, '$.Answer') as answer_text,
+  {sql_shown("case when json_type(js, '$.Sentence_Relevance') = 'ARRAY' then json_extract_string(js, '$.Sentence_Relevance[*]') end")} as listed
+from obj""")
 def extract_json(spark, sf_dir):
-    read = t.responses(spark, sf_dir).withColumn("o", gf.extract_json_object(F.col("response")))
+    """Responses, and every other text there is: JSON, pages, prose."""
+    texts = t.responses(spark, sf_dir).select(F.lit("response").alias("kind"), F.col("row_id").alias("id"), "response")
+    for kind, name, key, text in (
+        ("event", "events", "event_id", "props"), ("page", "pages", "page_id", "html"),
+        ("document", "documents", "doc_id", "text"),
+    ):
+        texts = texts.union(t.table(spark, sf_dir, name).select(F.lit(kind), key, text))
+    read = texts.withColumn("o", gf.extract_json_object(F.col("response")))
     return read.select(
-        "row_id", F.col("o").isNotNull().alias("is_object"), F.col("o.Answer").alias("answer_text"),
+        "kind", "id", F.col("o").isNotNull().alias("is_object"), F.col("o.Answer").alias("answer_text"),
         t.shown(F.col("o.Sentence_Relevance")).alias("listed"),
     )
 

@@ -450,10 +450,20 @@ def strip_text(spark, sf_dir):
 
 
 @query("sentence_count", """
-select doc_id, cast(len(regexp_extract_all(text, '\\bS\\d+\\s*:|\\b\\d+\\.')) as bigint) as n_sentences from documents""")
+with texts as (
+  select 'document' as kind, doc_id as id, 0 as turn, text as txt from documents
+  union all select 'page', page_id, 0, html from pages
+  union all select 'turn', conv_id, turn, text from conversations)
+select kind, id, cast(turn as bigint) as turn,
+  cast(len(regexp_extract_all(txt, '\\bS\\d+\\s*:|\\b\\d+\\.')) as bigint) as n_sentences from texts""")
 def sentence_count(spark, sf_dir):
-    return t.table(spark, sf_dir, "documents").select(
-        "doc_id", gf.sentence_count(F.col("text")).cast("long").alias("n_sentences")
+    """Sentence marks in every text there is."""
+    no_turn = F.lit(0).cast("long").alias("turn")
+    docs = t.table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), no_turn, "text")
+    pages = t.table(spark, sf_dir, "pages").select(F.lit("page"), "page_id", no_turn, "html")
+    turns = t.table(spark, sf_dir, "conversations").select(F.lit("turn"), "conv_id", "turn", "text")
+    return docs.union(pages).union(turns).select(
+        "kind", "id", "turn", gf.sentence_count(F.col("text")).cast("long").alias("n_sentences")
     )
 
 

@@ -2,6 +2,7 @@
 
 import sys
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark import cloudpickle
@@ -53,6 +54,32 @@ def test_hand_written_csv(spark, tmp_path):
     assert (got[1].LLM_answer, got[1].gold) == (None, None)
 
 
+CSV_FILES = {
+    "crlf": b'id,s,o\r\n1,a,x\r\n2,c,\r\n',
+    "bom": b'\xef\xbb\xbfid,s,o\n1,a,b\n',
+    "backslash": b'id,s,o\n1,"a\\",b\n2,c\\n,"d""e"\n',
+    "blank line": b'id,s,o\n1,a,b\n\n2,c,d\n',
+    "short line": b'id,s,o\n1,a\n2,c,d\n',
+    "blanks": b'id,s,o\n 1 , a ," b "\n',
+    "hash": b'id,s,o\n#1,a,b\n',
+    "odd breaks": b'id,s,o\n1,"\xc3\xa9\xe2\x80\xa8z\r\nk",b\n',
+    "no last break": b'id,s,o\n1,a,"b"',
+    "header only": b'id,s,o\n',
+    "markers": b'id,s,o\n1,"",NA\n2,"null",none\n',
+}
+
+
+@pytest.mark.parametrize("name", CSV_FILES)
+def test_csv_reads_as_pandas_reads_it(spark, tmp_path, name):
+    path = tmp_path / "in.csv"
+    path.write_bytes(CSV_FILES[name])
+    want = pd.read_csv(path, dtype=str)
+    got = gf.read_items(spark, str(path), "csv")
+    assert got.columns == list(want.columns)
+    rows = [tuple(None if pd.isna(v) else v for v in r) for r in want.itertuples(index=False)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+
+
 def test_preview_and_roles(spark):
     df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "id int, `my.col` string")
     assert ids(gf.preview(df, 2, "id")) == [1, 2]

@@ -15,9 +15,10 @@ SETTINGS = {
     # Rows are parsed after the join with recorded responses: split a hot id
     # earlier than its bytes alone would ask for.
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
-    # Hash instead of sort joins, but only where every partition of the id
-    # side was measured to be this small.
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16MB",
+    # Hash instead of sort joins, so that wide items are not sorted, but only
+    # where every partition of the other side was measured to be this small.
+    # Has no effect below spark.sql.adaptive.advisoryPartitionSizeInBytes.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # Do not look up the Python line of every column made: plans here are big.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Prompts are long: few of them per Arrow batch.

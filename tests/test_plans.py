@@ -155,3 +155,9 @@ def test_ids_and_responses_are_reduced_before_they_meet(spark, skewed, monkeypat
             assert "HashAggregate" in below or "partial_max" in below
     ids_only = physical(seen[0])
     assert "ReadSchema: struct<id:bigint>" in ids_only and "x:string" not in ids_only
+
+
+def test_wide_items_are_not_sorted_to_be_resumed(spark, skewed):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
+    rows, text = final(gf.pending(skewed, spark.range(0, 60000, 2), "id"))
+    assert "ShuffledHashJoin" in text and "Sort [" not in text

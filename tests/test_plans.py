@@ -161,3 +161,18 @@ def test_wide_items_are_not_sorted_to_be_resumed(spark, skewed):
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
     rows, text = final(gf.pending(skewed, spark.range(0, 60000, 2), "id"))
     assert "ShuffledHashJoin" in text and "Sort [" not in text
+
+
+def test_few_new_items_do_not_shuffle_the_ids_of_the_results(spark, tmp_path, monkeypatch):
+    """The ids of a small batch are broadcast to the scan of the results."""
+    seen = []
+    monkeypatch.setattr(resume, "staged", lambda df, *rest: seen.append(df) or df)
+    spark.range(200000).write.parquet(str(tmp_path / "results"))
+    spark.range(0, 50).write.parquet(str(tmp_path / "items"))
+    gf.pending(spark.read.parquet(str(tmp_path / "items")), spark.read.parquet(str(tmp_path / "results")), "id")
+    _, text = final(seen[0])
+    # From the top: reduce, shuffle what is left, join, scan of the results.
+    above, below = text.split("BroadcastHashJoin")
+    assert above.count("HashAggregate") == 2 and above.count("Exchange hashpartitioning") == 1
+    assert "LeftSemi, BuildRight" in below.splitlines()[0]
+    assert "Exchange" not in below.split("FileScan")[0]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gradeframe import fixed_values as fv
-from gradeframe.operators.resume import pending
+from gradeframe.operators.resume import pending, settled_results
 from gradeframe.operators.scoring import MakeResponder, score, score_recorded
 from gradeframe.operators.summary import row_summary
 from gradeframe.plans.evaluate import evaluate, report_lines
@@ -83,14 +83,19 @@ def run_recorded(
 
 def run_evaluation(
     spark: SparkSession, results_path: str, spec: EvalSpec, output_dir: str,
-    fmt: str = "parquet", summary_fmt: str = "parquet",
+    fmt: str = "parquet", summary_fmt: str = "parquet", settle: bool = False,
 ) -> DataFrame:
     """Write metrics, report and summary of a results table; gives the metrics.
 
+    ``settle`` leaves out the error rows that a run with ``retry_errors``
+    replaced.
+
     The report is made from the written metrics, so the results are scanned
     once for all metrics and once for the summary.
     """
     results = read_results(spark, results_path, fmt, spec.max_sentences)
+    if settle:
+        results = settled_results(results, spec.id_col)
     evaluate(results, spec).write.mode("overwrite").parquet(f"{output_dir}/metrics")
     metrics = spark.read.parquet(f"{output_dir}/metrics")
     write_report(report_lines(metrics, results.columns, spec, results_path), f"{output_dir}/report")

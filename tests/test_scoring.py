@@ -199,6 +199,9 @@ def test_retry_replaces_error_rows(spark, tmp_path):
     assert again.written == 1
     settled = settled_results(spark.read.parquet(path), "id")
     assert sorted((r.id, r.LLM_answer) for r in settled.collect()) == sorted([("1", "A"), ("bad", "B"), ("none", None)])
+    for settle, total in ((False, 4), (True, 3)):
+        metrics = gf.run_evaluation(spark, path, SPEC, str(tmp_path / "out"), settle=settle)
+        assert metrics.where("section = 'refusal' and scope = 'overall'").first().total == total
 
 
 def test_append_is_by_name_and_strict(spark, tmp_path):

@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gradeframe.llm import langid
 from gradeframe.llm.common import documents
 from gradeframe.llm.near_dedup import NearDedup, near_duplicates
+from gradeframe.llm.substring_dedup import removal_report
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), NearDedup(shingle_words=2))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = langid.is_held_out(F.col("doc_id"))
@@ -24,6 +29,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup,
+    op5_substring_dedup,
     op10_language_id,
 )}
 

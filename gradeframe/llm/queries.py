@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeframe.llm import langid
 from gradeframe.llm.common import documents
+from gradeframe.llm.mixing import LEVELS, Mix, selection
 from gradeframe.llm.near_dedup import NearDedup, near_duplicates
 from gradeframe.llm.substring_dedup import removal_report
 
@@ -18,6 +19,84 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(documents(spark, sf_dir))
 
 
+# Targets of the mix. The domain of a source is its number modulo three.
+DOMAINS = ("web", "books", "forum")
+MIX = Mix(
+    budget_percent=60, max_epochs=2, seed=17,
+    weights=(
+        {"web": 5, "books": 4, "forum": 3},
+        {("web", "en"): 6, ("web", "de"): 2, ("web", "fr"): 2, ("web", "es"): 2, ("books", "en"): 3, ("forum", "es"): 0},
+        {("web", "en", "src0"): 2, ("books", "en", "src1"): 4, ("forum", "en", "src2"): 3},
+    ),
+)
+
+
+def source_domain():
+    number = F.regexp_extract("source", r"([0-9]+)$", 1)
+    names = F.array(*[F.lit(d) for d in DOMAINS])
+    return F.when(number != "", F.get(names, number.cast("int") % len(DOMAINS)))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection(documents(spark, sf_dir), MIX, source_domain())
+
+
+def _weight_sql(level: int) -> str:
+    cases = []
+    for key, value in MIX.weights[level].items():
+        parts = key if isinstance(key, tuple) else (key,)
+        cases.append("when " + " and ".join(f"{n} = '{v}'" for n, v in zip(LEVELS, parts)) + f" then {value}")
+    return f"case {' '.join(cases)} else {MIX.default_weight} end"
+
+
+def _split_sql(level: int) -> str:
+    names, up = ", ".join(LEVELS[:level + 1]), ", ".join(LEVELS[:level]) or "1"
+    given = (f"(select floor(sum(n_tokens) * {MIX.budget_percent} / 100)::bigint from d)" if level == 0
+             else f"(select b.budget from budget{level - 1} b where "
+                  + " and ".join(f"b.{n} is not distinct from s.{n}" for n in LEVELS[:level]) + ")")
+    return f"""
+size{level} as (select {names}, sum(n_tokens) * {MIX.max_epochs} as capacity from d group by all),
+node{level} as (select *, {_weight_sql(level)} as weight, {given} as given from size{level} s),
+run{level} as (
+  select *, given - coalesce(sum(capacity) over (partition by {up} order by capacity::double / weight, {names}
+      rows between unbounded preceding and 1 preceding), 0) as remaining,
+    sum(weight) over (partition by {up} order by capacity::double / weight, {names}
+      rows between current row and unbounded following) as heavy
+  from node{level} where weight > 0 and capacity > 0 and given is not null),
+water{level} as (
+  select *, max(case when capacity * heavy > remaining * weight then remaining::double / heavy::double end)
+    over (partition by {up}) as water from run{level}),
+budget{level} as (
+  select {names}, case when capacity * heavy > remaining * weight then greatest(0, floor(weight * water))::bigint
+    else capacity::bigint end as budget from water{level})"""
+
+
+_MIX_SQL = f"""
+with d as (
+  select doc_id, case regexp_extract(source, '([0-9]+)$', 1)::int % {len(DOMAINS)}
+      {' '.join(f"when {i} then '{n}'" for i, n in enumerate(DOMAINS))} end as domain,
+    lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n_tokens
+  from documents),
+{_split_sql(0)}, {_split_sql(1)}, {_split_sql(2)},
+leaf as (
+  select domain, lang, source, sum(n_tokens) as tokens,
+    coalesce((select b.budget from budget2 b where b.domain is not distinct from d.domain
+      and b.lang is not distinct from d.lang and b.source is not distinct from d.source), 0) as budget
+  from d group by all),
+epochs as (
+  select *, case when tokens > 0 then least({MIX.max_epochs}, budget // tokens) else 0 end as n_full from leaf),
+placed as (
+  select d.*, n_full, case when n_full < {MIX.max_epochs} then budget - n_full * tokens else 0 end as remaining,
+    md5(concat('{MIX.seed}:', n_full + 1, ':', doc_id)) as place
+  from d join epochs e on d.domain is not distinct from e.domain and d.lang is not distinct from e.lang
+    and d.source is not distinct from e.source),
+summed as (select *, sum(n_tokens) over (partition by domain, lang, source order by place) as upto from placed)
+select doc_id, domain, lang, source, n_tokens::bigint as n_tokens,
+  (n_full + case when remaining > 0 and upto <= remaining then 1 else 0 end)::int as copies
+from summed
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = langid.is_held_out(F.col("doc_id"))
@@ -30,7 +109,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup,
     op5_substring_dedup,
+    op9_source_mixing,
     op10_language_id,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_source_mixing": _MIX_SQL}

@@ -8,6 +8,7 @@ from gradeframe.llm import langid
 from gradeframe.llm.common import documents
 from gradeframe.llm.mixing import LEVELS, Mix, selection
 from gradeframe.llm.near_dedup import NearDedup, near_duplicates
+from gradeframe.llm.segmentation import Segmentation, digest_column
 from gradeframe.llm.substring_dedup import removal_report
 
 
@@ -15,6 +16,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), NearDedup(shingle_words=2))
 
 
+def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = digest_column(F.col("text"), F.col("doc_id"), Segmentation(seed=4))
+    return documents(spark, sf_dir).select("doc_id", found.alias("found")).select("doc_id", "found.*")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(documents(spark, sf_dir))
 
@@ -108,6 +114,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup,
+    op4_sentencepiece_sampling,
     op5_substring_dedup,
     op9_source_mixing,
     op10_language_id,

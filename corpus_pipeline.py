@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeframe.llm import langid
 from gradeframe.llm.common import documents, staged
+from gradeframe.llm.mixing import mixed
 from gradeframe.llm.near_dedup import keep_one_of_each
+from gradeframe.llm.queries import MIX, source_domain
+from gradeframe.llm.segmentation import Segmentation, segmented
+from gradeframe.llm.substring_dedup import remove_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +28,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_of_each(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that an earlier document has are taken out of the text."""
+    return remove_repeats(docs, length_col="n_chars")
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by source budgets; one that is taken for two epochs comes twice."""
+    return mixed(docs, MIX, source_domain())
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of every text."""
+    return segmented(docs, Segmentation(seed=4))
+
+
 STAGES = [
     ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece),
 ]
 
 # Compression and sampled segmentation have no SQL form.

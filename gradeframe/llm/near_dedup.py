@@ -9,14 +9,15 @@
 3. Signatures are cut into bands; documents that share a band are in a bucket.
    With 40 bands of 5, two sets with a similarity of 0.8 share none with a
    probability of 1.2e-7.
-4. Buckets are worked off without making all pairs. A leader (the smallest id)
-   is compared with the members; documents found linked are one component. A
-   bucket whose members are in one component is done. Of the others, members
-   outside the bucket's largest component become leaders in later rounds, each
-   compared with members of other components, four times as many per round,
-   until every pair of members has been compared or is in one component.
-5. Pairs whose signatures are clearly too far apart (6 standard deviations) fall
-   out, the others are confirmed on the full sets of shingles, made from words.
+4. Buckets are worked off without making all pairs. The smallest id of a bucket
+   leads it and is compared with the members; documents found linked are one
+   component. Pairs whose signatures are clearly too far apart (6 standard
+   deviations) fall out, the others are confirmed on the full sets, made from
+   words. A bucket whose members are in one component is done.
+5. In the other buckets the documents outside the largest component are compared
+   with everyone there, part by part (see ``_arenas``), again on the full sets.
+   After that every pair of documents that share a bucket has been compared or
+   is in one component.
 
 Cases: documents without words (NULL, empty, blanks) are linked with nothing,
 shingle count 0. With fewer words than a shingle has, the whole sequence is the
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gradeframe.llm.common import chunked, encoded, mix, staged, starts_of, within, word_hashes
 from gradeframe.llm.components import components
@@ -52,7 +53,9 @@ class NearDedup:
     of: int = 100
     bands: int = 40
     band_rows: int = 5
-    first_leaders: int = 8
+    # Limits of one part of an arena: shingles of its members, documents compared with them.
+    part_shingles: int = 1_000_000
+    part_queries: int = 256
 
     @property
     def registers(self) -> int:
@@ -202,58 +205,104 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, job: NearDedup) -> DataFrame:
     return both.where(_verify(job)("ta", "tb")).select("a", "b").distinct()
 
 
-def _across(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    if roots is None:
-        return pairs
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components, with both roots."""
     ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     rb = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     joined = pairs.join(ra, "a", "left").join(rb, "b", "left")
-    return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
-
-
-def _links(members: DataFrame, reps: DataFrame, texts: DataFrame, job: NearDedup) -> DataFrame | None:
-    """(node, root) of the components over all buckets; None if no two members are linked."""
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
-
-    def add(pairs: DataFrame) -> None:
-        nonlocal links, roots
-        more = staged(_confirmed(pairs, texts, job), "links")
-        links = more if links is None else links.unionByName(more)
-        roots = staged(components(links), "roots")
-
-    leaders = staged(members.groupBy("key").agg(F.min("id").alias("leader")), "leaders")
-    pairs = members.join(leaders, "key").where("id != leader") \
-        .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    used = leaders.select("key", F.col("leader").alias("id"))
-    count = job.first_leaders
-    while True:
-        near = _pairs_estimated(pairs, reps, job)
-        # The likeliest pair of each document first: most others then lie within a component.
-        add(near.groupBy("b").agg(F.max_by("a", "estimate").alias("a")))
-        rest = staged(_across(near, roots), "rest")
-        if not rest.isEmpty():
-            add(rest)
-        # Buckets that still hold more than one component, without the leaders compared so far.
-        left = members.join(used, ["key", "id"], "left_anti")
-        named = left.join(roots, left["id"] == roots["node"], "left") \
-            .select("key", "id", F.coalesce("root", "id").alias("root"))
-        several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        members = staged(named.join(several.select("key"), "key", "left_semi"), "members")
-        if members.isEmpty():
-            return roots
-        sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-        largest = staged(sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("most")), "largest")
-        turn = Window.partitionBy("key").orderBy("id")
-        outside = members.join(largest, "key").where("root != most").select("key", "id", "root") \
-            .withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= count)
-        chosen = staged(outside.select("key", F.col("id").alias("a"), F.col("root").alias("from")), "chosen")
-        pairs = members.join(chosen, "key").where("root != from") \
-            .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        used = chosen.select("key", F.col("a").alias("id"))
-        members = members.select("key", "id")
-        count *= 4
+    return joined.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra != rb")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after links (a, b) between old roots."""
+    above = staged(components(links), "above")
+    moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left") \
+        .select("node", F.coalesce("top", "root").alias("root"))
+    return staged(moved.unionByName(above.join(roots, "node", "left_anti")), "roots")
+
+
+def _arena_links(job: NearDedup):
+    """Links between components among the queries and members of one part of an arena, on their full sets."""
+
+    def run(part: pa.Table) -> pa.Table:
+        texts = encoded(part.column("text").to_pylist())
+        asks = np.array(part.column("asks").to_pylist(), bool)
+        roots = part.column("root").to_pylist()
+        elements, counts = shingle_hashes([word_list(t) for t in texts], job.shingle_words)
+        at = starts_of(counts)
+        queries, members = np.flatnonzero(asks), np.flatnonzero(~asks & (counts > 0))
+        found: set = set()
+        if len(members):
+            held = np.concatenate([elements[at[m]:at[m + 1]] for m in members])
+            names, place = np.unique(held, return_inverse=True)
+            begin, sizes = starts_of(counts[members])[:-1], counts[members]
+            for q in queries:
+                own = elements[at[q]:at[q + 1]]
+                spot = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                mark = np.zeros(len(names), np.int32)
+                mark[spot[names[spot] == own]] = 1
+                shared = np.add.reduceat(mark[place], begin)
+                hits = members[job.of * shared >= job.least * (counts[q] + sizes - shared)]
+                found |= {(roots[q], r) for r in {roots[m] for m in hits} if r != roots[q]}
+        kind = part.schema.field("root").type
+        return pa.table({"a": pa.array([f[0] for f in found], kind), "b": pa.array([f[1] for f in found], kind)})
+
+    return run
+
+
+def _arenas(named: DataFrame, roots: DataFrame, reps: DataFrame, texts: DataFrame, job: NearDedup) -> DataFrame:
+    """Links (a, b) between the roots of components that share a bucket.
+
+    The component with most members in a bucket is its hub. All of the hub's
+    documents and all outsiders of its buckets meet in one arena, where every
+    outsider is compared with everyone. Large arenas are cut into parts by
+    members and by outsiders; what leaves a part is a link per outsider and
+    component, never the pairs compared.
+    """
+    sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    hubs = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("hub"))
+    outside = staged(named.join(staged(hubs, "hubs"), "key").where("root != hub").select("hub", "id", "root").distinct(),
+                     "outside")
+    own = outside.select("hub").distinct()
+    inside = roots.select(F.col("root").alias("hub"), F.col("node").alias("id")).unionByName(
+        own.join(roots, F.col("hub") == F.col("node"), "left_anti").select("hub", F.col("hub").alias("id")))
+    inside = inside.join(own, "hub", "left_semi").select("hub", "id", F.col("hub").alias("root"), F.lit(False).alias("asks"))
+    everyone = outside.withColumn("asks", F.lit(True)).unionByName(inside).join(reps.select("id", "n"), "id")
+    everyone = staged(everyone, "arena")
+    parts = everyone.groupBy("hub").agg(
+        (F.floor(F.sum("n") / job.part_shingles) + 1).cast("int").alias("blocks"),
+        (F.floor(F.sum(F.col("asks").cast("int")) / job.part_queries) + 1).cast("int").alias("turns"))
+    everyone = everyone.join(staged(parts, "parts"), "hub")
+    members = everyone.select(
+        "hub", "id", "root", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+    queries = everyone.where("asks").select(
+        "hub", "id", "root", "asks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("id", F.lit(1)), "turns").cast("int").alias("turn"))
+    id_type = named.schema["id"].dataType.simpleString()
+    return members.unionByName(queries).join(texts, "id").groupBy("hub", "block", "turn").applyInArrow(
+        _arena_links(job), f"a {id_type}, b {id_type}")
+
+
+def _links(members: DataFrame, reps: DataFrame, texts: DataFrame, job: NearDedup) -> DataFrame:
+    """(node, root) of the components over all buckets: members have key, id and the key's smallest id."""
+    led = members.where("id != leader")
+    near = _pairs_estimated(led.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), reps, job)
+    # The likeliest pair of each document first: most others then lie within a component.
+    first = near.groupBy("b").agg(F.max_by("a", "estimate").alias("a"))
+    roots = staged(components(_confirmed(first, texts, job)), "roots")
+    rest = staged(_rooted(near, roots), "rest")
+    if not rest.isEmpty():
+        links = _confirmed(rest, texts, job).join(rest, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        roots = _merged(roots, links)
+    # Buckets that still hold more than one component, apart from the leader, which has met everyone.
+    named = led.join(roots.withColumnRenamed("node", "id"), "id", "left") \
+        .select("key", "id", F.coalesce("root", "id").alias("root"))
+    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    named = staged(named.join(several.select("key"), "key", "left_semi"), "unresolved")
+    if not named.isEmpty():
+        roots = _merged(roots, _arenas(named, roots, reps, texts, job))
+    return roots
 
 
 def near_duplicates(
@@ -270,10 +319,10 @@ def near_duplicates(
     # One row where rows repeat; a class has one signature.
     reps = staged(reps.select("id", "digest", "n", "signature", "bands").dropDuplicates(["id", "digest"]), "reps")
     buckets = reps.select(F.explode("bands").alias("key"), "id")
-    shared = staged(buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-                    .where("low != high").select("key"), "shared")
-    members = staged(buckets.join(shared, "key", "left_semi").distinct(), "members")
-    wanted = members.select("id").distinct()
+    shared = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("high")) \
+        .where("leader != high").select("key", "leader")
+    members = staged(buckets.join(staged(shared, "shared"), "key").distinct(), "members")
+    wanted = staged(members.select("id").distinct(), "wanted")
     texts = staged(rows.join(wanted, "id", "left_semi"), "texts")
     roots = _links(members, reps, texts, job)
     rooted = classes.join(roots, classes["rep"] == roots["node"], "left") \

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeframe.llm import langid
-from gradeframe.llm.common import documents
+from gradeframe.llm import langid, warc
+from gradeframe.llm.common import documents, scratch
 from gradeframe.llm.mixing import LEVELS, Mix, selection
 from gradeframe.llm.near_dedup import NearDedup, near_duplicates
 from gradeframe.llm.segmentation import Segmentation, digest_column
@@ -16,6 +16,30 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), NearDedup(shingle_words=2))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    captured, deduplicated = scratch(spark, "captured"), scratch(spark, "deduplicated")
+    # One capture a minute, in the order of the ids.
+    date = F.timestamp_seconds(F.lit(1_704_067_200) + 60 * F.coalesce("page_id", F.lit(0)))
+    warc.write_archives(pages, captured, "page_id", "url", "html", date)
+    warc.resolve_revisits(spark, captured, deduplicated)
+    found = warc.resolved(warc.read_records(spark, deduplicated, payloads=False))
+    return found.select(
+        F.col("row_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+_WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html)) as payload_bytes, sha256(html) as payload_digest from p),
+o as (select *, min(page_id) over (partition by payload_digest) as original from d)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and original <> page_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and original <> page_id then original end as refers_to
+from o
+"""
+
+
 def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digest_column(F.col("text"), F.col("doc_id"), Segmentation(seed=4))
     return documents(spark, sf_dir).select("doc_id", found.alias("found")).select("doc_id", "found.*")
@@ -114,10 +138,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup,
+    op2_warc_revisits,
     op4_sentencepiece_sampling,
     op5_substring_dedup,
     op9_source_mixing,
     op10_language_id,
 )}
 
-ORACLES: dict[str, str] = {"op9_source_mixing": _MIX_SQL}
+ORACLES: dict[str, str] = {"op2_warc_revisits": _WARC_SQL, "op9_source_mixing": _MIX_SQL}

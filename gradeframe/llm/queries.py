@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeframe.llm import langid, warc
+from gradeframe.llm import langid, url_filter, warc
 from gradeframe.llm.common import documents, scratch
+from gradeframe.llm.knn import Voronoi, nearest
 from gradeframe.llm.mixing import LEVELS, Mix, selection
 from gradeframe.llm.near_dedup import NearDedup, near_duplicates
 from gradeframe.llm.segmentation import Segmentation, digest_column
@@ -40,6 +41,74 @@ from o
 """
 
 
+# The lists of the query: hosts, registered domains and pages of the captures themselves, added and
+# removed on days that their checksums give. The text is the same in both SQL dialects.
+_DIGIT = "(instr('0123456789abcdef', substr(h, {}, 1)) - 1)"
+_EVENT_PARTS = [
+    # list, kind, salt, condition, later removal, later return
+    ("case when {7} < 8 then 'malware' else 'adult' end", "host", "{1} < 4", "{4} < 8", "{4} < 3"),
+    ("'policy'", "domain", "{1} < 8", "{4} < 12", "{4} < 4"),
+    ("'takedown'", "page", "{1} < 1", "{4} < 4", "{4} < 2"),
+]
+
+
+def _digits(text: str) -> str:
+    return text.format(*[_DIGIT.format(i) for i in range(9)])
+
+
+def _events_sql(table: str) -> str:
+    """Events (list, kind, value, action, n) from a table of hosts, registered domains and pages; n is a day number."""
+    parts = []
+    for name, column, chosen, removed, returned in _EVENT_PARTS:
+        kind = "url" if column == "page" else "domain"
+        keyed = f"(select distinct {column} as value, md5(concat('{column}:', {column})) as h from {table} where {column} is not null)"
+        day = "16 * {2} + {3}"
+        for action, condition, n in (
+            ("add", chosen, day), ("remove", f"{chosen} and {removed}", day + " + 30 + 8 * {5}"),
+            ("add", f"{chosen} and {returned}", day + " + 60 + 8 * {5} + {6}"),
+        ):
+            parts.append(_digits(f"select {name} as list, '{kind}' as kind, value, '{action}' as action, {n} as n from {keyed} x where {condition}"))
+    return " union all ".join(parts)
+
+
+def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host = url_filter.host_of(F.col("url"))
+    keys = pages.select(host.alias("host"), F.regexp_extract(host, r"([^.]+[.][^.]+)$", 1).alias("domain"),
+                        F.element_at(url_filter.keys_of(F.col("url")), -1)["value"].alias("page"))
+    keys = keys.withColumn("domain", F.when(F.col("domain") != "", F.col("domain")))
+    events = spark.sql(_events_sql("@").replace("@", "{keys}"), keys=keys)
+    start = F.lit("2024-01-01").cast("date")
+    events = events.select("list", "kind", "value", "action", F.date_add(start, F.col("n").cast("int")).alias("at"))
+    fetched = F.date_add(start, F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int"))
+    return url_filter.match(pages, url_filter.validity(events), "page_id", "url", fetched).drop("url")
+
+
+_URL_SQL = f"""
+with p as (
+  select page_id, url, date '2024-01-01' + ((page_id * 37) % 366)::int as fetched,
+    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)), '[.]$', ''), '') as host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path from pages),
+k as (select *, host || path as page, nullif(regexp_extract(host, '([^.]+[.][^.]+)$', 1), '') as domain from p),
+e as ({_events_sql("k")}),
+days as (select list, kind, value, date '2024-01-01' + n::int as day, bool_and(action = 'add') as active from e group by all),
+changes as (select * from (select *, coalesce(lag(active) over (partition by list, kind, value order by day), false) as before
+  from days) where active <> before),
+spans as (select list, kind, value, day as valid_from, valid_to from
+  (select *, lead(day) over (partition by list, kind, value order by day) as valid_to from changes) where active),
+keyed as (
+  select page_id, fetched, 'domain' as kind, array_to_string(labels[i:], '.') as value
+  from (select *, unnest(range(1, len(labels) + 1)) as i from (select *, string_split(host, '.') as labels from k where host is not null))
+  union all select page_id, fetched, 'url', page from k where host is not null),
+active as (select page_id, s.* from keyed join spans s using (kind, value)
+  where valid_from <= fetched and (valid_to is null or fetched < valid_to)),
+ranked as (select *, row_number() over (partition by page_id order by -length(value), list, kind, value, valid_from) as r,
+  count(distinct list) over (partition by page_id) as lists from active)
+select k.page_id, fetched, r is not null as blocked, coalesce(lists, 0)::int as n_lists, list, kind, value, valid_from, valid_to
+from k left join (select * from ranked where r = 1) x on x.page_id = k.page_id
+"""
+
+
 def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digest_column(F.col("text"), F.col("doc_id"), Segmentation(seed=4))
     return documents(spark, sf_dir).select("doc_id", found.alias("found")).select("doc_id", "found.*")
@@ -49,6 +118,23 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(documents(spark, sf_dir))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, Voronoi())
+
+
+_TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, v.vec_id,
+    list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * v.v[i]))::bigint as score
+  from v q join v on v.vec_id <> q.vec_id where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 10
+"""
+
+
 # Targets of the mix. The domain of a source is its number modulo three.
 DOMAINS = ("web", "books", "forum")
 MIX = Mix(
@@ -139,10 +225,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup,
     op2_warc_revisits,
+    op3_url_lists,
     op4_sentencepiece_sampling,
     op5_substring_dedup,
+    op8_exact_topk,
     op9_source_mixing,
     op10_language_id,
 )}
 
-ORACLES: dict[str, str] = {"op2_warc_revisits": _WARC_SQL, "op9_source_mixing": _MIX_SQL}
+ORACLES: dict[str, str] = {"op2_warc_revisits": _WARC_SQL, "op3_url_lists": _URL_SQL, "op8_exact_topk": _TOPK_SQL,
+                           "op9_source_mixing": _MIX_SQL}

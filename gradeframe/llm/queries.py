@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeframe.llm import langid, url_filter, warc
 from gradeframe.llm.common import documents, scratch
+from gradeframe.llm.fertility import verdicts
 from gradeframe.llm.knn import Voronoi, nearest
 from gradeframe.llm.mixing import LEVELS, Mix, selection
 from gradeframe.llm.near_dedup import NearDedup, near_duplicates
@@ -118,6 +119,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(documents(spark, sf_dir))
 
 
+def op6_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(documents(spark, sf_dir))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, Voronoi())
 
@@ -228,6 +233,7 @@ QUERIES = {f.__name__: f for f in (
     op3_url_lists,
     op4_sentencepiece_sampling,
     op5_substring_dedup,
+    op6_token_fertility,
     op8_exact_topk,
     op9_source_mixing,
     op10_language_id,

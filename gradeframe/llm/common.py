@@ -10,6 +10,8 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +77,16 @@ def chunked(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(start, end, UTF-8 of the texts) of neighbours with about ``most`` bytes together; NULL is empty.
+
+    Only one part at a time becomes Python objects.
+    """
+    raw = texts.cast(pa.binary())
+    for start, end in chunked(pc.fill_null(pc.binary_length(raw), 0).to_pylist(), most):
+        yield start, end, [t or b"" for t in raw.slice(start, end - start).to_pylist()]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mix (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -36,12 +36,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gradeframe.llm.common import chunked, encoded, mix, staged, starts_of, within, word_hashes
+from gradeframe.llm.common import mix, parts, staged, starts_of, within, word_hashes
 from gradeframe.llm.components import components
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
-_CHUNK = 100_000
+_CHUNK = 400_000  # bytes of text
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ class NearDedup:
     bands: int = 40
     band_rows: int = 5
     # Limits of one part of an arena: shingles of its members, documents compared with them.
-    part_shingles: int = 1_000_000
+    part_shingles: int = 500_000
     part_queries: int = 256
 
     @property
@@ -72,9 +72,9 @@ def word_list(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def shingle_set(text: str | None, size: int) -> frozenset:
+def shingle_set(text: bytes, size: int) -> frozenset:
     """The distinct shingles themselves, as tuples of words."""
-    words = word_list(encoded([text])[0])
+    words = word_list(text)
     if len(words) < size:
         return frozenset([tuple(words)] if words else [])
     return frozenset(zip(*[words[i:] for i in range(size)]))
@@ -136,9 +136,8 @@ def super_minhash(elements: np.ndarray, counts: np.ndarray, registers: int) -> n
 def _sketch(job: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = encoded(batch.column(1).to_pylist())
-            for start, end in chunked([len(t) // 6 + 1 for t in words], _CHUNK):
-                elements, counts = shingle_hashes([word_list(t) for t in words[start:end]], job.shingle_words)
+            for start, end, texts in parts(batch.column(1), _CHUNK):
+                elements, counts = shingle_hashes([word_list(t) for t in texts], job.shingle_words)
                 table = mix(super_minhash(elements, counts, job.registers))
                 at = starts_of(counts)
                 digests = [xxhash.xxh3_128_digest(elements[i:j].tobytes()) for i, j in zip(at[:-1], at[1:])]
@@ -175,13 +174,16 @@ def _verify(job: NearDedup):
         last, known = None, frozenset()
         for lefts, rights in texts:
             out = []
-            for a, b in zip(lefts.to_pylist(), rights.to_pylist()):
-                if a != last or last is None:
-                    last, known = a, shingle_set(a, job.shingle_words)
-                other = shingle_set(b, job.shingle_words)
-                shared = len(known & other)
-                united = len(known) + len(other) - shared
-                out.append(united > 0 and job.of * shared >= job.least * united)
+            for start, end, some in parts(rights, 4_000_000):
+                own = lefts.slice(start, end - start).cast(pa.binary())
+                for a, b in zip(own, some):
+                    a = a.as_py() or b""
+                    if a != last or last is None:
+                        last, known = a, shingle_set(a, job.shingle_words)
+                    other = shingle_set(b, job.shingle_words)
+                    shared = len(known & other)
+                    united = len(known) + len(other) - shared
+                    out.append(united > 0 and job.of * shared >= job.least * united)
             yield pa.array(out, pa.bool_())
 
     return linked
@@ -225,7 +227,7 @@ def _arena_links(job: NearDedup):
     """Links between components among the queries and members of one part of an arena, on their full sets."""
 
     def run(part: pa.Table) -> pa.Table:
-        texts = encoded(part.column("text").to_pylist())
+        texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
         asks = np.array(part.column("asks").to_pylist(), bool)
         roots = part.column("root").to_pylist()
         elements, counts = shingle_hashes([word_list(t) for t in texts], job.shingle_words)
@@ -269,10 +271,10 @@ def _arenas(named: DataFrame, roots: DataFrame, reps: DataFrame, texts: DataFram
     inside = inside.join(own, "hub", "left_semi").select("hub", "id", F.col("hub").alias("root"), F.lit(False).alias("asks"))
     everyone = outside.withColumn("asks", F.lit(True)).unionByName(inside).join(reps.select("id", "n"), "id")
     everyone = staged(everyone, "arena")
-    parts = everyone.groupBy("hub").agg(
+    shape = everyone.groupBy("hub").agg(
         (F.floor(F.sum("n") / job.part_shingles) + 1).cast("int").alias("blocks"),
         (F.floor(F.sum(F.col("asks").cast("int")) / job.part_queries) + 1).cast("int").alias("turns"))
-    everyone = everyone.join(staged(parts, "parts"), "hub")
+    everyone = everyone.join(staged(shape, "shape"), "hub")
     members = everyone.select(
         "hub", "id", "root", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
@@ -290,18 +292,19 @@ def _links(members: DataFrame, reps: DataFrame, texts: DataFrame, job: NearDedup
     near = _pairs_estimated(led.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), reps, job)
     # The likeliest pair of each document first: most others then lie within a component.
     first = near.groupBy("b").agg(F.max_by("a", "estimate").alias("a"))
-    roots = staged(components(_confirmed(first, texts, job)), "roots")
+    # Links are written before they are grouped, so that no task needs two Python workers at a time.
+    roots = staged(components(staged(_confirmed(first, texts, job), "links")), "roots")
     rest = staged(_rooted(near, roots), "rest")
     if not rest.isEmpty():
         links = _confirmed(rest, texts, job).join(rest, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        roots = _merged(roots, links)
+        roots = _merged(roots, staged(links, "links"))
     # Buckets that still hold more than one component, apart from the leader, which has met everyone.
     named = led.join(roots.withColumnRenamed("node", "id"), "id", "left") \
         .select("key", "id", F.coalesce("root", "id").alias("root"))
     several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     named = staged(named.join(several.select("key"), "key", "left_semi"), "unresolved")
     if not named.isEmpty():
-        roots = _merged(roots, _arenas(named, roots, reps, texts, job))
+        roots = _merged(roots, staged(_arenas(named, roots, reps, texts, job), "links"))
     return roots
 
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeframe.llm.common import SPACES, chunked, encoded, mix, starts_of, within, word_hashes
+from gradeframe.llm.common import SPACES, mix, parts, starts_of, within, word_hashes
 from gradeframe.llm.segmentation import default_model
 
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -147,19 +147,17 @@ def measured(text: Column, job: Fertility = Fertility()) -> Column:
         model = sentencepiece.SentencePieceProcessor(model_file=job.model_path or default_model())
         is_byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
         for batch in batches:
-            strings = batch.to_pylist()
-            data = encoded(strings)
             columns: list[list] = [[] for _ in range(9)]
-            for low, high in chunked([len(d) for d in data], _CHUNK):
-                lists = [d.split() for d in data[low:high]]
+            for _, _, data in parts(batch, _CHUNK):
+                lists = [d.split() for d in data]
                 counts = np.array([len(w) for w in lists], np.int64)
                 words = [w for part in lists for w in part]
                 hashes = word_hashes(words)
                 repeats = _repeats(hashes, counts, job.repeat_words)
                 total, spelt, entropy = _tokens(model, words, hashes, counts, is_byte) if words else (
                     np.zeros((3, len(counts)), np.int64))
-                for i, d in enumerate(data[low:high]):
-                    s = strings[low + i] or ""
+                for i, d in enumerate(data):
+                    s = d.decode("utf-8", "replace")
                     row = (counts[i], len(s) - (len(d) - len(d.translate(None, SPACES))),
                            len(d) - len(d.translate(None, _SYMBOLS)), _repeated_lines(d), repeats[i],
                            total[i], spelt[i], float(entropy[i]), script_of(s))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeframe.llm import langid, url_filter, warc
+from gradeframe.llm import langid, license_scan, url_filter, warc
 from gradeframe.llm.common import documents, scratch
 from gradeframe.llm.fertility import verdicts
 from gradeframe.llm.knn import Voronoi, nearest
@@ -123,6 +123,10 @@ def op6_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(documents(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, Voronoi())
 
@@ -234,6 +238,7 @@ QUERIES = {f.__name__: f for f in (
     op4_sentencepiece_sampling,
     op5_substring_dedup,
     op6_token_fertility,
+    op7_license_scan,
     op8_exact_topk,
     op9_source_mixing,
     op10_language_id,

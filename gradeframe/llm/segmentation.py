@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeframe.llm.common import chunked, mix, starts_of, within
+from gradeframe.llm.common import mix, parts, starts_of, within
 
 MARK = "▁"
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
@@ -201,9 +201,9 @@ def lattice(pieces: Pieces, codes: np.ndarray, spelt: np.ndarray, counts: np.nda
     return Lattice(base, first, source, piece, upto)
 
 
-def sample(pieces: Pieces, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(piece ids of all texts one after the other, number per text)."""
-    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+def sample(pieces: Pieces, texts: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece ids of all texts one after the other, number per text); texts are UTF-8."""
+    points = [np.frombuffer(t.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     lengths = np.array([len(p) + 1 if len(p) else 0 for p in points], np.int64)
     if not lengths.sum():
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
@@ -265,9 +265,9 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray) -> tuple[np.ndarr
     return out.astype(np.int32), np.bincount(owner, weights=width, minlength=len(texts)).astype(np.int64)
 
 
-def decode(pieces: Pieces, ids: list[int]) -> str:
-    """The text that pieces spell; the first blank is the word mark before the text."""
-    return b"".join(map(pieces.text.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
+def decode(pieces: Pieces, ids: list[int]) -> bytes:
+    """The text that pieces spell, in UTF-8; the first blank is the word mark before the text."""
+    return b"".join(map(pieces.text.__getitem__, ids))[1:]
 
 
 def row_keys(keys: list, seed: int) -> np.ndarray:
@@ -282,14 +282,14 @@ def pieces_column(text: Column, key: Column, job: Segmentation = Segmentation())
     def ids(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         pieces = Pieces(job)
         for keys, texts in batches:
-            seeds, strings = row_keys(keys.to_pylist(), job.seed), texts.to_pylist()
-            parts = [pa.array([], pa.list_(pa.int32()))]
-            for low, high in chunked([len(t) if t else 0 for t in strings], _CHUNK):
-                part = strings[low:high]
-                flat, counts = sample(pieces, [t or "" for t in part], seeds[low:high])
-                at = pa.array(starts_of(counts).astype(np.int32), mask=np.array([t is None for t in part] + [False]))
-                parts.append(pa.ListArray.from_arrays(at, pa.array(flat)))
-            yield pa.concat_arrays(parts)
+            seeds = row_keys(keys.to_pylist(), job.seed)
+            missing = np.append(np.asarray(texts.is_null()), False)
+            made = [pa.array([], pa.list_(pa.int32()))]
+            for low, high, some in parts(texts, _CHUNK):
+                flat, counts = sample(pieces, some, seeds[low:high])
+                at = pa.array(starts_of(counts).astype(np.int32), mask=np.append(missing[low:high], False))
+                made.append(pa.ListArray.from_arrays(at, pa.array(flat)))
+            yield pa.concat_arrays(made)
 
     return ids(key, text)
 
@@ -301,7 +301,7 @@ def decoded_column(ids: Column, job: Segmentation = Segmentation()) -> Column:
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = Pieces(job)
         for part in batches:
-            yield pa.array([None if i is None else decode(pieces, i) for i in part.to_pylist()], pa.string())
+            yield pa.array([None if i is None else decode(pieces, i).decode("utf-8", "surrogatepass") for i in part.to_pylist()], pa.string())
 
     return text(ids)
 
@@ -315,13 +315,12 @@ def digest_column(text: Column, key: Column, job: Segmentation = Segmentation())
         is_byte = np.zeros(pieces.size, bool)
         is_byte[pieces.byte_ids] = True
         for keys, texts in batches:
-            seeds, strings = row_keys(keys.to_pylist(), job.seed), texts.to_pylist()
+            seeds = row_keys(keys.to_pylist(), job.seed)
             counts, spelt, hashes, lossless = [], [], [], []
-            for low, high in chunked([len(t) if t else 0 for t in strings], _CHUNK):
-                part = [t or "" for t in strings[low:high]]
-                flat, sizes = sample(pieces, part, seeds[low:high])
+            for low, high, some in parts(texts, _CHUNK):
+                flat, sizes = sample(pieces, some, seeds[low:high])
                 at = starts_of(sizes)
-                for text, a, b in zip(part, at[:-1], at[1:]):
+                for text, a, b in zip(some, at[:-1], at[1:]):
                     own = flat[a:b]
                     counts.append(b - a)
                     spelt.append(int(is_byte[own].sum()))

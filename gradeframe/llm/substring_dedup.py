@@ -38,12 +38,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeframe.llm.common import chunked, encoded, mix, staged, starts_of, within, word_hashes
+from gradeframe.llm.common import chunked, encoded, mix, parts, staged, starts_of, within, word_hashes
 from gradeframe.llm.fm_index import FMIndex
 
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-_CHUNK = 200_000
+_CHUNK = 1_000_000  # bytes of text
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SEGMENTS = "start int, words int, anchor long, content long"
 
@@ -111,13 +111,11 @@ def _segments(job: SubstringDedup, level: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = encoded(batch.column(2).to_pylist())
-            lists = batch.column(3).to_pylist() if level else None
-            for low, high in chunked([len(t) // 6 + 1 for t in texts], _CHUNK):
+            for low, high, texts in parts(batch.column(2), _CHUNK):
                 pieces, row, offset, key = [], [], [], []
                 for i in range(low, high):
-                    words = texts[i].split()
-                    for p in lists[i] if level else ({"start": 0, "words": len(words), "anchor": 0},):
+                    words = texts[i - low].split()
+                    for p in batch.column(3)[i].as_py() if level else ({"start": 0, "words": len(words), "anchor": 0},):
                         pieces.append(words[p["start"]:p["start"] + p["words"]])
                         row.append(i)
                         offset.append(p["start"])
@@ -142,13 +140,12 @@ def _segments(job: SubstringDedup, level: int):
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the listed segments of each text."""
     for batch in batches:
-        texts, lists = encoded(batch.column(1).to_pylist()), batch.column(2).to_pylist()
-        for low, high in chunked([len(t) for t in texts], 4_000_000):
+        for low, high, texts in parts(batch.column(1), 2_000_000):
             out: list[tuple] = []
             for i in range(low, high):
-                words = texts[i].split()
+                words = texts[i - low].split()
                 out += [(i, p["anchor"], p["content"], b" ".join(words[p["start"]:p["start"] + p["words"]]))
-                        for p in lists[i]]
+                        for p in batch.column(2)[i].as_py()]
             for a, b in chunked([len(o[3]) for o in out], 8_000_000):
                 part = out[a:b]
                 yield pa.RecordBatch.from_arrays([
@@ -283,13 +280,14 @@ def _digest(window: int):
     @F.arrow_udf("n_words long, n_removed long, kept_sha256 string")
     def digest(texts: pa.Array, gone: pa.Array) -> pa.Array:
         total, removed, hashes = [], [], []
-        for text, runs in zip(encoded(texts.to_pylist()), gone.to_pylist()):
-            words = text.split()
-            total.append(len(words))
-            if runs:
-                words = [w for w, stay in zip(words, _left(len(words), runs, window)) if stay]
-            removed.append(total[-1] - len(words))
-            hashes.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        for low, _, some in parts(texts, 4_000_000):
+            for i, text in enumerate(some, low):
+                words, runs = text.split(), gone[i].as_py()
+                total.append(len(words))
+                if runs:
+                    words = [w for w, stay in zip(words, _left(len(words), runs, window)) if stay]
+                removed.append(total[-1] - len(words))
+                hashes.append(hashlib.sha256(b" ".join(words)).hexdigest())
         return pa.StructArray.from_arrays(
             [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes, pa.string())],
             ["n_words", "n_removed", "kept_sha256"])

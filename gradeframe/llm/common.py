@@ -56,6 +56,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Write a frame to the shared folder, dealt out by keys, so that later joins on them do not move it again.
+
+    There are as many buckets as shuffle partitions. The table's name lives only
+    until the frame knows its files.
+    """
+    spark = df.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(count, *keys).write.format("parquet").bucketBy(count, *keys) \
+        .option("path", scratch(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"drop table {table}")
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -38,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeframe.llm.common import chunked, encoded, mix, parts, staged, starts_of, within, word_hashes
+from gradeframe.llm.common import bucketed, chunked, encoded, mix, parts, staged, starts_of, within, word_hashes
 from gradeframe.llm.fm_index import FMIndex
 
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -208,13 +208,13 @@ def _contents(segments: DataFrame) -> DataFrame:
         .select("anchor", "content", "s.*")
 
 
-def repeated_windows(docs: DataFrame, job: SubstringDedup, id_col: str, text_col: str) -> DataFrame:
+def repeated_windows(rows: DataFrame, job: SubstringDedup) -> DataFrame:
     """(id, row, gone): for rows with repeats, the runs of windows that start in a smaller id.
 
-    ``row`` is a hash of the text, which tells rows that share an id apart.
+    ``rows`` has id, row and text; ``row`` is a hash of the text, which tells
+    rows that share an id apart.
     """
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    rows = rows.where("id is not null and text is not null")
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, row long, {_SEGMENTS}"
     segments = _spread(staged(rows.mapInArrow(_segments(job, 0), schema), "segments"))
@@ -268,11 +268,15 @@ def _left(words: int, gone: list[dict], window: int) -> np.ndarray:
 
 
 def _joined(docs: DataFrame, job: SubstringDedup, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
-    """docs under the names c0, c1, ... with the windows to remove as ``gone``."""
+    """docs under the names c0, c1, ... with the windows to remove as ``gone``.
+
+    The texts are dealt out by id once; taking segments out of them and removing
+    words from them both find them there.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
-    gone = repeated_windows(docs, job, id_col, text_col)
     key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    plain = docs.toDF(*names).withColumn("row", F.xxhash64(text))
+    plain = bucketed(docs.toDF(*names).withColumn("row", F.xxhash64(text)), [key, "row"], "texts")
+    gone = repeated_windows(plain.select(F.col(key).alias("id"), "row", F.col(text).alias("text")), job)
     return plain.join(gone.withColumnRenamed("id", key), [key, "row"], "left"), names
 
 

@@ -26,7 +26,7 @@ from gradeframe.sources.tables import (
 )
 from gradeframe.spec import EvalSpec, Question
 from gradeframe.streaming.streams import (
-    read_stream, read_stream_results, stream_metrics, stream_score,
+    read_stream, read_stream_metrics, read_stream_results, stream_metrics, stream_score,
 )
 
 __all__ = sorted(name for name in dir() if not name.startswith("_"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe import fixed_values as fv
@@ -9,12 +11,15 @@ from gradeframe.functions.text import strip
 from gradeframe.spec import column, has_column
 
 
-def wide_label_names(df: DataFrame, max_sentences: int) -> list[str]:
-    names = [fv.WIDE_LABEL.format(i) for i in range(1, max_sentences + 1)]
-    return [name for name in names if has_column(df, name)]
+def wide_label_names(df: DataFrame, max_sentences: int | None = None) -> list[str]:
+    """The ``label_i`` columns that are there, by number, up to a number if one is given."""
+    prefix = fv.WIDE_LABEL.format("")
+    numbers = sorted(int(n.removeprefix(prefix)) for n in df.columns
+                     if n.startswith(prefix) and re.fullmatch("[1-9][0-9]*", n.removeprefix(prefix)))
+    return [fv.WIDE_LABEL.format(i) for i in numbers if max_sentences is None or i <= max_sentences]
 
 
-def labels_from_wide(df: DataFrame, max_sentences: int) -> DataFrame:
+def labels_from_wide(df: DataFrame, max_sentences: int | None = None) -> DataFrame:
     """Replace ``label_1 .. label_N`` by one array; absent columns are skipped."""
     names = wide_label_names(df, max_sentences)
     labels = F.array(*[column(n).cast("string") for n in names]).cast("array<string>")

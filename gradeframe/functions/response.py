@@ -10,7 +10,15 @@ from gradeframe import fixed_values as fv
 from gradeframe.functions.text import let, sentence_count, strip
 from gradeframe.spec import EvalSpec, column
 
-_STRICT = {"allowSingleQuotes": "false"}
+_WHOLE, _BROKEN = "gf-whole-response", "gf-broken"
+_MOST = str(2 ** 31 - 1)
+_STRICT = {
+    "allowSingleQuotes": "false", "columnNameOfCorruptRecord": _BROKEN,
+    # No length makes a value invalid. Nesting stays within what recursive parsers read.
+    "maxNumLen": _MOST, "maxStringLen": _MOST, "maxNestingDepth": "1000",
+}
+# Outside of strings: infinities that JSON readers other than Spark's refuse.
+_STRINGS, _NOT_JSON = r'"(?:[^"\\]|\\.)*+"', r"\+I|INF"
 
 
 def braced_text(text: Column) -> Column:
@@ -24,26 +32,39 @@ def braced_text(text: Column) -> Column:
 def extract_json_object(text: Column, answer_keys: Sequence[str] = (fv.JSON_ANSWER,)) -> Column:
     """The JSON object in a text as ``struct<answer keys, Sentence_Relevance>``.
 
-    NULL unless everything between the outer braces is one valid object.
-    ``from_json`` ignores what follows the first value, so the object is put
-    in an array before a closing element that carries a hash of the text:
-    only if that element comes second was the whole text read as one value.
+    NULL unless everything between the outer braces is one valid object. All
+    fields are read as text, which makes the reader go through every token of
+    every value, and a broken one marks the whole record. The object stands in
+    an array before an element that carries a hash of the text: only if that
+    element comes second was the text read as one value. The labels are then
+    read by type, for text alone does not tell a list from a string that looks
+    like one; of repeated keys the last value counts.
     """
     names = [*answer_keys, fv.JSON_LABELS]
     seal = next(name for name in ("seal", "seal_", "seal__") if name not in names)
-    fields = [f"`{name}` string" for name in answer_keys]
-    fields += [f"`{fv.JSON_LABELS}` array<string>", f"{seal} string"]
+    fields = ", ".join(f"`{name}` string" for name in [*names, seal])
+    kept = ", ".join(f"`{name}` string" for name in answer_keys)
+
+    def whole(body: Column, read: Column, mark: Column) -> Column:
+        value = F.get(read[_WHOLE], F.lit(0))
+        listed = F.from_json(body, f"`{fv.JSON_LABELS}` array<string>", _STRICT)[fv.JSON_LABELS]
+        labels = F.when(F.startswith(value[fv.JSON_LABELS], F.lit("[")), listed)
+        found = F.struct(*[value[name].alias(name) for name in answer_keys], labels.alias(fv.JSON_LABELS))
+        sealed = (F.size(read[_WHOLE]) == 2) & (F.get(read[_WHOLE], F.lit(1))[seal] == mark)
+        return F.when(read[_BROKEN].isNull() & sealed, found.cast(f"struct<{kept}, `{fv.JSON_LABELS}` array<string>>"))
 
     def parse(body: Column) -> Column:
         mark = F.xxhash64(body).cast("string")
-        sealed = F.concat(F.lit("["), body, F.lit(f',{{"{seal}":"'), mark, F.lit('"}]'))
-        elements = F.from_json(sealed, f"array<struct<{', '.join(fields)}>>", _STRICT)
-        whole = F.filter(
-            F.array(elements), lambda e: (F.size(e) == 2) & (F.get(e, F.lit(1))[seal] == mark)
-        )
-        return F.get(F.get(whole, F.lit(0)), F.lit(0))
+        wrapped = F.concat(F.lit(f'{{"{_WHOLE}":['), body, F.lit(f',{{"{seal}":"'), mark, F.lit('"}]}'))
+        read = F.from_json(wrapped, f"`{_WHOLE}` array<struct<{fields}>>, `{_BROKEN}` string", _STRICT)
+        return let(read, lambda r: whole(body, r, mark))
+
+    def readable(body: Column) -> Column:
+        odd = F.regexp_replace(body, _STRINGS, '""').rlike(_NOT_JSON)
+        suspect = F.contains(body, F.lit("INF")) | F.contains(body, F.lit("+I"))
+        return (body != "") & ~F.contains(body, F.lit(_WHOLE)) & ~F.when(suspect, odd).otherwise(False)
 
-    return let(braced_text(text), lambda body: F.when(body != "", parse(body)))
+    return let(braced_text(text), lambda body: F.when(readable(body), parse(body)))
 
 
 def _if_one_of(value: Column, allowed: Sequence[str]) -> Column:
@@ -84,7 +105,13 @@ def clean_labels(labels: Column, n_sentences: Column) -> Column:
     )
 
 
-def parse_single(df: DataFrame, response: Column, n_sentences: Column, max_sentences: int) -> DataFrame:
+def _cut(labels: Column, max_sentences: int | None) -> Column:
+    return labels if max_sentences is None else F.slice(labels, 1, max_sentences)
+
+
+def parse_single(
+    df: DataFrame, response: Column, n_sentences: Column, max_sentences: int | None = None
+) -> DataFrame:
     """Add ``LLM_answer`` and ``labels``: from the JSON object, else from marks.
 
     A label list of the right length with only unknown labels is not empty,
@@ -100,10 +127,10 @@ def parse_single(df: DataFrame, response: Column, n_sentences: Column, max_sente
         })
         .withColumn(
             fv.LABELS,
-            F.slice(
+            _cut(
                 F.when(F.size("_gf_listed") > 0, F.col("_gf_listed"))
                 .otherwise(clean_labels(labels_from_text(text), F.col("_gf_n"))),
-                1, max_sentences,
+                max_sentences,
             ),
         )
         .drop("_gf_json", "_gf_n", "_gf_listed")
@@ -111,7 +138,8 @@ def parse_single(df: DataFrame, response: Column, n_sentences: Column, max_sente
 
 
 def parse_multi(
-    df: DataFrame, response: Column, names: Sequence[str], n_sentences: Column, max_sentences: int
+    df: DataFrame, response: Column, names: Sequence[str], n_sentences: Column,
+    max_sentences: int | None = None,
 ) -> DataFrame:
     """Add one answer column per question name and ``labels``, from JSON only."""
     text = F.coalesce(response, F.lit(""))
@@ -119,7 +147,7 @@ def parse_multi(
     labels = clean_labels(F.col("_gf_json")[fv.JSON_LABELS], F.col("_gf_n"))
     return (
         df.withColumns({"_gf_json": extract_json_object(text, names), "_gf_n": n_sentences})
-        .withColumns({**answers, fv.LABELS: F.slice(labels, 1, max_sentences)})
+        .withColumns({**answers, fv.LABELS: _cut(labels, max_sentences)})
         .drop("_gf_json", "_gf_n")
     )
 

@@ -8,6 +8,7 @@ rows is therefore no heavier than any other.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions.labels import label_count, majority_label, valid_labels
@@ -42,9 +43,30 @@ def mean_ci(df: DataFrame, value_col: str, by: str | None = None) -> DataFrame:
     return _grouped(df, by).agg(*mean_ci_columns(column(value_col).cast("double")))
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """A group column with NaN as NULL: both are missing groups."""
+    value = column(name)
+    kind = df.schema[name].dataType
+    return F.when(~F.isnan(value), value) if isinstance(kind, (DoubleType, FloatType)) else value
+
+
 def _grouped(df: DataFrame, by: str | None):
     """All rows, or one group per value; the missing group is left out."""
-    return df.where(column(by).isNotNull()).groupBy(column(by)) if by else df.groupBy()
+    return df.where(present(df, by).isNotNull()).groupBy(column(by)) if by else df.groupBy()
+
+
+def with_overall_row(rows: DataFrame, counts: list[str]) -> DataFrame:
+    """Aggregated rows (``is_overall``, ``grp``, aggregates) with an overall row even if there were no rows to aggregate.
+
+    Grouping sets give none for an empty table; a row of zeros does, NULL for
+    aggregates that are no counts.
+    """
+    names = [n for n in rows.columns if n not in ("is_overall", "grp")]
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    zero = rows.sparkSession.range(0, 1, 1, 1).select(
+        F.lit(True).alias("is_overall"), F.lit(None).cast(kinds["grp"]).alias("grp"),
+        *[F.lit(0 if n in counts else None).cast(kinds[n]).alias(n) for n in names])
+    return rows.unionByName(zero).groupBy("is_overall", "grp").agg(*[F.max(column(n)).alias(n) for n in names])
 
 
 def refusal_rate(df: DataFrame, answer_col: str, by: str | None = None) -> DataFrame:
@@ -80,21 +102,22 @@ def answer_metrics(
     answer = column(answer_col)
     right = is_correct(answer, column(gold_col)) if has_column(df, gold_col) else F.lit(None).cast("boolean")
     grouped = has_column(df, by)
-    group = column(by) if grouped else F.lit(None).cast("string")
+    group = present(df, by) if grouped else F.lit(None).cast("string")
     facts = df.select(group.alias("grp"), is_valid_answer(answer).alias("ok"), right.alias("right"))
-    refused, total, valid = F.count_if(~F.col("ok")), F.count(F.lit(1)), F.count_if("ok")
-    correct = F.count_if("right") if has_column(df, gold_col) else F.lit(None).cast("long")
-    metrics = [
-        refused.alias("refused"), total.alias("total"), ratio(refused, total).alias("refusal_rate"),
-        correct.alias("correct"), valid.alias("valid"), ratio(correct, valid).alias("accuracy"),
-    ]
-    if not grouped:
-        rows = facts.agg(*metrics)
-        return rows.select(F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("grp"), *rows.columns)
-    rows = facts.groupingSets([[], [F.col("grp")]], F.col("grp")).agg(F.grouping("grp").alias("over_all"), *metrics)
-    return rows.where((F.col("over_all") == 1) | F.col("grp").isNotNull()).select(
-        F.when(F.col("over_all") == 1, "overall").otherwise("group").alias("scope"),
-        *[n for n in rows.columns if n != "over_all"],
+    counts = [F.count_if(~F.col("ok")).alias("refused"), F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("valid"),
+              (F.count_if("right") if has_column(df, gold_col) else F.lit(None).cast("long")).alias("correct")]
+    if grouped:
+        rows = facts.groupingSets([[], [F.col("grp")]], F.col("grp")).agg(
+            (F.grouping("grp") == 1).alias("is_overall"), *counts).where("is_overall or grp is not null")
+        if not df.isStreaming:
+            zeros = ["refused", "total", "valid"] + (["correct"] if has_column(df, gold_col) else [])
+            rows = with_overall_row(rows, zeros)
+    else:
+        rows = facts.agg(*counts).select(F.lit(True).alias("is_overall"), F.lit(None).cast("string").alias("grp"), "*")
+    return rows.select(
+        F.when(F.col("is_overall"), "overall").otherwise("group").alias("scope"), "grp",
+        "refused", "total", ratio(F.col("refused"), F.col("total")).alias("refusal_rate"),
+        "correct", "valid", ratio(F.col("correct"), F.col("valid")).alias("accuracy"),
     )
 
 

@@ -98,7 +98,13 @@ def results_union(earlier: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def settled_results(results: DataFrame, id_col: str) -> DataFrame:
-    """Results without the error rows that a later retry replaced."""
+    """Results without the error rows that a later retry replaced.
+
+    Of an id whose tries all failed one error row stays; error rows without an
+    id all stay.
+    """
     failed = results.where(F.col(fv.ERROR).isNotNull())
     fine = results.where(F.col(fv.ERROR).isNull())
-    return fine.unionByName(pending(failed, fine, id_col))
+    left = pending(failed, fine, id_col)
+    named = left.where(column(id_col).isNotNull()).dropDuplicates([id_col])
+    return fine.unionByName(named).unionByName(left.where(column(id_col).isNull()))

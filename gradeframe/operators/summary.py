@@ -16,8 +16,9 @@ def row_summary(results: DataFrame, spec: EvalSpec) -> DataFrame:
 
     A projection only. Roles without a column are left out.
     """
-    labels = F.slice(F.col(fv.LABELS), 1, spec.max_sentences) if has_column(results, fv.LABELS) \
-        else F.array().cast("array<string>")
+    labels = F.col(fv.LABELS) if has_column(results, fv.LABELS) else F.array().cast("array<string>")
+    if spec.max_sentences is not None:
+        labels = F.slice(labels, 1, spec.max_sentences)
     known = results.withColumn("_valid", valid_labels(labels))
     out = []
     if has_column(results, spec.id_col):

@@ -7,7 +7,7 @@ from pyspark.sql.types import BooleanType
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions.predicates import is_correct, is_valid_answer
-from gradeframe.operators.metrics import interval, ratio, with_label_facts
+from gradeframe.operators.metrics import interval, present, ratio, with_label_facts, with_overall_row
 from gradeframe.spec import EvalSpec, column, has_column
 
 _LABEL_NUMBERS = range(len(fv.RELEVANCE_LABELS))
@@ -20,7 +20,7 @@ def _facts(results: DataFrame, spec: EvalSpec) -> DataFrame:
     labelled = with_label_facts(results, fv.LABELS, spec.max_sentences)
     facts = [F.lit(1).alias("present")]
     if has_column(results, spec.group_col):
-        facts.append(column(spec.group_col).alias("grp"))
+        facts.append(present(results, spec.group_col).alias("grp"))
     for q, question in enumerate(spec.targets):
         if not has_column(results, question.name):
             continue
@@ -64,13 +64,7 @@ def _totals(results: DataFrame, spec: EvalSpec) -> DataFrame:
         .agg((F.grouping("grp") == 1).alias("is_overall"), *named)
         .where(F.col("is_overall") | F.col("grp").isNotNull())
     )
-    # Grouping sets give no overall row for an empty table; a row of zeros does.
-    counts = [n for n in aggregates if not n.startswith(("mean_", "std_"))]
-    zero = results.sparkSession.range(0, 1, 1, 1).select(
-        F.lit(True).alias("is_overall"), F.lit(None).cast(facts.schema["grp"].dataType).alias("grp"),
-        *[F.expr(f"0L as {n}" if n in counts else f"cast(null as double) as {n}") for n in aggregates],
-    )
-    return rows.unionByName(zero).groupBy("is_overall", "grp").agg(*[F.expr(f"max({n}) as {n}") for n in aggregates])
+    return with_overall_row(rows, [n for n in aggregates if not n.startswith(("mean_", "std_"))])
 
 
 def evaluate(results: DataFrame, spec: EvalSpec) -> DataFrame:

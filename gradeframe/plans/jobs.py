@@ -13,11 +13,12 @@ from gradeframe.operators.scoring import MakeResponder, score, score_recorded
 from gradeframe.operators.summary import row_summary
 from gradeframe.plans.evaluate import evaluate, report_lines
 from gradeframe.sources.tables import (
-    append_results, existing_results, read_results, scratch_path, write_report, write_summary,
+    append_results, existing_results, read_results, remove_path, scratch_path, write_report, write_summary,
 )
-from gradeframe.spec import EvalSpec
+from gradeframe.spec import EvalSpec, has_column
 
 _SLICE = "_gf_slice"
+ROWS_PER_SLICE, MOST_SLICES = 16, 100
 
 
 @dataclass(frozen=True)
@@ -39,11 +40,12 @@ def _append_counted(scored: DataFrame, results_path: str) -> tuple[int, int]:
     return seen.get["written"], seen.get["errors"]
 
 
-def _slices(todo: DataFrame, n: int) -> list[DataFrame]:
-    """The rows staged in n parts of whole input partitions, to be read one
-    part at a time; no shuffle, and no id weighs on one part."""
-    path = scratch_path(todo.sparkSession, "slices")
-    todo.withColumn(_SLICE, F.spark_partition_id() % n).write.partitionBy(_SLICE).parquet(path)
+def _slices(todo: DataFrame, n: int, path: str) -> list[DataFrame]:
+    """The rows staged in n parts, to be read one part at a time. Rows of one
+    input partition are dealt to all parts; no shuffle, and no id weighs on one
+    part."""
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    todo.withColumn(_SLICE, turn).write.partitionBy(_SLICE).parquet(path)
     schema = StructType([*todo.schema.fields, StructField(_SLICE, IntegerType())])
     read = todo.sparkSession.read.schema(schema).parquet(path)
     return [read.where(F.col(_SLICE) == k).drop(_SLICE) for k in range(n)]
@@ -51,31 +53,44 @@ def _slices(todo: DataFrame, n: int) -> list[DataFrame]:
 
 def run_scoring(
     items: DataFrame, spec: EvalSpec, make_responder: MakeResponder, results_path: str,
-    partitions: int | None = None, batch_rows: int = 64, retry_errors: bool = False, slices: int = 1,
+    partitions: int | None = None, batch_rows: int = 64, retry_errors: bool = False, slices: int | None = None,
 ) -> RunCounters:
     """Score the items that have no result yet and append their results.
 
-    One slice is one append: a run that dies before its end has written
-    nothing. With more ``slices`` each is appended when it is done, and a
-    re-run goes on after the last of them.
+    The open items are staged and asked for slice by slice; each slice is
+    appended when it is done, and a re-run goes on after the last of them. By
+    default there is a slice per ``ROWS_PER_SLICE`` items, ``MOST_SLICES`` at
+    most, so that a run that dies loses a hundredth of its responses or one
+    slice. ``partitions`` responders (by default one per core) work at a time.
     """
-    existing = existing_results(items.sparkSession, results_path)
+    spark = items.sparkSession
+    existing = existing_results(spark, results_path)
     todo = pending(items, existing, spec.id_col, retry_errors)
+    total = items.count()
+    slices = slices or max(1, min(MOST_SLICES, -(-total // ROWS_PER_SLICE)))
+    partitions = partitions or spark.sparkContext.defaultParallelism
     written = errors = 0
-    for part in _slices(todo, slices) if slices > 1 else [todo]:
-        scored = score(part, spec, make_responder, partitions, batch_rows)
-        counts = _append_counted(scored, results_path)
-        written, errors = written + counts[0], errors + counts[1]
-    return RunCounters(items.count() - errors, errors, written)
+    path = scratch_path(spark, "slices")
+    try:
+        for part in _slices(todo, slices, path) if slices > 1 else [todo]:
+            scored = score(part, spec, make_responder, partitions, batch_rows)
+            counts = _append_counted(scored, results_path)
+            written, errors = written + counts[0], errors + counts[1]
+    finally:
+        remove_path(spark, path)
+    return RunCounters(total - errors, errors, written)
 
 
 def run_recorded(
     items: DataFrame, responses: DataFrame, spec: EvalSpec, results_path: str,
-    response_col: str = "response", attempt_col: str | None = None, unique: bool = False,
+    response_col: str = "response", attempt_col: str | None = None, unique: bool = False, retry_errors: bool = False,
 ) -> RunCounters:
-    """The same with recorded responses in place of a responder."""
+    """The same with recorded responses in place of a responder.
+
+    ``retry_errors`` looks again for responses that were not there before.
+    """
     existing = existing_results(items.sparkSession, results_path)
-    todo = pending(items, existing, spec.id_col)
+    todo = pending(items, existing, spec.id_col, retry_errors)
     scored = score_recorded(todo, responses, spec, response_col, attempt_col, unique)
     written, errors = _append_counted(scored, results_path)
     return RunCounters(items.count() - errors, errors, written)
@@ -83,17 +98,20 @@ def run_recorded(
 
 def run_evaluation(
     spark: SparkSession, results_path: str, spec: EvalSpec, output_dir: str,
-    fmt: str = "parquet", summary_fmt: str = "parquet", settle: bool = False,
+    fmt: str = "parquet", summary_fmt: str = "parquet", settle: bool | None = None,
 ) -> DataFrame:
     """Write metrics, report and summary of a results table; gives the metrics.
 
-    ``settle`` leaves out the error rows that a run with ``retry_errors``
-    replaced.
+    Error rows that a run with ``retry_errors`` replaced are left out, unless
+    ``settle`` is False.
 
     The report is made from the written metrics, so the results are scanned
     once for all metrics and once for the summary.
     """
     results = read_results(spark, results_path, fmt, spec.max_sentences)
+    if settle is None:
+        settle = has_column(results, fv.ERROR) and has_column(results, spec.id_col) \
+            and not results.where(F.col(fv.ERROR).isNotNull()).isEmpty()
     if settle:
         results = settled_results(results, spec.id_col)
     evaluate(results, spec).write.mode("overwrite").parquet(f"{output_dir}/metrics")
@@ -105,7 +123,9 @@ def run_evaluation(
 
 def run_all(
     items: DataFrame, spec: EvalSpec, make_responder: MakeResponder, results_path: str, output_dir: str,
+    partitions: int | None = None, batch_rows: int = 64, retry_errors: bool = False, slices: int | None = None,
+    settle: bool | None = None,
 ) -> DataFrame:
     """Score, then evaluate everything scored so far."""
-    run_scoring(items, spec, make_responder, results_path)
-    return run_evaluation(items.sparkSession, results_path, spec, output_dir)
+    run_scoring(items, spec, make_responder, results_path, partitions, batch_rows, retry_errors, slices)
+    return run_evaluation(items.sparkSession, results_path, spec, output_dir, settle=settle)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +31,10 @@ SETTINGS = {
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **more: str) -> SparkSession:
     """A session on this machine, for tests and the benchmark."""
+    if "spark.checkpoint.dir" not in more:
+        folder = tempfile.mkdtemp(prefix="gradeframe-")
+        atexit.register(shutil.rmtree, folder, True)
+        more["spark.checkpoint.dir"] = f"file:{folder}"
     builder = SparkSession.builder.master(f"local[{cores}]").appName("gradeframe")
     settings = {
         **SETTINGS,

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import BooleanType, StringType, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions.labels import labels_from_wide, wide_label_names
@@ -19,19 +18,36 @@ _CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignore
 
 def read_table(
     spark: SparkSession, path: str, fmt: str = "parquet",
-    schema: StructType | str | None = None, multi_line: bool = True,
+    schema: StructType | str | None = None, multi_line: bool = True, types: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Read parquet or CSV.
 
-    CSV columns are text unless a schema is given: no inference pass over the
-    data, and ids keep the text they have. Fields that span lines need
-    ``multi_line``, which makes one task per file; turn it off for large
+    CSV columns are text unless a schema is given or ``types`` names others
+    ({"grp": "int"}; text that is no such value is an error): no inference
+    pass over the data, and ids keep the text they have. Every file's header
+    must name the columns in the same order, and a row with more fields than
+    there are columns is an error; short rows end in NULL. Fields that span lines
+    need ``multi_line``, which makes one task per file; turn it off for large
     one-line files, or convert to parquet once.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
-    if fmt == "csv":
-        return reader.options(**_CSV, multiLine=multi_line).csv(path)
-    return reader.format(fmt).load(path)
+    if fmt != "csv":
+        return reader.format(fmt).load(path)
+    options = {**_CSV, "multiLine": multi_line}
+    if schema is None:
+        schema = spark.read.options(**options).csv(path).schema
+    elif isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    # Headers are held against the names by Spark; what is too much ends up in the broken record.
+    broken = next(n for n in ("_gf_broken", "_gf_broken_") if n not in schema.names)
+    wide = StructType([*schema.fields, StructField(broken, StringType())])
+    rows = spark.read.schema(wide).options(**options, enforceSchema=False, columnNameOfCorruptRecord=broken).csv(path)
+    last = column(schema.names[-1])
+    # A short row is broken too, but its last column is NULL.
+    message = F.concat(F.lit("CSV row with too many fields or a value of another type: "), column(broken))
+    checked = F.when(column(broken).isNotNull() & last.isNotNull(), F.raise_error(message)).otherwise(last)
+    rows = rows.withColumn(schema.names[-1], checked.cast(schema.fields[-1].dataType)).drop(broken)
+    return rows.withColumns({name: column(name).cast(kind) for name, kind in (types or {}).items()})
 
 
 def normalize_missing(
@@ -45,19 +61,21 @@ def normalize_missing(
 
 def read_items(
     spark: SparkSession, path: str, fmt: str = "parquet",
-    schema: StructType | str | None = None, multi_line: bool = True,
+    schema: StructType | str | None = None, multi_line: bool = True, types: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """The items to score. CSV missing markers become NULL."""
-    items = read_table(spark, path, fmt, schema, multi_line)
-    return normalize_missing(items) if fmt == "csv" else items
+    if fmt != "csv":
+        return read_table(spark, path, fmt, schema, multi_line)
+    items = normalize_missing(read_table(spark, path, fmt, schema, multi_line))
+    return items.withColumns({name: column(name).cast(kind) for name, kind in (types or {}).items()})
 
 
 def read_results(
-    spark: SparkSession, path: str, fmt: str = "parquet", max_sentences: int = 30,
-    schema: StructType | str | None = None, multi_line: bool = True,
+    spark: SparkSession, path: str, fmt: str = "parquet", max_sentences: int | None = None,
+    schema: StructType | str | None = None, multi_line: bool = True, types: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Scored rows; wide label columns become one array."""
-    results = read_items(spark, path, fmt, schema, multi_line)
+    results = read_items(spark, path, fmt, schema, multi_line, types)
     if fv.LABELS not in results.columns and wide_label_names(results, max_sentences):
         results = labels_from_wide(results, max_sentences)
     return results
@@ -129,14 +147,28 @@ def write_report(lines: DataFrame, path: str) -> None:
     lines.orderBy(*[n for n in lines.columns if n != "text"]).select("text").write.mode("overwrite").text(path)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the folder the cluster shares for checkpoints."""
+def scratch_root(spark: SparkSession) -> str:
+    """The folder the cluster shares for checkpoints; where none is set, one below the warehouse, which is shared as well."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return (shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared scratch folder.
+
+    It is removed when the driver ends, or before that by a job that knows it
+    is done with it.
+    """
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that scratch_path named."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

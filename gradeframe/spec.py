@@ -32,7 +32,8 @@ class EvalSpec:
     group_col: str | None = None
     gold_col: str | None = None
     questions: tuple[Question, ...] = ()
-    max_sentences: int = 30
+    # Labels past this number are cut off; None keeps all.
+    max_sentences: int | None = None
     prompt: str = fv.DEFAULT_PROMPT
     model_name: str = ""
     # Handed to the responder untouched (temperature, endpoint, ...).

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from gradeframe.operators.metrics import answer_metrics
+from gradeframe.operators.metrics import answer_metrics, with_overall_row
 from gradeframe.operators.resume import pending
-from gradeframe.sources.tables import existing_results, scratch_path
+from gradeframe.sources.tables import existing_results, remove_path, scratch_path
 from gradeframe.spec import EvalSpec
 
-_STREAM, _BATCH = "stream", "batch_id"
+_STREAM, _BATCH, _VERSION = "stream", "batch_id", "version"
 
 
 def read_stream(
@@ -62,17 +62,45 @@ def stream_score(
     return items.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a table."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(there):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(there)]
+    done = [n for n in names if n.startswith(f"{_VERSION}=")
+            and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n.partition("=")[2]) for n in done)
+
+
+def read_stream_metrics(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version of what stream_metrics writes; None before the first."""
+    versions = _versions(spark, path)
+    return spark.read.parquet(f"{path}/{_VERSION}={versions[-1]}") if versions else None
+
+
 def stream_metrics(
     results: DataFrame, answer_col: str, gold_col: str, by: str, path: str, checkpoint: str
 ) -> DataStreamWriter:
     """Running refusal and accuracy, overall and per group, over arriving results.
 
-    The state is a few counters per group. Each micro-batch replaces the whole
-    table of metrics at ``path``.
+    The state is a few counters per group. Each micro-batch writes a version of
+    its own, the whole table of metrics; ``read_stream_metrics`` takes the
+    newest that is complete, so a reader never meets a table that is half
+    replaced. Older versions but the last are removed.
     """
 
     def write_batch(metrics: DataFrame, batch_id: int) -> None:
-        metrics.write.mode("overwrite").parquet(path)
+        # Before any row has come there is an overall row of zeros.
+        counted = metrics.withColumn("is_overall", F.col("scope") == "overall").drop("scope")
+        whole = with_overall_row(counted, ["refused", "total", "valid"] + (["correct"] if gold_col in results.columns else []))
+        shown = whole.select(F.when(F.col("is_overall"), "overall").otherwise("group").alias("scope"),
+                             *[n for n in metrics.columns if n != "scope"])
+        shown.write.mode("overwrite").parquet(f"{path}/{_VERSION}={batch_id}")
+        for old in _versions(metrics.sparkSession, path):
+            if old < batch_id - 1:
+                remove_path(metrics.sparkSession, f"{path}/{_VERSION}={old}")
 
     return (
         answer_metrics(results, answer_col, gold_col, by)

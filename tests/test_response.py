@@ -25,6 +25,14 @@ JSON_CASES = [
     '{"Answer":"A","Sentence_Relevance":[]}', '{"Answer":"A","Sentence_Relevance":null}', '{"Answer":"\\u0041"}',
     'x {"Answer":"A","x":{"y":[1,2,{"z":"}"}]}} y', '{"Answer":"A"}\n\n', '[{"Answer":"A"}]', '{"seal":"A","Answer":"B"}',
     '{"Answer":"A"}' + " " * 5000 + "}", "{" * 3000,
+    '{"Answer": "B", "Sentence_Relevance": [Irrelevant]}', '{"Answer":"B","Sentence_Relevance":[None]}',
+    '{"Answer":"B","Sentence_Relevance":[NULL]}', '{"Answer":"B","Sentence_Relevance":[+1]}',
+    '{"Answer":"B","Sentence_Relevance":[true1]}', '{"Answer":"B","Sentence_Relevance":[Irrelevant, "Irrelevant"]}',
+    '{"Answer": [Bad]}', '{"Answer":"A","x":' + "1" * 1500 + "}", '{"Answer":tru}', '{"x":{"y":[1,2,bad]},"Answer":"A"}',
+    '{"Answer":"A","x":+Infinity}', '{"Answer":"A","x":Infinity}', '{"Answer":"A","x":-Infinity}', '{"Answer":"A","x":INF}',
+    '{"Answer":"A","x":"INF +I"}', '{"Answer":"A"},"b":{"c":2}', '{"Answer":"A"}],"b":[{"c":2}',
+    '{"Answer":"A"},{"seal":"x"}],"b":[{"c":2}', '{"Sentence_Relevance":["a"],"Sentence_Relevance":"x"}',
+    '{"Sentence_Relevance":"[\\"a\\"]"}', '{"Sentence_Relevance":["a"],"Sentence_Relevance":["b","c"]}',
 ]
 
 
@@ -39,7 +47,16 @@ def python_read(text):
         return None
 
 
-def test_strict_json_reads_what_python_reads(spark):
+@pytest.fixture(params=["true", "false"])
+def partial_results(spark, request):
+    key = "spark.sql.json.enablePartialResults"
+    before = spark.conf.get(key)
+    spark.conf.set(key, request.param)
+    yield
+    spark.conf.set(key, before)
+
+
+def test_strict_json_reads_what_python_reads(spark, partial_results):
     df = spark.createDataFrame(list(enumerate(JSON_CASES)), "i int, t string")
     rows = df.select("i", "t", extract_json_object(F.col("t")).alias("o")).orderBy("i").collect()
     for row in rows:
@@ -72,6 +89,17 @@ def test_strict_json_on_random_text(spark, texts):
         assert (row.o is None) == (python_read(row.t) is None), row.t
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(
+    ["Irrelevant", '"Irrelevant"', "None", "null", "NULL", "true", "true1", "1", "+1", "NaN", '"', "[", "]", "{}", "-Infinity"],
+), max_size=3), min_size=60, max_size=60))
+def test_strict_json_on_bare_words_in_the_list(spark, lists):
+    bodies = ['{"Answer":"A","Sentence_Relevance":[' + ", ".join(words) + "]}" for words in lists]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, t string")
+    for row in df.select("t", extract_json_object(F.col("t")).alias("o")).collect():
+        assert (row.o is None) == (python_read(row.t) is None), row.t
+
+
 def test_answer_letter(spark):
     cases = ["A", " j ", "b ", "K", "", None, "AB", "1", "ı"]
     df = spark.createDataFrame(list(enumerate(cases)), "i int, v string")

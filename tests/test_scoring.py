@@ -1,5 +1,6 @@
 """Sources, resume, scoring jobs and streams."""
 
+import os
 import sys
 
 import pandas as pd
@@ -12,7 +13,7 @@ import gradeframe as gf
 from gradeframe import EvalSpec
 from gradeframe.operators.resume import settled_results
 from gradeframe.plans import jobs
-from gradeframe.sources.tables import scratch_path
+from gradeframe.sources.tables import scratch_path, scratch_root
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -278,27 +279,109 @@ def test_stream_name_is_checked(spark, tmp_path):
         gf.stream_score(spark.range(1), SPEC, lambda d: d, str(tmp_path), str(tmp_path), "a/b")
 
 
-def test_scratch_goes_to_the_shared_folder(spark, monkeypatch):
-    class Conf:
-        shared = "hdfs://shared/x/"
+def test_scratch_goes_to_the_shared_folder(spark):
+    class Session:
+        class conf:
+            shared = "hdfs://shared/x/"
 
-        def get(self, key, default):
-            assert key == "spark.checkpoint.dir"
-            return self.shared
+            @classmethod
+            def get(cls, key, default=None):
+                return {"spark.checkpoint.dir": cls.shared, "spark.sql.warehouse.dir": "s3a://w/house"}[key]
 
-    class Session:
-        conf = Conf()
+    assert scratch_root(Session) == "hdfs://shared/x"
+    Session.conf.shared = None
+    assert scratch_root(Session) == "s3a://w/house/_scratch"
+    assert scratch_path(spark, "a") != scratch_path(spark, "a")
+
+
+def test_a_run_with_default_arguments_keeps_what_was_paid_for(spark, tmp_path, monkeypatch):
+    path, asked = str(tmp_path / "r"), str(tmp_path / "asked")
+    items = items_of(spark, [str(i) for i in range(40)]).coalesce(1)
+    plain, calls = jobs.append_results, []
 
-        class sparkContext:
-            master = "yarn"
+    def dying(df, where):
+        calls.append(where)
+        if len(calls) == 3:
+            raise RuntimeError("driver lost")
+        plain(df, where)
 
-    assert scratch_path(Session, "a").startswith("hdfs://shared/x/a-")
-    assert scratch_path(Session, "a") != scratch_path(Session, "a")
-    Conf.shared = None
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_path(Session, "a")
-    Session.sparkContext.master = "local[2]"
-    assert "/a-" in scratch_path(Session, "a")
+    def make(spec):
+        def respond(prompts):
+            with open(asked, "a") as out:
+                out.write("".join(f"{p[-30:]!r}\n" for p in prompts))
+            return ["Answer: A"] * len(prompts)
+        return respond
+
+    monkeypatch.setattr(jobs, "append_results", dying)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        gf.run_scoring(items, SPEC, make, path)
+    kept = spark.read.parquet(path).count()
+    assert kept >= 20
+    assert gf.run_scoring(items, SPEC, make, path).written == 40 - kept
+    assert len(open(asked).read().splitlines()) == 40
+    assert not [p for p in os.listdir(scratch_root(spark).removeprefix("file:")) if p.startswith("slices-")]
+
+
+def test_recorded_responses_that_come_late(spark, tmp_path):
+    path = str(tmp_path / "r")
+    items = items_of(spark, ["1", "2"])
+    early = spark.createDataFrame([("1", "Answer: A")], "id string, response string")
+    late = spark.createDataFrame([("1", "Answer: B"), ("2", "Answer: C")], "id string, response string")
+    assert gf.run_recorded(items, early, SPEC, path).errors == 1
+    assert gf.run_recorded(items, late, SPEC, path).written == 0
+    assert gf.run_recorded(items, late, SPEC, path, retry_errors=True).written == 1
+    metrics = gf.run_evaluation(spark, path, SPEC, str(tmp_path / "out"))
+    assert metrics.where("section = 'refusal' and scope = 'overall'").first().total == 2
+
+
+def test_two_failed_tries_count_once(spark):
+    rows = [("1", None, "x"), ("1", None, "y"), ("2", "A", None), (None, None, "z"), (None, None, "z")]
+    settled = settled_results(spark.createDataFrame(rows, "id string, LLM_answer string, error string"), "id")
+    assert sorted(str(r.id) for r in settled.collect()) == ["1", "2", "None", "None"]
+
+
+def test_all_labels_are_kept(spark):
+    labels = ", ".join('"Irrelevant"' for _ in range(40))
+    sentences = " ".join(f"S{i}: x" for i in range(1, 41))
+    df = spark.createDataFrame([(sentences, f'{{"Answer": "A", "Sentence_Relevance": [{labels}]}}')], "s string, r string")
+    made = gf.parse_single(df, F.col("r"), gf.sentence_count(F.col("s")))
+    assert len(made.first().labels) == 40
+    wide = gf.labels_to_wide(made, 40)
+    assert len(gf.labels_from_wide(wide).first().labels) == 40
+
+
+def test_csv_rows_with_too_many_fields_are_an_error(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("id,a,b\n1,x,y\n2,p,q,EXTRA\n")
+    with pytest.raises(Exception, match="too many fields"):
+        gf.read_items(spark, str(tmp_path / "in.csv"), "csv").collect()
+    (tmp_path / "short.csv").write_text("id,a,b\n1,x\n2,p,q\n")
+    assert [tuple(r) for r in gf.read_items(spark, str(tmp_path / "short.csv"), "csv").collect()] == [("1", "x", None), ("2", "p", "q")]
+
+
+def test_csv_headers_in_another_order_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,grp\n1,g\n")
+    (tmp_path / "b.csv").write_text("grp,id\ng,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        gf.read_items(spark, str(tmp_path), "csv").collect()
+    with pytest.raises(Exception, match="(?i)header"):
+        gf.read_items(spark, str(tmp_path / "a.csv"), "csv", "grp string, id string").collect()
+
+
+def test_csv_types_give_numeric_groups(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("id,grp\n1,10\n2,2\n3,NA\n4,1\n")
+    got = gf.read_items(spark, str(tmp_path / "in.csv"), "csv", types={"grp": "int"})
+    assert [r.grp for r in got.orderBy("grp").collect()] == [None, 1, 2, 10]
+
+
+def test_nan_is_a_missing_group_and_empty_tables_have_an_overall_row(spark):
+    rows = spark.createDataFrame([(1.0, "A"), (float("nan"), "A"), (None, "B")], "grp double, LLM_answer string")
+    got = gf.answer_metrics(rows, "LLM_answer", None, "grp").collect()
+    assert sorted((r.scope, r.grp, r.total) for r in got) == [("group", 1.0, 1), ("overall", None, 3)]
+    assert [r.grp for r in gf.refusal_rate(rows, "LLM_answer", "grp").collect()] == [1.0]
+    groups = gf.evaluate(rows, EvalSpec(group_col="grp")).where("scope = 'group'").select("grp").distinct().collect()
+    assert [r.grp for r in groups] == [1.0]
+    empty = gf.answer_metrics(rows.limit(0), "LLM_answer", None, "grp").collect()
+    assert [(r.scope, r.total, r.refused, r.refusal_rate) for r in empty] == [("overall", 0, 0, None)]
 
 
 def test_results_as_csv_and_back(spark, tmp_path):
@@ -343,4 +426,4 @@ def test_metrics_stream_equals_batch(spark, tmp_path):
         gf.stream_metrics(gf.read_stream(spark, src, results.schema, 1), "LLM_answer", "gold", "grp", out, str(tmp_path / "p")
                           ).trigger(availableNow=True).start().awaitTermination()
     want = gf.answer_metrics(results, "LLM_answer", "gold", "grp")
-    assert sorted(map(repr, spark.read.parquet(out).collect())) == sorted(map(repr, want.collect()))
+    assert sorted(map(repr, gf.read_stream_metrics(spark, out).collect())) == sorted(map(repr, want.collect()))

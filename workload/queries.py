@@ -677,4 +677,4 @@ def stream_metrics(spark, sf_dir):
         gf.read_stream(spark, f"{root}/in", results.schema, files_per_batch=1),
         "LLM_answer", "gold", "grp", f"{root}/out", f"{root}/progress",
     ).trigger(availableNow=True).start().awaitTermination()
-    return rounded(spark.read.parquet(f"{root}/out"))
+    return rounded(gf.read_stream_metrics(spark, f"{root}/out"))

@@ -51,7 +51,7 @@ class Band:
 
     chars_per_token: tuple[float, float] = (1.25, 12.0)
     byte_share: float = 0.25
-    # Of the most entropy that so many tokens can have.
+    # Of the most entropy that so many tokens, or all of the vocabulary, can have.
     entropy_share: float = 0.35
 
 
@@ -67,6 +67,8 @@ class Fertility:
     })
     default: Band = Band((0.2, 12.0), 0.95)
     entropy_tokens: int = 64
+    # Size of the vocabulary.
+    vocabulary: int = 32_000
     repeat_words: int = 8
     least_words: int = 20
     most_repeat_percent: int = 30
@@ -173,7 +175,7 @@ def measured(text: Column, job: Fertility = Fertility()) -> Column:
 def _within_band(m: Column, band: Band, job: Fertility) -> Column:
     per_token = m["word_chars"] / m["n_tokens"]
     low, high = band.chars_per_token
-    most = F.log2(m["n_tokens"].cast("double"))
+    most = F.log2(F.least(m["n_tokens"], F.lit(job.vocabulary)).cast("double"))
     even = (m["n_tokens"] < job.entropy_tokens) | (m["entropy"] >= band.entropy_share * most)
     return (per_token >= low) & (per_token <= high) & (m["n_byte_tokens"] <= band.byte_share * m["n_tokens"]) & even
 

@@ -1,0 +1,64 @@
+"""Quality rules against plain counting."""
+
+import collections
+import math
+import re
+
+import sentencepiece
+
+from gradeframe.llm import fertility as fe
+from gradeframe.llm.segmentation import default_model
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(text, model):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = collections.Counter(tuple(words[i:i + 8]) for i in range(len(words) - 7))
+    covered = {k for i in range(len(words) - 7) if windows[tuple(words[i:i + 8])] > 1 for k in range(i, i + 8)}
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            again += line in seen
+            seen.add(line)
+    tokens = [t for w in words for t in model.encode(w)]
+    counts = collections.Counter(tokens)
+    entropy = -sum(c / len(tokens) * math.log2(c / len(tokens)) for c in counts.values())
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, len(covered),
+            len(tokens), sum(model.is_byte(t) for t in tokens), entropy)
+
+
+def test_counts_and_verdicts(spark):
+    long = " ".join(f"word{i % 5000}" for i in range(60_000))
+    prose = "The quick brown fox jumps over the lazy dog while seven wizards quietly examine some old and dusty maps of northern rivers. "
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, long), (5, prose), (5, prose), (6, prose * 9), (7, "a b\n\na b\na b \n%#"), (None, prose),
+            (8, " ".join(chr(0x10330 + i) * 3 for i in range(26))), (9, "Ünïcödé wörds " * 3 + prose), (10, "中文" * 40), (11, "1 2 3 " * 2)]
+    docs = spark.createDataFrame([(a, b, "x", 1.0) for a, b in rows], "doc_id long, text string, script string, entropy double").repartition(2)
+    model = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    got = fe.verdicts(docs).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        want = brute(texts[r.doc_id], model)
+        assert tuple(r[1:8]) == want[:7], r.doc_id
+        assert abs(r.entropy - want[7]) < 1e-9
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+    kept = {r.doc_id: r.kept for r in got}
+    assert kept[5] and kept[9] and kept[None]
+    # Repetition, too few words, and letters that only bytes can spell.
+    assert not any(kept[i] for i in (1, 2, 3, 4, 6, 7, 8, 10, 11))
+    assert not next(r for r in got if r.doc_id == 8).base_failed
+
+
+def test_bands_by_language(spark):
+    docs = spark.createDataFrame([(1, "one two three four five " * 4 + "and " * 3, "en"), (2, "one two three four five " * 4 + "and " * 3, "xx")],
+                                 "doc_id long, text string, lang string")
+    job = fe.Fertility(bands={"xx": fe.Band(chars_per_token=(50.0, 60.0))}, most_repeat_percent=100)
+    assert {r.doc_id: r.kept for r in fe.verdicts(docs, job, band_col="lang").collect()} == {1: True, 2: False}
+    assert fe.verdicts(docs.limit(0)).collect() == []
+
+
+def test_scripts():
+    assert [fe.script_of(t) for t in ("abc é", "привет", "中文 a", "", "123", "αβγ", "안녕", "こんにちは")] == [
+        "latin", "cyrillic", "han", "none", "none", "greek", "hangul", "kana"]

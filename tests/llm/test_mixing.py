@@ -1,0 +1,105 @@
+"""Budgets and prefixes against a plain recomputation."""
+
+import hashlib
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from gradeframe.llm import mixing as mx
+
+
+def split(nodes, given):
+    """{child: budget} by raising the water level; nodes: {child: (capacity, weight)}."""
+    live = {n: cw for n, cw in nodes.items() if cw[0] > 0 and cw[1] > 0}
+    out = {n: 0 for n in nodes}
+    left = given
+    while live:
+        level = left / sum(w for _, w in live.values())
+        full = {n for n, (c, w) in live.items() if c <= level * w}
+        if not full:
+            out |= {n: math.floor(w * level) for n, (_, w) in live.items()}
+            break
+        for n in full:
+            out[n] = live[n][0]
+            left -= live.pop(n)[0]
+    return out
+
+
+def brute(rows, mix, total):
+    def weight(level, key):
+        return mix.weights[level].get(key if level else key[0], mix.default_weight)
+
+    tokens = {}
+    for _, d, l, s, n in rows:
+        tokens[d, l, s] = tokens.get((d, l, s), 0) + n
+    given = {(): total}
+    for level in range(3):
+        sizes = {}
+        for leaf, n in tokens.items():
+            sizes[leaf[:level + 1]] = sizes.get(leaf[:level + 1], 0) + n * mix.max_epochs
+        given_next = {}
+        for up, b in given.items():
+            children = {k: (c, weight(level, k)) for k, c in sizes.items() if k[:level] == up}
+            given_next |= split(children, b)
+        given = given_next
+    out = []
+    for leaf, n in tokens.items():
+        full = min(mix.max_epochs, given[leaf] // n) if n else 0
+        rest = given[leaf] - full * n if full < mix.max_epochs else 0
+        docs = sorted((hashlib.md5(f"{mix.seed}:{full + 1}:{i}".encode()).hexdigest(), i, t) for i, d, l, s, t in rows if (d, l, s) == leaf)
+        upto = 0
+        for _, i, t in docs:
+            upto += t
+            out.append((i, full + (1 if rest > 0 and upto <= rest else 0)))
+    return sorted(out)
+
+
+def corpus(seed, n=300):
+    rnd = random.Random(seed)
+    return [(i, rnd.choice(["w", "b", None]), rnd.choice(["en", "de", None]), rnd.choice(["s1", "s1", "s1", "s2", "s3", None]),
+             rnd.choice([0, 1, 5, 30, 400])) for i in range(n)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, "x " * n if n else random.Random(i).choice([None, ""]), d, l, s, 1) for i, d, l, s, n in rows],
+                                 "doc_id long, text string, dom string, lang string, source string, tokens int")
+
+
+WEIGHTS = ({"w": 3, "b": 0}, {("w", "en"): 5, (None, "de"): 2}, {("w", "en", "s1"): 7, ("w", "de", "s2"): 0})
+
+
+def test_matches_recomputation(spark):
+    for percent, epochs, digits in ((30, 1, 1), (90, 3, 3), (400, 2, 2)):
+        rows = corpus(percent)
+        mix = mx.Mix(budget_percent=percent, max_epochs=epochs, weights=WEIGHTS, seed=5, bucket_digits=digits)
+        got = mx.selection(frame(spark, rows), mix, F.col("dom")).select("doc_id", "copies").collect()
+        total = sum(r[4] for r in rows) * percent // 100
+        assert sorted(map(tuple, got)) == brute(rows, mix, total)
+
+
+def test_rows_come_as_often_as_taken(spark):
+    rows = corpus(1)
+    mix = mx.Mix(budget_percent=150, max_epochs=2, weights=WEIGHTS)
+    docs = frame(spark, rows)
+    out = mx.mixed(docs, mix, F.col("dom"))
+    assert out.columns == docs.columns
+    times = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    want = {r.doc_id: r.copies for r in mx.selection(docs, mix, F.col("dom")).collect() if r.copies}
+    assert times == want
+
+
+def test_shortage_goes_to_siblings_first(spark):
+    rows = [(1, "w", "en", "s1", 10), (2, "w", "en", "s2", 1000), (3, "b", "en", "s1", 1000)]
+    leaves = spark.createDataFrame([(d, l, s, n) for _, d, l, s, n in rows], "domain string, lang string, source string, tokens long")
+    got = {(r.domain, r.source): r.budget for r in mx.leaf_budgets(leaves, mx.Mix(budget_tokens=400, max_epochs=1)).collect()}
+    assert got == {("w", "s1"): 10, ("w", "s2"): 190, ("b", "s1"): 200}
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", "w", "en", "s"), (1, "a b", "w", "en", "s"), (None, "c", "w", "en", "s"), (None, "word " * 50_000, None, None, None)],
+                                 "doc_id long, text string, dom string, lang string, source string")
+    got = mx.selection(docs, mx.Mix(budget_percent=1000), F.col("dom")).collect()
+    assert len(got) == 4 and {r.copies for r in got} == {2}
+    assert mx.selection(docs.limit(0), mx.Mix(), F.col("dom")).collect() == []
+    assert mx.mixed(docs.limit(0), mx.Mix(), F.col("dom")).collect() == []

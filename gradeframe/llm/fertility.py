@@ -25,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeframe.llm.common import SPACES, mix, parts, starts_of, within, word_hashes
+from gradeframe.llm.common import SPACES, mix, parts, starts_of, trimmed, within, word_hashes
 from gradeframe.llm.segmentation import default_model
 
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1_200_000
+_CHUNK = 600_000  # bytes of text
 _SYMBOLS = b"#*$%&|<>"
 
 # First code point after each stretch, and the script of the stretch.
@@ -168,6 +168,7 @@ def measured(text: Column, job: Fertility = Fertility()) -> Column:
             names = [f.split()[0] for f in FIELDS.split(", ")]
             types = [pa.int64()] * 7 + [pa.float64(), pa.string()]
             yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+        trimmed()
 
     return measure(text)
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gradeframe.llm.common import trimmed
+
 UND = "und"
 _RESULT = "lang_pred string, score double, rejected boolean"
 
@@ -121,6 +123,7 @@ def language_column(text: Column, model: LanguageModel) -> Column:
             yield pa.StructArray.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
                 ["lang_pred", "score", "rejected"])
+        trimmed()
 
     return predict(text)
 

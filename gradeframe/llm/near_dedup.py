@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gradeframe.llm.common import mix, parts, staged, starts_of, within, word_hashes
+from gradeframe.llm.common import mix, parts, staged, starts_of, trimmed, within, word_hashes
 from gradeframe.llm.components import components
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
@@ -153,6 +153,7 @@ def _sketch(job: NearDedup):
                     pa.array([r.tobytes() for r in table.astype(np.uint8)], pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())),
                 ], ["id", "n", "digest", "signature", "bands"])
+        trimmed()
 
     return run
 
@@ -185,6 +186,7 @@ def _verify(job: NearDedup):
                     united = len(known) + len(other) - shared
                     out.append(united > 0 and job.of * shared >= job.least * united)
             yield pa.array(out, pa.bool_())
+        trimmed()
 
     return linked
 
@@ -246,6 +248,7 @@ def _arena_links(job: NearDedup):
                 shared = np.add.reduceat(mark[place], begin)
                 hits = members[job.of * shared >= job.least * (counts[q] + sizes - shared)]
                 found |= {(roots[q], r) for r in {roots[m] for m in hits} if r != roots[q]}
+        trimmed()
         kind = part.schema.field("root").type
         return pa.table({"a": pa.array([f[0] for f in found], kind), "b": pa.array([f[1] for f in found], kind)})
 

@@ -11,7 +11,7 @@ row key and the position in the text. They depend on nothing else, so a row gets
 the same pieces in any batch, partition or rerun.
 
 Weights: of a unigram model the log probabilities; of a BPE model, whose scores
-are merge ranks, Zipf's law over the ranks (log p = -log(1 + rank) + const).
+are merge ranks, Zipf's law over the ranks (p in proportion to 1 / (1 + rank), summing to 1).
 ``temperature`` divides them; towards 0 the best segmentation is drawn.
 
 Decoding is lossless: characters without a piece, and word marks that stand in
@@ -32,13 +32,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeframe.llm.common import mix, parts, starts_of, within
+from gradeframe.llm.common import mix, parts, starts_of, trimmed, within
 
 MARK = "▁"
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-_CHUNK = 1_200_000
+_CHUNK = 400_000  # bytes of text
 # Letters that most pieces have get a full table of trie steps.
 _COMMON = 128
 
@@ -84,8 +84,9 @@ class Pieces:
         self.weight = np.full(self.size, -np.inf)
         if job.weights == "zipf":
             ranked = sorted(plain, key=lambda p: (-p[2], p[0]))
+            total = np.log(np.sum(1 / np.arange(1, len(ranked) + 1)))
             for rank, (i, _, _) in enumerate(ranked):
-                self.weight[i] = -np.log1p(rank)
+                self.weight[i] = -np.log1p(rank) - total
         else:
             for i, _, score in plain:
                 self.weight[i] = score
@@ -290,6 +291,7 @@ def pieces_column(text: Column, key: Column, job: Segmentation = Segmentation())
                 at = pa.array(starts_of(counts).astype(np.int32), mask=np.append(missing[low:high], False))
                 made.append(pa.ListArray.from_arrays(at, pa.array(flat)))
             yield pa.concat_arrays(made)
+        trimmed()
 
     return ids(key, text)
 
@@ -330,6 +332,7 @@ def digest_column(text: Column, key: Column, job: Segmentation = Segmentation())
                 [pa.array(counts, pa.int64()), pa.array(spelt, pa.int64()), pa.array(hashes, pa.string()),
                  pa.array(lossless, pa.bool_())],
                 ["n_pieces", "n_byte_pieces", "pieces_sha256", "lossless"])
+        trimmed()
 
     return digest(key, text)
 

@@ -38,12 +38,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeframe.llm.common import bucketed, chunked, encoded, mix, parts, staged, starts_of, within, word_hashes
+from gradeframe.llm.common import bucketed, chunked, encoded, mix, parts, staged, starts_of, trimmed, within, word_hashes
 from gradeframe.llm.fm_index import FMIndex
 
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-_CHUNK = 1_000_000  # bytes of text
+_CHUNK = 500_000  # bytes of text
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SEGMENTS = "start int, words int, anchor long, content long"
 
@@ -52,8 +52,8 @@ _SEGMENTS = "start int, words int, anchor long, content long"
 class SubstringDedup:
     window_words: int = 50
     anchor_words: int = 8
-    # Words of a shard, which one task indexes; some 60 bytes of memory each.
-    shard_words: int = 750_000
+    # Words of a shard, which one task indexes; some 400 bytes of memory each.
+    shard_words: int = 300_000
     # Cuts of an anchor that stays too large; what is then left is one shard's work.
     most_cuts: int = 8
 
@@ -133,6 +133,7 @@ def _segments(job: SubstringDedup, level: int):
                     pa.array((start + offset).astype(np.int32)), pa.array(size.astype(np.int32)),
                     pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)),
                 ], ["id", "row", "start", "words", "anchor", "content"])
+        trimmed()
 
     return run
 
@@ -186,6 +187,8 @@ def _searched(job: SubstringDedup):
         count = np.diff(np.append(first, len(whole)))
         segment, lowest, begin = segment[first], lowest[first], whole[first]
         at = pa.array(segment)
+        del index, text, symbols, length, row, least, whole
+        trimmed()
         return pa.table({
             "anchor": shard.column("anchor").take(at), "content": shard.column("content").take(at),
             "offset": pa.array((begin - starts[segment]).astype(np.int32)),

@@ -58,7 +58,8 @@ def items_scan(spark, sf_dir):
 
 
 @query("results_scan", t.RESULTS_SQL + f"""
-select row_id, gold, grp, raw_text as "Raw_Response", answer as "LLM_answer", {sql_shown('v')} as labels from facts""")
+select row_id, gold, grp, raw_text as "Raw_Response", answer as "LLM_answer",
+  {sql_shown('list_filter(labels[1:30], lambda x: x is not null)')} as labels from facts""")
 def results_scan(spark, sf_dir):
     """Wide results as the evaluation reads them."""
     path = scratch_path(spark, "results-wide")
@@ -74,20 +75,20 @@ _CELLS = ["", "NA", "None", "nan", "null", "n/a", "#N/A", "<NA>", "na", "none",
 
 
 @query("normalize_missing", f"""
-with c as (select doc_id, lang, [{", ".join(f"'{c}'" for c in _CELLS)}][cast(doc_id % {len(_CELLS)} as int) + 1] as cell from documents)
-select doc_id, case when lang not in ({_MARKERS}) then lang end as lang,
+with c as (select doc_id, lang, text, [{", ".join(f"'{c}'" for c in _CELLS)}][cast(doc_id % {len(_CELLS)} as int) + 1] as cell from documents)
+select doc_id, case when lang not in ({_MARKERS}) then lang end as lang, case when text not in ({_MARKERS}) then text end as text,
   case when cell not in ({_MARKERS}) then cell end as cell from c""")
 def normalize_missing(spark, sf_dir):
     cells = F.array(*[F.lit(c) for c in _CELLS])
     docs = t.table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", F.get(cells, (F.col("doc_id") % len(_CELLS)).cast("int")).alias("cell")
+        "doc_id", "lang", "text", F.get(cells, (F.col("doc_id") % len(_CELLS)).cast("int")).alias("cell")
     )
     return gf.normalize_missing(docs)
 
 
-@query("preview_rows", "select doc_id, lang, source, n_chars from documents order by doc_id limit 3")
+@query("preview_rows", "select doc_id, text, lang, source, n_chars from documents order by doc_id limit 3")
 def preview_rows(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = t.table(spark, sf_dir, "documents")
     return gf.preview(docs, 3, "doc_id")
 
 
@@ -564,7 +565,7 @@ def clean_labels(spark, sf_dir):
 select row_id, answer as "LLM_answer", {sql_shown('labels')} as labels, cast(len(labels) as bigint) as n_labels from res""")
 def parse_single(spark, sf_dir):
     made = t.fixture(spark, sf_dir).select("row_id", "sentences", "response")
-    parsed = gf.parse_single(made, F.col("response"), gf.sentence_count(F.col("sentences")), 30)
+    parsed = gf.parse_single(made, F.col("response"), gf.sentence_count(F.col("sentences")))
     return parsed.select("row_id", "LLM_answer", t.shown("labels").alias("labels"), F.size("labels").cast("long").alias("n_labels"))
 
 
@@ -572,7 +573,7 @@ def parse_single(spark, sf_dir):
 select row_id, q1 as "Q1", q2 as "Q2", {sql_shown('labels')} as labels from mres""")
 def parse_multi(spark, sf_dir):
     made = t.fixture(spark, sf_dir).select("row_id", "sentences", "multi_response")
-    parsed = gf.parse_multi(made, F.col("multi_response"), ["Q1", "Q2"], gf.sentence_count(F.col("sentences")), 30)
+    parsed = gf.parse_multi(made, F.col("multi_response"), ["Q1", "Q2"], gf.sentence_count(F.col("sentences")))
     return parsed.select("row_id", "Q1", "Q2", t.shown("labels").alias("labels"))
 
 
@@ -636,7 +637,7 @@ def make_counting_responder(spec):
 
 @query("score_with_responder", t.FIXTURE_SQL + f"""
 , p as (select *, length({sql_prompt("sentences", "question_options")}) as n,
-    len(regexp_extract_all(sentences, '\\bS\\d+\\s*:')) as n_sent from fx)
+    len(regexp_extract_all(sentences, '\\bS\\d+\\s*:|\\b\\d+\\.')) as n_sent from fx)
 select row_id, case when n % 13 = 0 then 'ValueError: out of luck' end as error,
   case when n % 13 = 0 or n % 12 > 9 then null else substr('ABCDEFGHIJ', cast(n % 12 as int) + 1, 1) end as "LLM_answer",
   case when n % 13 = 0 or n % 8 <> n_sent then ''

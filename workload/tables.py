@@ -1,7 +1,8 @@
 """Items, recorded responses and results derived from the given tables.
 
-``documents`` gives one item per document, by plain arithmetic on its id, in
-two SQL dialects that yield the same rows.
+``documents`` gives one item per document: its lines are the sentences, and
+labels and answers come by plain arithmetic on its id, in two SQL dialects that
+yield the same rows.
 """
 
 from __future__ import annotations
@@ -16,24 +17,30 @@ _SPARK_BASE = """
 select doc_id, source, n,
   array_join(labs, '", "') as labs_json,
   array_join(labs, '] [') as labs_marks,
-  array_join(transform(sequence(1, n), i -> concat('S', i, ': note from ', source, ';')), ' ') as sentences
-from (select doc_id, source, n,
+  array_join(transform(pieces, (x, i) -> concat('S', i + 1, ': ', x)), ' ') as sentences
+from (select *,
         transform(sequence(1, n), i -> case (doc_id * 7 + i * 3 + cast(floor(i / 4) as bigint)) % 4
           when 0 then 'High Relevance' when 1 then 'Low Relevance' when 2 then 'Irrelevant'
           else case when doc_id % 2 = 0 then 'Unsure' else 'Irrelevant' end end) as labs
-      from (select doc_id, source, cast(1 + doc_id % 7 as int) as n from {documents}))
+      from (select doc_id, source, pieces, size(pieces) as n
+            from (select doc_id, source,
+                    filter(split(concat('note from ', source, '\\n', coalesce(text, '')), '\\n'), x -> x <> '') as pieces
+                  from {documents})))
 """
 
 _DUCKDB_BASE = """
 select doc_id, source, n,
   array_to_string(labs, '", "') as labs_json,
   array_to_string(labs, '] [') as labs_marks,
-  array_to_string(list_transform(range(1, n + 1), lambda i: concat('S', i, ': note from ', source, ';')), ' ') as sentences
-from (select doc_id, source, n,
+  array_to_string(list_transform(pieces, lambda x, i: concat('S', i, ': ', x)), ' ') as sentences
+from (select *,
         list_transform(range(1, n + 1), lambda i: case (doc_id * 7 + i * 3 + cast(floor(i / 4) as bigint)) % 4
           when 0 then 'High Relevance' when 1 then 'Low Relevance' when 2 then 'Irrelevant'
           else case when doc_id % 2 = 0 then 'Unsure' else 'Irrelevant' end end) as labs
-      from (select doc_id, source, cast(1 + doc_id % 7 as int) as n from documents))
+      from (select doc_id, source, pieces, len(pieces)::int as n
+            from (select doc_id, source,
+                    list_filter(string_split(concat('note from ', source, chr(10), coalesce(text, '')), chr(10)), lambda x: x <> '') as pieces
+                  from documents)))
 """
 
 _COMMON = """

@@ -340,5 +340,20 @@ def digest_column(text: Column, key: Column, job: Segmentation = Segmentation())
 def segmented(
     docs: DataFrame, job: Segmentation = Segmentation(), id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """id and sampled piece ids of each row."""
-    return docs.select(id_col, pieces_column(F.col(text_col), F.col(id_col), job).alias("pieces"))
+    """id and sampled piece ids (``pieces``) of each row, handed over in small batches."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(job)
+        for batch in batches:
+            seeds = row_keys(batch.column(0).to_pylist(), job.seed)
+            missing = np.append(np.asarray(batch.column(1).is_null()), False)
+            for low, high, some in parts(batch.column(1), _CHUNK):
+                flat, counts = sample(pieces, some, seeds[low:high])
+                at = pa.array(starts_of(counts).astype(np.int32), mask=np.append(missing[low:high], False))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(at, pa.array(flat))], ["id", "pieces"])
+        trimmed()
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {id_type}, pieces array<int>").withColumnRenamed("id", id_col)

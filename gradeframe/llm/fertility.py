@@ -2,16 +2,19 @@
 
 For each document: characters per token, the share of byte-fallback tokens and
 the entropy of its tokens, beside plain counts of words, symbols, repeated lines
-and repeated windows of words. Texts that fall outside the band of their script
-(or language) are rejected: junk, encodings and foreign scripts take many tokens
-per character or bytes, repetition has low entropy.
+and repeated windows of words. Texts that fall outside the band of their language
+(or script) are rejected: junk, encodings and foreign scripts take many tokens
+per character or bytes, repetition has low entropy. Signs strewn over words leave
+characters per token as they are, but few letters per token, many tokens per word
+and many signs per word.
 
 Words are tokenised one by one, each different word of a batch once: pieces of
 the vocabulary do not reach across blanks.
 
 Cases: NULL and empty texts have no words, no tokens and fail the base rules. A
-text without letters gets the band of script "none". Bands are wide enough for
-short texts; the entropy is measured against the most that so many tokens can
+text without letters gets the band of script "none". A language that is NULL or
+has no band gets the band of the text's script. Bands are wide enough for short
+texts; the entropy is measured against the most that so many tokens can
 have and only for texts of ``entropy_tokens`` and more. Repeated rows are judged
 alike.
 """
@@ -53,14 +56,21 @@ class Band:
     byte_share: float = 0.25
     # Of the most entropy that so many tokens, or all of the vocabulary, can have.
     entropy_share: float = 0.35
+    # Characters of words, less signs, per token.
+    letters_per_token: float = 0.0
+    tokens_per_word: float = float("inf")
+    signs_per_word: float = 0.1
 
 
 @dataclass(frozen=True)
 class Fertility:
     model_path: str | None = None
-    # By script, or by language where ``band_col`` names a column of languages; others get ``default``.
+    # By language, where ``band_col`` names a column of languages, and by script; others get ``default``.
+    # The least letters lie between clean and sign-strewn texts of 20 words and more; clean short ones have up to 4.4 tokens a word.
     bands: Mapping[str, Band] = field(default_factory=lambda: {
-        "latin": Band(),
+        "en": Band(letters_per_token=1.5, tokens_per_word=5), "de": Band(letters_per_token=1.55, tokens_per_word=5),
+        "fr": Band(letters_per_token=1.4, tokens_per_word=5), "es": Band(letters_per_token=1.45, tokens_per_word=5),
+        "latin": Band(letters_per_token=1.25),
         "greek": Band((0.8, 12.0), 0.35), "cyrillic": Band((1.0, 12.0), 0.25),
         "han": Band((0.3, 6.0), 0.75), "kana": Band((0.3, 6.0), 0.6), "hangul": Band((0.3, 6.0), 0.75),
         "none": Band((0.5, 12.0), 0.5),
@@ -178,7 +188,9 @@ def _within_band(m: Column, band: Band, job: Fertility) -> Column:
     low, high = band.chars_per_token
     most = F.log2(F.least(m["n_tokens"], F.lit(job.vocabulary)).cast("double"))
     even = (m["n_tokens"] < job.entropy_tokens) | (m["entropy"] >= band.entropy_share * most)
-    return (per_token >= low) & (per_token <= high) & (m["n_byte_tokens"] <= band.byte_share * m["n_tokens"]) & even
+    words = (m["word_chars"] - m["n_symbols"] >= band.letters_per_token * m["n_tokens"]) \
+        & (m["n_tokens"] <= band.tokens_per_word * m["n_words"]) & (m["n_symbols"] <= band.signs_per_word * m["n_words"])
+    return (per_token >= low) & (per_token <= high) & (m["n_byte_tokens"] <= band.byte_share * m["n_tokens"]) & even & words
 
 
 def verdicts(
@@ -186,10 +198,10 @@ def verdicts(
 ) -> DataFrame:
     """id, the counts, the measures, base_failed and kept, one row per row."""
     m = F.col("m")
-    name = F.col("band") if band_col else m["script"]
     fits = _within_band(m, job.default, job)
-    for key, band in job.bands.items():
-        fits = F.when(name == key, _within_band(m, band, job)).otherwise(fits)
+    for name in [m["script"], *([F.col("band")] if band_col else [])]:
+        for key, band in job.bands.items():
+            fits = F.when(name == key, _within_band(m, band, job)).otherwise(fits)
     rows = docs.select(F.col(id_col).alias("id"), measured(F.col(text_col), job).alias("m"),
                        *([F.col(band_col).alias("band")] if band_col else []))
     failed = (m["n_words"] < job.least_words) | (100 * m["n_repeat_words"] > job.most_repeat_percent * m["n_words"])

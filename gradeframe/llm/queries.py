@@ -120,7 +120,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts(documents(spark, sf_dir))
+    return verdicts(documents(spark, sf_dir), band_col="lang")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

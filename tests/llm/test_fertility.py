@@ -59,6 +59,30 @@ def test_bands_by_language(spark):
     assert fe.verdicts(docs.limit(0)).collect() == []
 
 
+def test_sign_noise_is_rejected_and_clean_text_stays(spark):
+    clean = {
+        "en": "The ferry left the harbour early in the morning, and most of the passengers were still asleep when it reached the island.",
+        "de": "Die Fähre verließ den Hafen am frühen Morgen, und die meisten Reisenden schliefen noch, als sie endlich die kleine Insel erreichte.",
+        "fr": "Le bateau quitta le port de bonne heure, et la plupart des voyageurs dormaient encore quand il arriva enfin à la petite île.",
+        "es": "El barco salió del puerto muy temprano, y la mayoría de los viajeros dormía todavía cuando por fin llegó a la pequeña isla.",
+    }
+    signs = ("%%%", "***", "&&&", "###")
+    rows = []
+    for lang, text in clean.items():
+        words = text.split()
+        rows += [(f"{lang} clean", text, lang), (f"{lang} no language", text, None), (f"{lang} unknown", text, "xx"),
+                 (f"{lang} clean with a few signs", text.replace(",", " & Co. (5 %),", 1), lang)]
+        noise = " ".join(w + signs[i % 4] for i, w in enumerate(words))
+        rows += [(f"{lang} noise", noise, lang), (f"{lang} noise no language", noise, None),
+                 # Signs that are not among the counted ones.
+                 (f"{lang} noise other signs", " ".join("~^=@~^" + w for w in words), lang),
+                 (f"{lang} noise cells", " | ".join(words), lang)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    got = fe.verdicts(docs, band_col="lang").collect()
+    assert len(got) == len(rows) and not any(r.base_failed for r in got)
+    assert [r.doc_id for r in got if r.kept != ("noise" not in r.doc_id)] == []
+
+
 def test_scripts():
     assert [fe.script_of(t) for t in ("abc é", "привет", "中文 a", "", "123", "αβγ", "안녕", "こんにちは")] == [
         "latin", "cyrillic", "han", "none", "none", "greek", "hangul", "kana"]

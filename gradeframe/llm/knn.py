@@ -1,8 +1,8 @@
 """Exact k nearest rows by inner product: a Voronoi join.
 
 A bounded sample of vectors are pivots; every vector belongs to the cell of the
-pivot nearest to it. Cells are summarised: rows, radius, largest norm and the
-distances of the k + 1 rows nearest to the pivot. With q.x = q.p + q.(x - p) and
+pivot nearest to it. Cells are summarised: rows, radius and the distances of the
+k + 1 ids nearest to the pivot, of ids with one vector. With q.x = q.p + q.(x - p) and
 |q.(x - p)| <= |q| |x - p| the summaries give each query a score that its k-th
 best reaches at least, and so a least distance from the pivot (and a least norm)
 that a row of a cell must have to be of use. Queries are grouped by their cells;
@@ -16,7 +16,8 @@ could exceed 2 ** 53 are added up in Python integers and kept within 64 bits).
 Cases: vectors that are NULL or hold NULL or non-finite components take no part,
 nor do rows with a NULL id. Only vectors of equal length are compared. A query
 does not find rows with its own id. Equal scores go to the smaller id. Rows that
-repeat an id and a vector count once. With fewer than k candidates all are
+repeat an id and a vector are one row, dropped before anything is counted or
+bounded; of an id with several vectors each score counts once. With fewer than k candidates all are
 returned, without queries or candidates nothing.
 """
 
@@ -68,7 +69,7 @@ def _placed(job: Voronoi, pivots: dict[int, np.ndarray]):
             scaled: list = [None] * len(sizes)
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
-                x = np.floor(job.scale * _matrix(vectors, rows, int(size)))
+                x = np.floor(job.scale * _matrix(vectors, rows, int(size))) + 0.0  # no -0.0, so that equal vectors have equal bytes
                 p = pivots.get(int(size), np.zeros((1, size)))
                 gaps = np.stack([np.sqrt(((x - one) ** 2).sum(axis=1)) for one in p])
                 best = gaps.argmin(axis=0)
@@ -103,7 +104,7 @@ def _needs(job: Voronoi, pivots: dict[int, np.ndarray], cells: list):
                 there = by_size.get(size, [])
                 near = q @ np.stack([p[c.cell % (job.pivots + 1)] for c in there]).T
                 # Scores that rows are known to reach; one more than k, for the query may be one of them.
-                lower = np.concatenate([near[:, [j]] - length[:, None] * np.array(c.nearest)[None, :]
+                lower = np.concatenate([near[:, [j]] - length[:, None] * np.array(c.nearest, float)[None, :]
                                         for j, c in enumerate(there)], axis=1)
                 if lower.shape[1] > job.k:
                     least = np.sort(lower, axis=1)[:, -(job.k + 1)]
@@ -127,6 +128,14 @@ def _needs(job: Voronoi, pivots: dict[int, np.ndarray], cells: list):
     return run
 
 
+def _once(names: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The first row of each name and score, in the order of the rows."""
+    order = np.lexsort((scores, names))
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(names[order]) != 0) | (np.diff(scores[order]) != 0)
+    return np.sort(order[first])
+
+
 def _best(job: Voronoi):
     """The best k rows of a block for each of its queries."""
 
@@ -138,16 +147,17 @@ def _best(job: Voronoi):
         rows = order[~asks[order]]  # by id, so that the first of equal scores is the smallest id
         names = np.asarray(pa.compute.rank(ids, tiebreaker="dense"))
         data = vectors[rows]
+        repeated = len(np.unique(names[rows])) < len(rows)
         answers: list[tuple[int, np.ndarray, list[int]]] = []
         exact = len(data) and np.abs(data).max(initial=0) * np.abs(vectors[asks]).max(initial=0) * max(1, data.shape[1]) < _EXACT
         for q in np.flatnonzero(asks) if len(rows) else ():
             mine = names[rows] != names[q]
             if exact:
                 scores = data[mine] @ vectors[q]
-                keep = np.arange(len(scores))
-                if len(scores) > job.k:
-                    edge = np.partition(scores, len(scores) - job.k)[len(scores) - job.k]
-                    keep = np.flatnonzero(scores >= edge)
+                keep = _once(names[rows[mine]], scores) if repeated else np.arange(len(scores))
+                if len(keep) > job.k:
+                    edge = np.partition(scores[keep], len(keep) - job.k)[len(keep) - job.k]
+                    keep = keep[scores[keep] >= edge]
                 keep = keep[np.argsort(-scores[keep], kind="stable")]
                 scores = scores[keep].astype(np.int64).tolist()
             else:
@@ -155,7 +165,7 @@ def _best(job: Voronoi):
                 whole = [sum(a * int(b) for a, b in zip(own, row)) for row in data[mine]]
                 keep = np.array(sorted(range(len(whole)), key=lambda i: -whole[i]), np.int64)
                 scores = [min(max(whole[i], -2 ** 63), 2 ** 63 - 1) for i in keep]
-            # Repeated rows of one id count once.
+            # Rows of one id with equal scores count once.
             hit = names[rows[mine][keep]]
             _, first = np.unique(np.stack([hit, np.unique(scores, return_inverse=True)[1]]), axis=1, return_index=True) \
                 if len(hit) else (None, np.zeros(0, np.int64))
@@ -183,16 +193,22 @@ def nearest(
     for r in rows.orderBy(F.xxhash64("id"), "id").limit(job.pivots).select("vector").collect():
         pivots.setdefault(len(r.vector), []).append(np.floor(job.scale * np.array(r.vector, np.float64)))
     pivots = {size: np.unique(np.stack(some), axis=0) for size, some in pivots.items()}
-    placed = staged(rows.mapInArrow(_placed(job, pivots), (
-        f"id {id_type}, asks boolean, cell long, distance double, norm double, vector binary")), "placed")
+    placed = rows.mapInArrow(_placed(job, pivots), (
+        f"id {id_type}, asks boolean, cell long, distance double, norm double, vector binary"))
+    placed = staged(placed.groupBy("id", "vector").agg(
+        F.max("asks").alias("asks"), *[F.first(c).alias(c) for c in ("cell", "distance", "norm")]), "placed")
+    # The bounds count ids: a query leaves out all rows of its own id, and rows of one id may count once.
+    single = placed.groupBy("id").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("cell").alias("cell"), F.min("distance").alias("distance")).where("rows = 1")
     turn = Window.partitionBy("cell").orderBy("distance")
-    near = placed.select("cell", "distance").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= job.k + 1)
+    near = single.select("cell", "distance").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= job.k + 1)
     nearest_rows = near.groupBy("cell").agg(F.sort_array(F.collect_list("distance")).alias("nearest"))
     sizes = placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("rows"), F.max("distance").alias("radius"),
         F.sum(F.col("asks").cast("int")).alias("queries"))
     # One row per pivot (and per vector length without one), k + 1 distances each.
-    cells = sizes.join(nearest_rows, "cell").collect()
+    cells = sizes.join(nearest_rows, "cell", "left") \
+        .withColumn("nearest", F.coalesce("nearest", F.array().cast("array<double>"))).collect()
     needs = placed.where("asks").select("cell", "vector").mapInArrow(
         _needs(job, pivots, cells), "group long, cell long, least_distance double, least_norm double")
     needs = staged(needs.groupBy("group", "cell").agg(

@@ -36,6 +36,27 @@ def test_matches_all_products(spark, k, pivots, block):
     assert got == brute(rounded, k)
 
 
+@pytest.mark.parametrize("repeats", [2, 15])
+@pytest.mark.parametrize("pivots,block", [(1, 20_000), (8, 20_000), (8, 5)])
+def test_repeated_rows_take_no_places(spark, repeats, pivots, block):
+    # No two scores of a query are equal; the best rows, and the queries themselves, are in the table several times.
+    rows = [(i, [float(1 + i % 7), float(100 * i + i * i % 13)]) for i in range(60)]
+    rows += [(i, v) for i, v in rows if i in (50, 57, 59)] * (repeats - 1)
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    job = Voronoi(k=10, pivots=pivots, block_rows=block)
+    assert sorted(map(tuple, nearest(data, F.col("vec_id") % 10 == 0, job).collect())) == brute(rows, 10)
+
+
+def test_ids_with_several_vectors(spark):
+    # Vectors of one id that differ and give a query the same score, and the signs of a zero.
+    rows = [(i, [1.0 + i, 0.0]) for i in range(30)] + [(29, [30.0, float(j)]) for j in range(1, 20)]
+    rows += [(28, [29.0, -0.0])] * 12
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for pivots in (1, 8):
+        job = Voronoi(k=10, pivots=pivots)
+        assert sorted(map(tuple, nearest(data, F.col("vec_id") % 10 == 0, job).collect())) == brute(rows, 10)
+
+
 def as_float(values):
     import numpy as np
 

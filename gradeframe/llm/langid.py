@@ -46,6 +46,16 @@ def normalised(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
 
 
+def _most_bytes(sizes: list[int], room: int) -> int:
+    """The length that pieces of these sizes, in rising order, are cut to so that all fit."""
+    for at, size in enumerate(sizes):
+        share = max(0, room) // (len(sizes) - at)
+        if size > share:
+            return share
+        room -= size
+    return sizes[-1]
+
+
 def train(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, docs_per_lang: int = 256,
     chars_per_doc: int = 1024, bytes_per_lang: int = 131_072, seed: int = 0, **settings,
@@ -53,9 +63,10 @@ def train(
     """Learn from rows with text and language.
 
     The sample is bounded: per language, of ``docs_per_lang`` different texts
-    (those with the smallest seeded hashes) the first ``chars_per_doc``
-    characters, and ``bytes_per_lang`` in all. Only this sample comes to the
-    driver. Copies of a text count once, however many there are.
+    (those with the smallest seeded hashes) ``chars_per_doc`` characters from a
+    seeded place, and ``bytes_per_lang`` in all; where these are too few, the
+    longest pieces are cut to one length, so that every text of the sample is in.
+    Only this sample comes to the driver. Copies of a text count once, however many there are.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit(seed)).alias("h"))
@@ -63,13 +74,18 @@ def train(
     first = Window.partitionBy("lang").orderBy("h")
     picks = counted.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= docs_per_lang)
     # At most docs_per_lang rows of a language, whatever the input.
+    spare = F.greatest(F.length("text") - chars_per_doc + 1, F.lit(1))
+    start = F.pmod(F.xxhash64("h", F.lit(seed)), spare).cast("int") + 1
     texts = rows.join(F.broadcast(picks.select("lang", "h")), ["lang", "h"]) \
-        .groupBy("lang", "h").agg(F.first(F.substring("text", 1, chars_per_doc)).alias("text")).collect()
+        .groupBy("lang", "h").agg(F.first(F.substring("text", start, F.lit(chars_per_doc))).alias("text")).collect()
     totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     samples: dict[str, list[bytes]] = {}
     for r in sorted(texts, key=lambda r: r.h):
         if piece := normalised(r.text):
             samples.setdefault(r.lang, []).append(piece)
+    for lang, pieces in samples.items():
+        most = _most_bytes(sorted(map(len, pieces)), bytes_per_lang - len(pieces) + 1)
+        samples[lang] = [piece[:most] for piece in pieces]
     langs = sorted(samples, key=lambda lang: (-totals[lang], lang))
     return LanguageModel(
         tuple(langs), tuple(b" ".join(samples[lang])[:bytes_per_lang] for lang in langs), **settings)

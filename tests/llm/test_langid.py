@@ -58,6 +58,15 @@ def test_copies_do_not_fill_the_sample(spark):
     assert model.samples[0].count(b"text number") >= 13
 
 
+def test_all_sampled_texts_train_and_not_by_their_beginning(spark):
+    names = [f"qu{chr(97 + i // 8)}{chr(97 + i % 8)}x" for i in range(40)]
+    rows = [("en", "boiler plate of all texts " * 60 + f"{name} " * 3000) for name in names]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"), bytes_per_lang=4000)
+    assert sum(name.encode() in model.samples[0] for name in names) >= 30
+    assert len(model.samples[0]) <= 4000
+    assert [langid._most_bytes(*a) for a in (([3, 5], 9), ([2, 8, 8], 12), ([4, 4], 0), ([1], 5))] == [5, 5, 0, 1]
+
+
 def test_long_texts_are_measured_in_blocks(model):
     sizer = langid._Sizer(model)
     text = b"word " * 5000

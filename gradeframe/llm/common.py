@@ -57,7 +57,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``scratch`` named, before the driver ends."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], name: str, path: str | None = None) -> DataFrame:
     """Write a frame to the shared folder, dealt out by keys, so that later joins on them do not move it again.
 
     There are as many buckets as shuffle partitions. The table's name lives only
@@ -66,11 +72,12 @@ def bucketed(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     spark = df.sparkSession
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(count, *keys).write.format("parquet").bucketBy(count, *keys) \
-        .option("path", scratch(spark, name)).saveAsTable(table)
-    out = spark.table(table)
-    spark.sql(f"drop table {table}")
-    return out
+    try:
+        df.repartition(count, *keys).write.format("parquet").bucketBy(count, *keys) \
+            .option("path", path or scratch(spark, name)).saveAsTable(table)
+        return spark.table(table)
+    finally:
+        spark.sql(f"drop table if exists {table}")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

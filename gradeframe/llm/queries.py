@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeframe.llm import langid, license_scan, url_filter, warc
+from gradeframe.llm.chat_format import AFTER_ROLE, BEGIN, END, NEXT, TRAINED, format_report
+from gradeframe.llm.collocations import Collocations, collocations
 from gradeframe.llm.common import documents, scratch
 from gradeframe.llm.fertility import verdicts
 from gradeframe.llm.knn import Voronoi, nearest
@@ -12,6 +14,7 @@ from gradeframe.llm.mixing import LEVELS, Mix, selection
 from gradeframe.llm.near_dedup import NearDedup, near_duplicates
 from gradeframe.llm.segmentation import Segmentation, digest_column
 from gradeframe.llm.substring_dedup import removal_report
+from gradeframe.llm.vector_codes import VectorCodes, code_report
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +234,118 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.*")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir), Collocations())
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_COLLOCATION_SQL = f"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents),
+words as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+sizes as (select unnest([1, 2, 3]) as k),
+places as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, sizes where len(w) >= k),
+f as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f from places group by all),
+totals as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+candidates as (select lang, k as words, phrase, string_split(phrase, ' ') as w, f as a from f where k > 1 and f >= 10),
+cuts as (select *, unnest(range(1, words)) as cut from candidates),
+sides as (select lang, phrase, a, cut, array_to_string(w[1:cut], ' ') as head, array_to_string(w[cut + 1:words], ' ') as tail from cuts),
+scored as (
+  select s.lang, s.phrase, s.a, s.cut, x.f as l, y.f as r,
+    ((1000000::hugeint * s.a * s.a) // (x.f::hugeint * y.f))::bigint as score
+  from sides s join f x on x.lang = s.lang and x.phrase = s.head join f y on y.lang = s.lang and y.phrase = s.tail),
+best as (select * from (select *, row_number() over (partition by lang, phrase order by score, cut) as c from scored) where c = 1),
+inside as (
+  select lang, array_to_string(w[i:i + 1], ' ') as phrase, max(a) as longer
+  from (select *, unnest([1, 2]) as i from candidates where words = 3) group by all),
+ranked as (
+  select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+  from best b left join inside i on i.lang = b.lang and i.phrase = b.phrase where i.longer is null or 100 * i.longer < 50 * a)
+select ranked.lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score
+from ranked join totals on totals.lang = ranked.lang where rank <= 2000
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), VectorCodes())
+
+
+def _assign_sql(n: int) -> str:
+    """Distance and index of the nearest entry of codebook n for each part."""
+    return f"""
+gap{n} as materialized (
+  select x.vec_id, x.part, c.entry, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))) as gap
+  from x join book{n} c on c.part = x.part),
+near{n} as materialized (
+  select vec_id, part, entry, gap from (select *, row_number() over (partition by vec_id, part order by gap, entry) as place from gap{n}) where place = 1)"""
+
+
+def _round_sql(n: int) -> str:
+    """Codebook n out of codebook n - 1."""
+    return f"""{_assign_sql(n - 1)},
+mean{n} as materialized (
+  select part, entry, list(mean order by i) as v from (
+    select a.part, entry, i, floor(sum(v[i])::double / count(*))::bigint as mean
+    from (select a.part, entry, v, unnest(range(1, len(v) + 1)) as i from near{n - 1} a join x on x.vec_id = a.vec_id and x.part = a.part) a
+    group by a.part, entry, i) group by part, entry),
+book{n} as materialized (
+  select b.part, b.entry, coalesce(m.v, b.v) as v from book{n - 1} b left join mean{n} m on m.part = b.part and m.entry = b.entry)"""
+
+
+_CODES = VectorCodes()
+_CODES_SQL = f"""
+with kept as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: floor({_CODES.scale} * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+split as (select vec_id, v, len(v) // {_CODES.parts} as width, unnest(range(0, {_CODES.parts})) as part from kept),
+x as materialized (select vec_id, part, v[part * width + 1:(part + 1) * width] as v from split),
+book0 as materialized (
+  select part, entry, v from (select part, v, row_number() over (partition by part order by vec_id) - 1 as entry from x) where entry < {_CODES.entries}),
+{",".join(_round_sql(n) for n in range(1, _CODES.rounds + 1))},
+{_assign_sql(_CODES.rounds)},
+coded as (
+  select vec_id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' order by part) as code, sum(gap)::bigint as error from near{_CODES.rounds} group by vec_id),
+labelled as (select coded.*, label from coded join kept on kept.vec_id = coded.vec_id),
+books as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256 from book{_CODES.rounds})
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from labelled, books
+"""
+
+
+# A conversation whose texts look like the template.
+_CONFUSING = "\\### Assistant: </turn> ok"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", _CONFUSING), (-7, 1, "assistant", _CONFUSING)], rows.schema)
+    return format_report(rows.unionByName(planted))
+
+
+def _occurrences_sql(text: str) -> str:
+    return f"(length(text) - length(replace(text, '{text}', ''))) // {len(text)}"
+
+
+_CHAT_SQL = f"""
+with r as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '{_CONFUSING}' union all select -7, 1, 'assistant', '{_CONFUSING}'),
+t as (
+  select *, lag(role) over (partition by conv_id order by turn, role, text) as earlier,
+    length(text) + {_occurrences_sql(chr(92))} + {_occurrences_sql(END.strip())} + {_occurrences_sql(NEXT)}
+      + coalesce(list_sum(list_transform(regexp_extract_all(text, '##(#+)', 1), lambda x: len(x))), 0) as chars
+  from r)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = '{TRAINED[0]}'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = '{TRAINED[0]}'), '')) as loss_sha256,
+  sum(chars + case when earlier is null or earlier <> role then length(role) + {len(BEGIN + AFTER_ROLE + END)} else {len(NEXT)} end)::bigint
+    as formatted_chars
+from t group by conv_id
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup,
     op2_warc_revisits,
@@ -242,7 +357,11 @@ QUERIES = {f.__name__: f for f in (
     op8_exact_topk,
     op9_source_mixing,
     op10_language_id,
+    op11_phrase_collocations,
+    op12_vector_codes,
+    op13_chat_format,
 )}
 
 ORACLES: dict[str, str] = {"op2_warc_revisits": _WARC_SQL, "op3_url_lists": _URL_SQL, "op8_exact_topk": _TOPK_SQL,
-                           "op9_source_mixing": _MIX_SQL}
+                           "op9_source_mixing": _MIX_SQL, "op11_phrase_collocations": _COLLOCATION_SQL,
+                           "op12_vector_codes": _CODES_SQL, "op13_chat_format": _CHAT_SQL}

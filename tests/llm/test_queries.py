@@ -13,7 +13,7 @@ SF_DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in "documents pages embeddings".split():
+    for table in "documents pages embeddings conversations".split():
         con.execute(f"create view {table} as select * from '{SF_DIR}/{table}.parquet'")
     got = QUERIES[name](spark, SF_DIR)
     cursor = con.execute(ORACLES[name])

@@ -16,17 +16,21 @@ from gradeframe.operators.metrics import (
 from gradeframe.operators.resume import (
     attach_responses, pending, processed_ids, results_union, settled_results,
 )
-from gradeframe.operators.scoring import run_counters, score, score_recorded, with_prompt
+from gradeframe.operators.scoring import ask, run_counters, score, score_recorded, with_prompt
 from gradeframe.operators.summary import row_summary
-from gradeframe.plans.evaluate import evaluate, question_metrics, report_lines
+from gradeframe.plans.evaluate import (
+    evaluate, group_figures, metrics_of_figures, question_metrics, report_lines,
+)
 from gradeframe.plans.jobs import run_all, run_evaluation, run_recorded, run_scoring
+from gradeframe.plans.refresh import refresh_evaluation
+from gradeframe.sources.parts import append_part, pending_at
 from gradeframe.sources.tables import (
     append_results, bind_roles, existing_results, normalize_missing, preview, read_items,
     read_results, read_table, write_report, write_summary, write_table,
 )
 from gradeframe.spec import EvalSpec, Question
 from gradeframe.streaming.streams import (
-    read_stream, read_stream_metrics, read_stream_results, stream_metrics, stream_score,
+    read_stream, read_stream_metrics, read_stream_results, stream_evaluate, stream_metrics, stream_score,
 )
 
 __all__ = sorted(name for name in dir() if not name.startswith("_"))

@@ -35,8 +35,10 @@ def extract_json_object(text: Column, answer_keys: Sequence[str] = (fv.JSON_ANSW
     NULL unless everything between the outer braces is one valid object. All
     fields are read as text, which makes the reader go through every token of
     every value, and a broken one marks the whole record. The object stands in
-    an array before an element that carries a hash of the text: only if that
-    element comes second was the text read as one value. The labels are then
+    an array between two elements that carry a hash of the text: only if it has
+    exactly these neighbours was the text read as one value. A text that closes the array
+    and opens another one, under the same key even, leaves each of them
+    with one such neighbour at most. The labels are then
     read by type, for text alone does not tell a list from a string that looks
     like one; of repeated keys the last value counts.
     """
@@ -46,23 +48,24 @@ def extract_json_object(text: Column, answer_keys: Sequence[str] = (fv.JSON_ANSW
     kept = ", ".join(f"`{name}` string" for name in answer_keys)
 
     def whole(body: Column, read: Column, mark: Column) -> Column:
-        value = F.get(read[_WHOLE], F.lit(0))
+        value, ends = F.get(read[_WHOLE], F.lit(1)), [F.get(read[_WHOLE], F.lit(i))[seal] for i in (0, 2)]
         listed = F.from_json(body, f"`{fv.JSON_LABELS}` array<string>", _STRICT)[fv.JSON_LABELS]
         labels = F.when(F.startswith(value[fv.JSON_LABELS], F.lit("[")), listed)
         found = F.struct(*[value[name].alias(name) for name in answer_keys], labels.alias(fv.JSON_LABELS))
-        sealed = (F.size(read[_WHOLE]) == 2) & (F.get(read[_WHOLE], F.lit(1))[seal] == mark)
+        sealed = (F.size(read[_WHOLE]) == 3) & (ends[0] == mark) & (ends[1] == mark)
         return F.when(read[_BROKEN].isNull() & sealed, found.cast(f"struct<{kept}, `{fv.JSON_LABELS}` array<string>>"))
 
     def parse(body: Column) -> Column:
         mark = F.xxhash64(body).cast("string")
-        wrapped = F.concat(F.lit(f'{{"{_WHOLE}":['), body, F.lit(f',{{"{seal}":"'), mark, F.lit('"}]}'))
-        read = F.from_json(wrapped, f"`{_WHOLE}` array<struct<{fields}>>, `{_BROKEN}` string", _STRICT)
+        end = F.concat(F.lit(f'{{"{seal}":"'), mark, F.lit('"}'))
+        framed = F.concat(F.lit(f'{{"{_WHOLE}":['), end, F.lit(","), body, F.lit(","), end, F.lit("]}"))
+        read = F.from_json(framed, f"`{_WHOLE}` array<struct<{fields}>>, `{_BROKEN}` string", _STRICT)
         return let(read, lambda r: whole(body, r, mark))
 
     def readable(body: Column) -> Column:
         odd = F.regexp_replace(body, _STRINGS, '""').rlike(_NOT_JSON)
         suspect = F.contains(body, F.lit("INF")) | F.contains(body, F.lit("+I"))
-        return (body != "") & ~F.contains(body, F.lit(_WHOLE)) & ~F.when(suspect, odd).otherwise(False)
+        return (body != "") & ~F.when(suspect, odd).otherwise(False)
 
     return let(braced_text(text), lambda body: F.when(readable(body), parse(body)))
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from gradeframe import fixed_values as fv
 from gradeframe.functions.labels import label_count, majority_label, valid_labels
 from gradeframe.functions.predicates import is_correct, is_refused, is_valid_answer
+from gradeframe.operators.moments import merged_with_overall
 from gradeframe.spec import column, has_column
 
 
@@ -55,20 +56,6 @@ def _grouped(df: DataFrame, by: str | None):
     return df.where(present(df, by).isNotNull()).groupBy(column(by)) if by else df.groupBy()
 
 
-def with_overall_row(rows: DataFrame, counts: list[str]) -> DataFrame:
-    """Aggregated rows (``is_overall``, ``grp``, aggregates) with an overall row even if there were no rows to aggregate.
-
-    Grouping sets give none for an empty table; a row of zeros does, NULL for
-    aggregates that are no counts.
-    """
-    names = [n for n in rows.columns if n not in ("is_overall", "grp")]
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    zero = rows.sparkSession.range(0, 1, 1, 1).select(
-        F.lit(True).alias("is_overall"), F.lit(None).cast(kinds["grp"]).alias("grp"),
-        *[F.lit(0 if n in counts else None).cast(kinds[n]).alias(n) for n in names])
-    return rows.unionByName(zero).groupBy("is_overall", "grp").agg(*[F.max(column(n)).alias(n) for n in names])
-
-
 def refusal_rate(df: DataFrame, answer_col: str, by: str | None = None) -> DataFrame:
     """Refused rows, all rows and their ratio."""
     refused, total = F.count_if(is_refused(column(answer_col))), F.count(F.lit(1))
@@ -90,30 +77,30 @@ def accuracy(df: DataFrame, answer_col: str, gold_col: str, by: str | None = Non
     return rows.where(F.col("valid") > 0) if by else rows
 
 
-def answer_metrics(
-    df: DataFrame, answer_col: str, gold_col: str | None = None, by: str | None = None
-) -> DataFrame:
-    """Refusal and accuracy, overall and per group, in one pass.
+ANSWER_COUNTS = ("refused", "total", "valid")
 
-    ``scope`` tells the overall row from the groups; the accuracy of a group
-    without a valid answer is NULL. Without the gold column there is no
-    accuracy, without the group column no group.
+
+def answer_counts(df: DataFrame, answer_col: str, gold_col: str | None = None, by: str | None = None) -> DataFrame:
+    """What refusal and accuracy are made of, one row per group (``grp``), the missing group included.
+
+    ``correct`` is there with the gold column only.
     """
     answer = column(answer_col)
-    right = is_correct(answer, column(gold_col)) if has_column(df, gold_col) else F.lit(None).cast("boolean")
-    grouped = has_column(df, by)
-    group = present(df, by) if grouped else F.lit(None).cast("string")
-    facts = df.select(group.alias("grp"), is_valid_answer(answer).alias("ok"), right.alias("right"))
-    counts = [F.count_if(~F.col("ok")).alias("refused"), F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("valid"),
-              (F.count_if("right") if has_column(df, gold_col) else F.lit(None).cast("long")).alias("correct")]
-    if grouped:
-        rows = facts.groupingSets([[], [F.col("grp")]], F.col("grp")).agg(
-            (F.grouping("grp") == 1).alias("is_overall"), *counts).where("is_overall or grp is not null")
-        if not df.isStreaming:
-            zeros = ["refused", "total", "valid"] + (["correct"] if has_column(df, gold_col) else [])
-            rows = with_overall_row(rows, zeros)
-    else:
-        rows = facts.agg(*counts).select(F.lit(True).alias("is_overall"), F.lit(None).cast("string").alias("grp"), "*")
+    group = present(df, by) if has_column(df, by) else F.lit(None).cast("string")
+    facts = df.select(
+        group.alias("grp"), is_valid_answer(answer).alias("ok"),
+        *([is_correct(answer, column(gold_col)).alias("right")] if has_column(df, gold_col) else []))
+    return facts.groupBy("grp").agg(
+        F.count_if(~F.col("ok")).alias("refused"), F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("valid"),
+        *([F.count_if("right").alias("correct")] if has_column(df, gold_col) else []))
+
+
+def metrics_of_counts(counts: DataFrame) -> DataFrame:
+    """Refusal and accuracy, overall and per group, of what ``answer_counts`` gives."""
+    known = [n for n in (*ANSWER_COUNTS, "correct") if n in counts.columns]
+    rows = merged_with_overall(counts, known, [])
+    if "correct" not in known:
+        rows = rows.withColumn("correct", F.lit(None).cast("long"))
     return rows.select(
         F.when(F.col("is_overall"), "overall").otherwise("group").alias("scope"), "grp",
         "refused", "total", ratio(F.col("refused"), F.col("total")).alias("refusal_rate"),
@@ -121,6 +108,19 @@ def answer_metrics(
     )
 
 
+def answer_metrics(
+    df: DataFrame, answer_col: str, gold_col: str | None = None, by: str | None = None
+) -> DataFrame:
+    """Refusal and accuracy, overall and per group, in one pass.
+
+    ``scope`` tells the overall row from the groups; the accuracy of a group
+    without a valid answer is NULL. Without the gold column there is no
+    accuracy, without the group column no group. The overall row is added up
+    from the groups.
+    """
+    return metrics_of_counts(answer_counts(df, answer_col, gold_col, by))
+
+
 def headline(df: DataFrame, answer_col: str, gold_col: str | None = None) -> DataFrame:
     """Total rows, refusal rate and accuracy (NULL without a gold column)."""
     answer, total = column(answer_col), F.count(F.lit(1))

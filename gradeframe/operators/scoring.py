@@ -74,6 +74,17 @@ def _check_free(items: DataFrame, spec: EvalSpec) -> None:
         raise ValueError(f"items already have the result columns {taken}; rename them first")
 
 
+def ask(
+    items: DataFrame, spec: EvalSpec, make_responder: MakeResponder, batch_rows: int = 64,
+) -> DataFrame:
+    """Ask the responder for every item: adds ``Raw_Response`` and ``error``, nothing is parsed yet."""
+    _check_free(items, spec)
+    reply = responder_udf(make_responder, spec, batch_rows)
+    asked = with_prompt(items, spec, "_gf_prompt").withColumn("_gf_reply", reply("_gf_prompt"))
+    replied = with_reply(asked, F.col("_gf_reply")["text"], F.col("_gf_reply")["problem"])
+    return replied.drop("_gf_prompt", "_gf_reply")
+
+
 def score(
     items: DataFrame, spec: EvalSpec, make_responder: MakeResponder,
     partitions: int | None = None, batch_rows: int = 64,
@@ -84,13 +95,9 @@ def score(
     (save for lost tasks); write it before aggregating it. ``partitions`` sets
     how many responders work at a time, at the price of a shuffle.
     """
-    _check_free(items, spec)
     if partitions:
         items = items.repartition(partitions)
-    ask = responder_udf(make_responder, spec, batch_rows)
-    asked = with_prompt(items, spec, "_gf_prompt").withColumn("_gf_reply", ask("_gf_prompt"))
-    replied = with_reply(asked, F.col("_gf_reply")["text"], F.col("_gf_reply")["problem"])
-    return parse_responses(replied.drop("_gf_prompt", "_gf_reply"), spec)
+    return parse_responses(ask(items, spec, make_responder, batch_rows), spec)
 
 
 def score_recorded(

@@ -7,7 +7,8 @@ from pyspark.sql.types import BooleanType
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions.predicates import is_correct, is_valid_answer
-from gradeframe.operators.metrics import interval, present, ratio, with_label_facts, with_overall_row
+from gradeframe.operators.metrics import interval, present, ratio, with_label_facts
+from gradeframe.operators.moments import mean_of, merged_with_overall, moment, std_of
 from gradeframe.spec import EvalSpec, column, has_column
 
 _LABEL_NUMBERS = range(len(fv.RELEVANCE_LABELS))
@@ -18,7 +19,8 @@ def _facts(results: DataFrame, spec: EvalSpec) -> DataFrame:
     if not has_column(results, fv.LABELS):
         results = results.withColumn(fv.LABELS, F.array().cast("array<string>"))
     labelled = with_label_facts(results, fv.LABELS, spec.max_sentences)
-    facts = [F.lit(1).alias("present")]
+    failed = F.col(fv.ERROR).isNotNull() if has_column(results, fv.ERROR) else F.lit(False)
+    facts = [F.lit(1).alias("present"), failed.alias("failed")]
     if has_column(results, spec.group_col):
         facts.append(present(results, spec.group_col).alias("grp"))
     for q, question in enumerate(spec.targets):
@@ -31,53 +33,58 @@ def _facts(results: DataFrame, spec: EvalSpec) -> DataFrame:
     return labelled.select(*facts, "_labels.*")
 
 
-def _aggregates(facts: DataFrame, n_questions: int) -> dict[str, Column]:
-    """Named aggregates over the facts; all of them can be merged by max with
-    0 or NULL."""
-    sql = {"total": "count(present)"}
+def _counts_and_moments(facts: DataFrame, n_questions: int) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Named aggregates over the facts, all of which can be merged."""
+    counts = {"total": F.count("present")}
     for q in range(n_questions):
         if f"ok_{q}" not in facts.columns:
             continue
-        sql[f"valid_{q}"] = f"count_if(ok_{q})"
+        counts[f"valid_{q}"] = F.expr(f"count_if(ok_{q})")
         if f"right_{q}" in facts.columns:
-            sql[f"correct_{q}"] = f"count_if(right_{q})"
+            counts[f"correct_{q}"] = F.expr(f"count_if(right_{q})")
             for k, label in enumerate(fv.RELEVANCE_LABELS):
-                sql[f"valid_{q}_{k}"] = f"count_if(ok_{q} and majority = '{label}')"
-                sql[f"correct_{q}_{k}"] = f"count_if(right_{q} and majority = '{label}')"
-    for k in _LABEL_NUMBERS:
-        sql[f"n_{k}"], sql[f"mean_{k}"], sql[f"std_{k}"] = (
-            f"count(share_{k})", f"avg(share_{k})", f"stddev_samp(share_{k})"
-        )
-    return {name: F.expr(text) for name, text in sql.items()}
+                counts[f"valid_{q}_{k}"] = F.expr(f"count_if(ok_{q} and majority = '{label}')")
+                counts[f"correct_{q}_{k}"] = F.expr(f"count_if(right_{q} and majority = '{label}')")
+    return counts, {f"share_{k}": moment(F.col(f"share_{k}")) for k in _LABEL_NUMBERS}
+
 
+def group_figures(results: DataFrame, spec: EvalSpec, with_errors: bool = False) -> DataFrame:
+    """All that the metrics are made of: one row per group (``grp``), the missing group included.
 
-def _totals(results: DataFrame, spec: EvalSpec) -> DataFrame:
-    """One wide row of aggregates overall and, with a group column, per group."""
+    Rows of several tables, or of a stream's batches, can be put together and go to ``metrics_of_figures``.
+    ``with_errors`` adds the number of rows in error (``errors``).
+    """
     facts = _facts(results, spec)
-    aggregates = _aggregates(facts, len(spec.targets))
-    named = [a.alias(n) for n, a in aggregates.items()]
     if "grp" not in facts.columns:
-        rows = facts.agg(*named)
-        return rows.select(F.lit(True).alias("is_overall"), F.lit(None).cast("string").alias("grp"), *aggregates)
-    rows = (
-        facts.groupingSets([[], [F.col("grp")]], F.col("grp"))
-        .agg((F.grouping("grp") == 1).alias("is_overall"), *named)
-        .where(F.col("is_overall") | F.col("grp").isNotNull())
-    )
-    return with_overall_row(rows, [n for n in aggregates if not n.startswith(("mean_", "std_"))])
+        facts = facts.withColumn("grp", F.lit(None).cast("string"))
+    counts, moments = _counts_and_moments(facts, len(spec.targets))
+    if with_errors:
+        counts["errors"] = F.count_if("failed")
+    return facts.groupBy("grp").agg(*[a.alias(n) for n, a in (counts | moments).items()])
 
 
 def evaluate(results: DataFrame, spec: EvalSpec) -> DataFrame:
     """The metrics table: refusal, accuracy, accuracy by majority label and
     label distribution, overall and per group, for every question.
 
-    All of it comes from one scan and one aggregation; the rows of the table
+    All of it comes from one scan and one aggregation by group; the overall figures
+    are merged from the groups', and the rows of the table
     are unfolded from one wide row per group afterwards.
 
     ``n`` of ``total`` rows give ``value`` for the first three sections; for
     the distribution ``n`` rows give the mean ``value``, ``std`` and interval.
     """
-    totals = _totals(results, spec)
+    return metrics_of_figures(group_figures(results, spec), spec)
+
+
+def metrics_of_figures(figures: DataFrame, spec: EvalSpec) -> DataFrame:
+    """The metrics table of what ``group_figures`` gives."""
+    names = [n for n in figures.columns if n not in ("grp", "errors")]
+    moments = [n for n in names if n.startswith("share_")]
+    totals = merged_with_overall(figures, [n for n in names if n not in moments], moments)
+    totals = totals.withColumns({
+        name + str(k): of(F.col(f"share_{k}")) for k in _LABEL_NUMBERS
+        for name, of in (("n_", lambda m: m["n"]), ("mean_", mean_of), ("std_", std_of))})
 
     def entry(question, section, n, total, label="null", mean="null", std="null"):
         return (

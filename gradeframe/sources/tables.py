@@ -75,7 +75,11 @@ def read_results(
     schema: StructType | str | None = None, multi_line: bool = True, types: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Scored rows; wide label columns become one array."""
-    results = read_items(spark, path, fmt, schema, multi_line, types)
+    return with_label_array(read_items(spark, path, fmt, schema, multi_line, types), max_sentences)
+
+
+def with_label_array(results: DataFrame, max_sentences: int | None = None) -> DataFrame:
+    """Wide label columns as one array, where there are some and no array."""
     if fv.LABELS not in results.columns and wide_label_names(results, max_sentences):
         results = labels_from_wide(results, max_sentences)
     return results
@@ -95,17 +99,22 @@ def existing_results(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    """Append rows by column name; a different set of columns is an error."""
+def check_columns(df: DataFrame, path: str) -> DataFrame:
+    """The rows with their columns in the order of the results at a path; a different set of columns is an error."""
     there = existing_results(df.sparkSession, path)
-    if there is not None:
-        old = {f.name: f.dataType.simpleString() for f in there.schema.fields}
-        new = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-        if old != new:
-            changed = sorted(set(old.items()) ^ set(new.items()))
-            raise ValueError(f"results at {path} have other columns: {changed}")
-        df = df.select(*[column(n) for n in there.columns])
-    df.write.mode("append").parquet(path)
+    if there is None:
+        return df
+    old = {f.name: f.dataType.simpleString() for f in there.schema.fields}
+    new = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    if old != new:
+        changed = sorted(set(old.items()) ^ set(new.items()))
+        raise ValueError(f"results at {path} have other columns: {changed}")
+    return df.select(*[column(n) for n in there.columns])
+
+
+def append_results(df: DataFrame, path: str) -> None:
+    """Append rows by column name. ``parts.append_part`` is an append that can be retried."""
+    check_columns(df, path).write.mode("append").parquet(path)
 
 
 def preview(df: DataFrame, k: int, order_by: str | None = None) -> DataFrame:

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from gradeframe.operators.metrics import answer_metrics, with_overall_row
+from gradeframe.operators.metrics import answer_counts, metrics_of_counts
 from gradeframe.operators.resume import pending
+from gradeframe.plans.evaluate import group_figures, metrics_of_figures
+from gradeframe.sources.parts import Folder
 from gradeframe.sources.tables import existing_results, remove_path, scratch_path
-from gradeframe.spec import EvalSpec
+from gradeframe.spec import EvalSpec, has_column
+from gradeframe.streaming.done_ids import first_batch_of_each, use_rocksdb
 
 _STREAM, _BATCH, _VERSION = "stream", "batch_id", "version"
 
@@ -32,17 +36,29 @@ def read_stream_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop(_STREAM, _BATCH)
 
 
+def _other_streams(spark: SparkSession, path: str, stream_name: str) -> DataFrame | None:
+    """What other streams have written into a sink; the folders of this one are not even listed."""
+    folder = Folder(spark, path)
+    others = [n for n in folder.names() if n.startswith(f"{_STREAM}=") and n != f"{_STREAM}={stream_name}"]
+    read = [existing_results(spark, folder.at(n)) for n in others]
+    read = [there for there in read if there is not None]
+    return reduce(lambda a, b: a.unionByName(b), read) if read else None
+
+
 def stream_score(
     items: DataFrame, spec: EvalSpec, scorer: Callable[[DataFrame], DataFrame],
     path: str, checkpoint: str, stream_name: str,
 ) -> DataStreamWriter:
     """Score arriving items, skipping ids that are already in the sink.
 
-    Every micro-batch owns one partition of the sink and overwrites it, and
-    looks for done ids in all other partitions. A batch that is replayed after
-    a failure therefore replaces itself: nothing is written twice, nothing is
-    lost. Batch numbers belong to a checkpoint; use a new ``stream_name`` with
-    a new one.
+    The ids this stream has passed on are its state (see ``done_ids``), so a
+    micro-batch reads nothing of what the stream has written. Only the id columns of other
+    streams in the same sink are looked up, if there are any.
+
+    Every micro-batch owns one partition of the sink and overwrites it. A batch
+    that is replayed after a failure starts from the same state and replaces
+    itself: nothing is written twice, nothing is lost. Batch numbers and state belong
+    to a checkpoint; use a new ``stream_name`` with a new one.
 
     ``scorer`` takes the items to do and gives scored rows, e.g.
     ``lambda todo: score(todo, spec, make_responder)``. Start the writer with
@@ -51,15 +67,18 @@ def stream_score(
     if not re.fullmatch(r"[A-Za-z][\w.-]*", stream_name):
         raise ValueError("stream_name becomes a folder name: a letter, then letters, digits, _ . - only")
     scratch = scratch_path(items.sparkSession, "done-ids")
+    named = has_column(items, spec.id_col)
+    if named:
+        use_rocksdb(items.sparkSession)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        there = existing_results(batch.sparkSession, path)
-        if there is not None:
-            others = there.where((F.col(_STREAM) != stream_name) | (F.col(_BATCH) != batch_id))
+        others = _other_streams(batch.sparkSession, path, stream_name) if named else None
+        if others is not None:
             batch = pending(batch, others, spec.id_col, scratch=scratch)
         scorer(batch).write.mode("overwrite").parquet(f"{path}/{_STREAM}={stream_name}/{_BATCH}={batch_id}")
 
-    return items.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    fresh = first_batch_of_each(items, spec.id_col) if named else items
+    return fresh.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
@@ -80,30 +99,35 @@ def read_stream_metrics(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/{_VERSION}={versions[-1]}") if versions else None
 
 
+def _versioned(figures: DataFrame, finish: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataStreamWriter:
+    """Write the whole table that ``finish`` makes of the running figures, a version per micro-batch.
+
+    The state is one row of counters per group. A reader takes the newest
+    version that is complete, so it never meets a table that is half
+    replaced. Older versions but the last are removed.
+    """
+    def write_batch(groups: DataFrame, batch_id: int) -> None:
+        finish(groups).write.mode("overwrite").parquet(f"{path}/{_VERSION}={batch_id}")
+        for old in _versions(groups.sparkSession, path):
+            if old < batch_id - 1:
+                remove_path(groups.sparkSession, f"{path}/{_VERSION}={old}")
+
+    return figures.writeStream.outputMode("complete").foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+
+
 def stream_metrics(
     results: DataFrame, answer_col: str, gold_col: str, by: str, path: str, checkpoint: str
 ) -> DataStreamWriter:
     """Running refusal and accuracy, overall and per group, over arriving results.
 
-    The state is a few counters per group. Each micro-batch writes a version of
-    its own, the whole table of metrics; ``read_stream_metrics`` takes the
-    newest that is complete, so a reader never meets a table that is half
-    replaced. Older versions but the last are removed.
+    ``read_stream_metrics`` reads the newest complete version.
     """
+    return _versioned(answer_counts(results, answer_col, gold_col, by), metrics_of_counts, path, checkpoint)
 
-    def write_batch(metrics: DataFrame, batch_id: int) -> None:
-        # Before any row has come there is an overall row of zeros.
-        counted = metrics.withColumn("is_overall", F.col("scope") == "overall").drop("scope")
-        whole = with_overall_row(counted, ["refused", "total", "valid"] + (["correct"] if gold_col in results.columns else []))
-        shown = whole.select(F.when(F.col("is_overall"), "overall").otherwise("group").alias("scope"),
-                             *[n for n in metrics.columns if n != "scope"])
-        shown.write.mode("overwrite").parquet(f"{path}/{_VERSION}={batch_id}")
-        for old in _versions(metrics.sparkSession, path):
-            if old < batch_id - 1:
-                remove_path(metrics.sparkSession, f"{path}/{_VERSION}={old}")
 
-    return (
-        answer_metrics(results, answer_col, gold_col, by)
-        .writeStream.outputMode("complete").foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint)
-    )
+def stream_evaluate(results: DataFrame, spec: EvalSpec, path: str, checkpoint: str) -> DataStreamWriter:
+    """The running metrics table over arriving results: all that ``evaluate`` gives, label shares and accuracy by label included.
+
+    ``read_stream_metrics`` reads the newest complete version.
+    """
+    return _versioned(group_figures(results, spec), lambda figures: metrics_of_figures(figures, spec), path, checkpoint)

@@ -32,6 +32,8 @@ JSON_CASES = [
     '{"Answer":"A","x":+Infinity}', '{"Answer":"A","x":Infinity}', '{"Answer":"A","x":-Infinity}', '{"Answer":"A","x":INF}',
     '{"Answer":"A","x":"INF +I"}', '{"Answer":"A"},"b":{"c":2}', '{"Answer":"A"}],"b":[{"c":2}',
     '{"Answer":"A"},{"seal":"x"}],"b":[{"c":2}', '{"Sentence_Relevance":["a"],"Sentence_Relevance":"x"}',
+    '{"Answer":"A","x":"gf-whole-response"}', '{"gf-whole-response":[1,2],"Answer":"A"}', '{"Answer":"A"}],"gf-whole-response":[{"Answer":"B"}',
+    '{"Answer":"A"}],"gf\\u002dwhole-response":[{"Answer":"B"}', '{"Answer":"A"}],[{"Answer":"B"}', '{"seal":"1"},{"Answer":"A"}',
     '{"Sentence_Relevance":"[\\"a\\"]"}', '{"Sentence_Relevance":["a"],"Sentence_Relevance":["b","c"]}',
 ]
 

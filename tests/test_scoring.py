@@ -174,15 +174,15 @@ def test_resume_equals_one_run(spark, tmp_path):
 def test_a_sliced_run_keeps_what_was_done_before_it_died(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "r")
     items = items_of(spark, ["1", "2", "bad", "4", "5", "6", "7", "8"]).repartition(4)
-    plain, calls = jobs.append_results, []
+    plain, calls = jobs.append_part, []
 
-    def dying(df, where):
+    def dying(df, where, *more):
         calls.append(where)
         if len(calls) == 3:
             raise RuntimeError("driver lost")
-        plain(df, where)
+        plain(df, where, *more)
 
-    monkeypatch.setattr(jobs, "append_results", dying)
+    monkeypatch.setattr(jobs, "append_part", dying)
     with pytest.raises(RuntimeError, match="driver lost"):
         gf.run_scoring(items, SPEC, make_responder, path, slices=3)
     done = spark.read.parquet(path).count()
@@ -297,13 +297,13 @@ def test_scratch_goes_to_the_shared_folder(spark):
 def test_a_run_with_default_arguments_keeps_what_was_paid_for(spark, tmp_path, monkeypatch):
     path, asked = str(tmp_path / "r"), str(tmp_path / "asked")
     items = items_of(spark, [str(i) for i in range(40)]).coalesce(1)
-    plain, calls = jobs.append_results, []
+    plain, calls = jobs.append_part, []
 
-    def dying(df, where):
+    def dying(df, where, *more):
         calls.append(where)
         if len(calls) == 3:
             raise RuntimeError("driver lost")
-        plain(df, where)
+        plain(df, where, *more)
 
     def make(spec):
         def respond(prompts):
@@ -312,7 +312,7 @@ def test_a_run_with_default_arguments_keeps_what_was_paid_for(spark, tmp_path, m
             return ["Answer: A"] * len(prompts)
         return respond
 
-    monkeypatch.setattr(jobs, "append_results", dying)
+    monkeypatch.setattr(jobs, "append_part", dying)
     with pytest.raises(RuntimeError, match="driver lost"):
         gf.run_scoring(items, SPEC, make, path)
     kept = spark.read.parquet(path).count()
@@ -417,6 +417,30 @@ def test_streams_share_a_sink(spark, tmp_path, second):
     assert ids(gf.read_stream_results(spark, str(tmp_path / "out"))) == ["1", "2", "3"]
 
 
+def test_a_batch_reads_nothing_of_what_its_stream_wrote(spark, tmp_path):
+    """Earlier output of the stream is made unreadable: later batches do not look, and still skip what was done."""
+    schema = items_of(spark, []).schema
+    src, out = tmp_path / "in", tmp_path / "out"
+
+    def arrive(group):
+        items_of(spark, group).coalesce(1).write.mode("append").parquet(str(src))
+        gf.stream_score(
+            gf.read_stream(spark, str(src), schema), SPEC, lambda todo: gf.score(todo, SPEC, make_responder),
+            str(out), str(tmp_path / "progress"), "a",
+        ).trigger(availableNow=True).start().awaitTermination()
+
+    arrive(["1", "2", "2", None])
+    first = sorted(out.glob("stream=a/*/*.parquet"))
+    kept = [f.read_bytes() for f in first]
+    for f in first:
+        f.write_bytes(b"not a table")
+        f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+    arrive(["2", "3", "1", "3", None])
+    for f, content in zip(first, kept):
+        f.write_bytes(content)
+    assert ids(gf.read_stream_results(spark, str(out))) == sorted(["1", "2", "2", "3", "3", None, None], key=repr)
+
+
 def test_metrics_stream_equals_batch(spark, tmp_path):
     rows = [(g, a, "A") for g in ("x", "y", None) for a in ("A", "B", None, "A")]
     results = spark.createDataFrame(rows, "grp string, LLM_answer string, gold string")

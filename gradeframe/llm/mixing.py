@@ -2,9 +2,10 @@
 
 The tree is domain, language, source. A budget of tokens is split among the
 children of each node by weight; a child never gets more than its subtree can
-give (tokens times the most epochs), and what it cannot use goes to its siblings
-by their weights. Only what all siblings together cannot use reaches the level
-above, because a node's own budget is already limited by its subtree.
+give, and what it cannot use goes to its siblings by their weights. What a subtree
+can give is worked out from the leaves up: tokens times the most epochs of a leaf,
+the sum over its children with a weight above 0 of any other node. So only what all
+siblings together cannot use reaches the level above.
 
 A leaf with a budget of ``b`` tokens gives all its documents ``b // tokens``
 times and of the next epoch a prefix: in that epoch's own seeded order, the
@@ -96,11 +97,14 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     total = mix.budget_tokens
     if total is None:
         total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * mix.budget_percent // 100
+    # From the leaves up: what a weight of 0 shuts off is no capacity of any level above.
+    levels = [leaves.select(*LEVELS, (F.col("tokens") * mix.max_epochs).alias("capacity")).withColumn("weight", _weight(mix, len(LEVELS) - 1))]
+    for level in reversed(range(len(LEVELS) - 1)):
+        within = F.sum(F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0)).alias("capacity")
+        levels.insert(0, levels[0].groupBy(*LEVELS[:level + 1]).agg(within).withColumn("weight", _weight(mix, level)))
     parents = None
-    for level in range(len(LEVELS)):
+    for level, nodes in enumerate(levels):
         names = list(LEVELS[:level + 1])
-        nodes = leaves.groupBy(*names).agg((F.sum("tokens") * mix.max_epochs).alias("capacity")) \
-            .withColumn("weight", _weight(mix, level))
         if parents is None:
             nodes = nodes.withColumn("given", F.lit(total).cast("long"))
         else:
@@ -175,7 +179,8 @@ def mixed(
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = {n: names[docs.columns.index(n)] for n in (id_col, lang_col, source_col)}
     leaf = F.struct(domain.alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    plain = docs.withColumn("__leaf", leaf).toDF(*names, "leaf")
+    # Named by place: the documents may have columns of any names.
+    plain = docs.select("*", leaf.alias("leaf")).toDF(*names, "leaf")
     taken = plain.join(cuts.select("leaf", "full", "cut"), "leaf").withColumn("times", copies(mix, F.col(at[id_col])))
     again = taken.where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), "times")))
     return again.select(*names).toDF(*docs.columns)

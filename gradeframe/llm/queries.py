@@ -21,6 +21,38 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), NearDedup(shingle_words=2))
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+# Two sets with a similarity of 0.8 share one of the rarest fifth of either: only documents that do are compared.
+_NEAR_SQL = f"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORDS}') as w from documents),
+sets as materialized (
+  select doc_id, case when len(w) = 0 then []::varchar[] when len(w) = 1 then w
+    else list_distinct(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) end as s from d),
+shingles as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+counted as (select *, count(*) over (partition by shingle) as df from shingles),
+ranked as (select *, row_number() over (partition by doc_id order by df, shingle) as place from counted),
+rare as materialized (select doc_id, n, shingle from ranked where place <= n - (80 * n + 99) // 100 + 1),
+pairs as (
+  select distinct x.doc_id as a, y.doc_id as b from rare x join rare y on x.shingle = y.shingle
+  where x.doc_id < y.doc_id and 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+shared as (
+  select a, b, len(x.s) as na, len(y.s) as nb, len(list_intersect(x.s, y.s)) as n
+  from pairs join sets x on x.doc_id = a join sets y on y.doc_id = b),
+links as materialized (
+  select a, b from shared where 100 * n >= 80 * (na + nb - n) union all select b, a from shared where 100 * n >= 80 * (na + nb - n)),
+reached as (
+  select a as doc_id, b as other from links
+  union select reached.doc_id, links.b from reached join links on links.a = reached.other),
+least as (select doc_id, min(other) as other from reached group by doc_id)
+select sets.doc_id, len(s)::bigint as n_shingles, least(sets.doc_id, coalesce(other, sets.doc_id)) as component_id,
+  least(sets.doc_id, coalesce(other, sets.doc_id)) = sets.doc_id as kept
+from sets left join least on least.doc_id = sets.doc_id
+"""
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     captured, deduplicated = scratch(spark, "captured"), scratch(spark, "deduplicated")
@@ -122,6 +154,24 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(documents(spark, sf_dir))
 
 
+_REPEATS_SQL = f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') as w from documents),
+k as (select doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' '))) as keys from d where len(w) >= 50),
+windows as materialized (select doc_id, unnest(keys) as window_key, unnest(range(1, len(keys) + 1)) as i from k),
+firsts as (select window_key, min(doc_id) as first_id from windows group by window_key),
+starts as (select doc_id, i from windows join firsts on firsts.window_key = windows.window_key where first_id < doc_id),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+marked as (select words.doc_id, words.i, word, starts.i is not null as begins
+  from words left join starts on starts.doc_id = words.doc_id and starts.i = words.i),
+judged as (select *, bool_or(begins) over (partition by doc_id order by i rows between 49 preceding and current row) as gone from marked),
+kept as (
+  select doc_id, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by i) filter (where not gone) as rest
+  from judged group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(rest, '')) as kept_sha256
+from d left join kept on kept.doc_id = d.doc_id
+"""
+
+
 def op6_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(documents(spark, sf_dir), band_col="lang")
 
@@ -182,8 +232,11 @@ def _split_sql(level: int) -> str:
     given = (f"(select floor(sum(n_tokens) * {MIX.budget_percent} / 100)::bigint from d)" if level == 0
              else f"(select b.budget from budget{level - 1} b where "
                   + " and ".join(f"b.{n} is not distinct from s.{n}" for n in LEVELS[:level]) + ")")
+    # Documents below a weight of 0 cannot be given.
+    given_at_all = " and ".join(f"{_weight_sql(below)} > 0" for below in range(level + 1, len(LEVELS))) or "true"
     return f"""
-size{level} as (select {names}, sum(n_tokens) * {MIX.max_epochs} as capacity from d group by all),
+size{level} as (
+  select {names}, sum(case when {given_at_all} then n_tokens else 0 end) * {MIX.max_epochs} as capacity from d group by {names}),
 node{level} as (select *, {_weight_sql(level)} as weight, {given} as given from size{level} s),
 run{level} as (
   select *, given - coalesce(sum(capacity) over (partition by {up} order by capacity::double / weight, {names}
@@ -238,7 +291,6 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir), Collocations())
 
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _COLLOCATION_SQL = f"""
 with pieces as (
   select coalesce(lang, 'und') as lang,
@@ -362,6 +414,6 @@ QUERIES = {f.__name__: f for f in (
     op13_chat_format,
 )}
 
-ORACLES: dict[str, str] = {"op2_warc_revisits": _WARC_SQL, "op3_url_lists": _URL_SQL, "op8_exact_topk": _TOPK_SQL,
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": _NEAR_SQL, "op5_substring_dedup": _REPEATS_SQL, "op2_warc_revisits": _WARC_SQL, "op3_url_lists": _URL_SQL, "op8_exact_topk": _TOPK_SQL,
                            "op9_source_mixing": _MIX_SQL, "op11_phrase_collocations": _COLLOCATION_SQL,
                            "op12_vector_codes": _CODES_SQL, "op13_chat_format": _CHAT_SQL}

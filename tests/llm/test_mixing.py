@@ -35,9 +35,11 @@ def brute(rows, mix, total):
         tokens[d, l, s] = tokens.get((d, l, s), 0) + n
     given = {(): total}
     for level in range(3):
-        sizes = {}
+        sizes = {leaf[:level + 1]: 0 for leaf in tokens}
         for leaf, n in tokens.items():
-            sizes[leaf[:level + 1]] = sizes.get(leaf[:level + 1], 0) + n * mix.max_epochs
+            # Shut off by a weight of 0 anywhere below this node.
+            if all(weight(below, leaf[:below + 1]) > 0 for below in range(level + 1, 3)):
+                sizes[leaf[:level + 1]] += n * mix.max_epochs
         given_next = {}
         for up, b in given.items():
             children = {k: (c, weight(level, k)) for k, c in sizes.items() if k[:level] == up}
@@ -96,6 +98,23 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got == {("w", "s1"): 10, ("w", "s2"): 190, ("b", "s1"): 200}
 
 
+def test_what_weights_of_zero_shut_off_is_no_capacity(spark):
+    """Budget that a domain cannot use because its only language has weight 0 goes to the other domain, at any depth."""
+    rows = [(1, "w", "en", "s1", 100), (2, "b", "en", "s1", 1000)]
+    leaves = spark.createDataFrame([(d, l, s, n) for _, d, l, s, n in rows], "domain string, lang string, source string, tokens long")
+    for weights in (({}, {("w", "en"): 0}, {}), ({}, {}, {("w", "en", "s1"): 0})):
+        got = {r.domain: r.budget for r in mx.leaf_budgets(leaves, mx.Mix(budget_tokens=400, max_epochs=1, weights=weights)).collect()}
+        assert got == {"w": 0, "b": 400}
+
+
+def test_clashing_columns(spark):
+    docs = frame(spark, corpus(3)).withColumn("leaf", F.lit(1)).withColumn("__leaf", F.lit(2)).withColumn("cut", F.lit(3)) \
+        .withColumn("full", F.lit(4)).withColumn("c0", F.lit(5))
+    out = mx.mixed(docs, mx.Mix(budget_percent=150), F.col("dom"))
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.select("leaf", "__leaf", "cut", "full", "c0").collect()} == {(1, 2, 3, 4, 5)}
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "w", "en", "s"), (1, "a b", "w", "en", "s"), (None, "c", "w", "en", "s"), (None, "word " * 50_000, None, None, None)],
                                  "doc_id long, text string, dom string, lang string, source string")

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,27 +18,18 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
-@lru_cache(maxsize=1)
-def _own_scratch() -> str:
-    path = tempfile.mkdtemp(prefix="llm-scratch-")
-    atexit.register(shutil.rmtree, path, True)
-    return "file://" + path
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the cluster names in spark.checkpoint.dir.
 
-    Where that is unset a local session (as in tests) gets a folder of its own;
-    on a cluster it is an error. The path is removed when the driver ends.
+    Where that is unset it is a folder below the warehouse, which is shared as well.
+    The path is removed when the driver ends.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = _own_scratch()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    if _stage_paths is not None:
+        _stage_paths.append(path)
     return path
 
 
@@ -57,6 +45,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_stage_paths: list[str] | None = None
+
+
+@contextmanager
+def noting_paths(paths: list[str]) -> Iterator[None]:
+    """Note the scratch paths that are named within, so that they can be removed before the driver ends."""
+    global _stage_paths
+    before, _stage_paths = _stage_paths, paths
+    try:
+        yield
+    finally:
+        _stage_paths = before
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder that ``scratch`` named, before the driver ends."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -344,15 +344,21 @@ def near_duplicates(
 def keep_one_of_each(
     docs: DataFrame, job: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """One row of each group of near duplicates, with all its columns; of rows that share an id, one."""
+    """One row of each group of near duplicates, with all its columns.
+
+    What is looked up are the ids that go, which are fewer than those that stay.
+    An id with several rows stays if one of them is kept, with the row whose text
+    has the least hash (of equal texts the least row as JSON). Rows with a NULL id all stay.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
-    key = names[docs.columns.index(id_col)]
-    found = near_duplicates(docs, job, id_col, text_col)
-    kept = found.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)) \
-        .agg(F.count(F.lit(1)).alias("rows"))
-    kept = staged(kept, "kept")
+    key, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    found = near_duplicates(docs, job, id_col, text_col).where(F.col(id_col).isNotNull())
+    special = found.groupBy(F.col(id_col).alias("id")).agg(
+        F.bool_or("kept").alias("stays"), (F.count(F.lit(1)) > 1).alias("several")).where("several or not stays")
+    special = staged(special, "special")
     plain = docs.toDF(*names)
-    single = plain.join(kept.where("rows = 1").select(key), key, "left_semi")
-    repeated = plain.join(kept.where("rows > 1").select(key), key, "left_semi").dropDuplicates([key])
-    nameless = plain.where(F.col(key).isNull())
-    return single.unionByName(repeated).unionByName(nameless).select(*names).toDF(*docs.columns)
+    single = plain.join(special.select("id"), key == F.col("id"), "left_anti")
+    again = plain.join(special.where("several and stays").select("id"), key == F.col("id"), "left_semi")
+    least = F.min_by(F.struct(*names), F.struct(F.xxhash64(text), text, F.to_json(F.struct(*names))))
+    again = again.groupBy(key.alias("id")).agg(least.alias("row")).select("row.*")
+    return single.unionByName(again).select(*names).toDF(*docs.columns)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from gradeframe.llm import near_dedup as nd
@@ -85,6 +86,27 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted("1 2 3 4 6 7 9 10 None".split())
 
 
+def test_which_row_of_an_id_stays(spark):
+    """Of rows that share a kept id the one whose text has the least hash; an id none of whose rows is kept goes."""
+    shared = "one two three four five six seven"
+    rows = [(1, shared, "x"), (1, "quite another text of eight words it is", "y"), (1, shared, "x"), (2, shared, "z"), (2, shared, "w"), (3, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string").repartition(3)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    least = min((t for i, t, _ in rows if i == 1), key=hashes.get)
+    for _ in range(3):
+        kept = sorted(map(tuple, nd.keep_one_of_each(docs.repartition(4)).collect()))
+        assert kept == sorted([next(r for r in rows if r[:2] == (1, least)), (3, None, "n")])
+
+
+def test_texts_that_stay_do_not_move(spark):
+    """The ids that go are looked up; the frame that is written has no shuffle but of rows whose id repeats."""
+    docs = spark.createDataFrame([(i, f"text {i // 2} of seven words or so", "s") for i in range(40)], "doc_id long, text string, source string")
+    kept = nd.keep_one_of_each(docs)
+    assert kept.count() == 20
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftAnti") >= 1 and "SortMergeJoin" not in plan
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_duplicates(docs).collect() == []

@@ -1,5 +1,7 @@
 """Queries and pipeline over the given tables."""
 
+import os
+
 import duckdb
 import pytest
 
@@ -38,3 +40,22 @@ def test_pipeline_stages(spark):
         for _, stage in corpus_pipeline.STAGES:
             empty = stage(spark, empty, SF_DIR)
         assert empty.collect() == []
+
+
+def test_stages_remove_what_they_staged(spark, tmp_path):
+    """Once a stage's documents are read from elsewhere, nothing of earlier stages is left."""
+    docs, seen = documents(spark, SF_DIR), set()
+    for name, stage in corpus_pipeline.STAGES:
+        earlier = set(seen)
+        stage(spark, docs, SF_DIR).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        seen |= set(corpus_pipeline._left_by_stages)
+        assert not [p for p in earlier if os.path.exists(p.removeprefix("file:"))], name
+    assert docs.count() and len(seen) > 20
+
+
+def test_a_stage_keeps_what_its_documents_are_read_from(spark):
+    docs = documents(spark, SF_DIR)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, SF_DIR)
+    assert docs.count() > 0

@@ -32,7 +32,7 @@ columns may have any names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,13 +41,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gradeframe.llm.common import bucketed, remove, scratch, staged, trimmed
+from gradeframe.llm.common import bucketed, mix, remove, scratch, staged, starts_of, trimmed
 
 NO_LANGUAGE = "und"
 # A separator of pieces, a separator of words, and all else.
 _PIECE, _BLANK, _WORD = 2, 1, 0
 _NEVER = 255
-_SEED = 42  # of Spark's xxhash64
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -110,108 +110,129 @@ def _words(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, np
     inside = kind == _WORD
     edge = np.zeros(len(data) + 1, bool)
     edge[ends] = True
-    begins = inside.copy()
+    # A word begins after a separator or at the beginning of a text, and ends before the next one's.
+    begins, after = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1] | edge[1:-1]
-    at = np.flatnonzero(begins)
-    kept = _LOWER[data[inside]]
-    offsets = np.concatenate((np.cumsum(inside)[at] - 1, [len(kept)])).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    after[:-1] &= ~inside[1:] | edge[1:-1]
+    at, last = np.flatnonzero(begins), np.flatnonzero(after)
+    offsets = starts_of(last + 1 - at)
+    words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[inside]])])
     text = np.searchsorted(ends, at, side="right")
     # Pieces end at separators and with their text.
-    return words, np.cumsum(kind == _PIECE)[at] + text, text
+    return words, np.searchsorted(np.flatnonzero(kind == _PIECE), at) + text, text
 
 
-def _keys(langs: pa.Array, phrases: pa.Array) -> pa.Array:
-    return pc.binary_join_element_wise(langs, phrases, pa.scalar(b"\n", pa.large_binary()))
+def _keys(langs: pa.Array, phrases: pa.Array, words: int) -> pa.Array:
+    """Number of words, language and phrase as one value; a language may hold a line break, a phrase cannot."""
+    number = pa.scalar(b"%d " % words, pa.large_binary())
+    return pc.binary_join_element_wise(pc.binary_join_element_wise(number, langs, pa.scalar(b"", pa.large_binary())), phrases,
+                                       pa.scalar(b"\n", pa.large_binary()))
 
 
-def _first_scans(keys: pa.Array, reached: np.ndarray) -> np.ndarray:
+def _first_scans(hashes: np.ndarray, reached: np.ndarray) -> np.ndarray:
     """The scan after which each phrase counts as frequent: never too late, seldom too early."""
-    mask = len(reached) - 1
-    hashes = np.fromiter((xxhash.xxh64_intdigest(k, _SEED) for k in keys.to_pylist()), np.uint64, len(keys))
-    low, high = (hashes & np.uint64(mask)).astype(np.int64), (hashes >> np.uint64(32) & np.uint64(mask)).astype(np.int64)
-    return np.maximum(reached[low], reached[high]).astype(np.int64)
+    mask = np.uint64(len(reached) - 1)
+    low, high = (hashes & mask).astype(np.int64), (hashes >> np.uint64(32) & mask).astype(np.int64)
+    return np.maximum(reached[low], reached[high])
+
+
+def _tallied(columns: Sequence[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct tuples of word ids below ``size``, their counts, and a row of each."""
+    ids = columns[0]
+    for column in columns[1:]:
+        coded = pa.array(ids * size + column).dictionary_encode()
+        ids = np.asarray(coded.indices).astype(np.int64)
+    counts = np.bincount(ids)
+    row = np.empty(len(counts), np.int64)
+    row[ids] = np.arange(len(ids))
+    return [column[row] for column in columns], counts, row
 
 
 def _phrases(job: Collocations, data: np.ndarray, ends: np.ndarray, langs: pa.Array, scan: int, reached: np.ndarray
-             ) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray]]:
-    """(keys, number of words, first scan, count) of the active phrases of a window, length by length."""
+             ) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, hashes, first scans, counts) of the active phrases of a window, length by length."""
     words, piece, text = _words(data, ends)
     if not len(words):
         return
     spoken = langs.dictionary_encode()
-    lang = np.asarray(spoken.indices)[text]
     names = spoken.dictionary.cast(pa.large_binary())
     coded = words.dictionary_encode()
     size = len(coded.dictionary)
-    codes, ids, counts = np.unique(lang * np.int64(size) + np.asarray(coded.indices), return_inverse=True, return_counts=True)
-    of_lang = names.take(pa.array(codes // size))
-    shown = coded.dictionary.take(pa.array(codes % size))
-    keys, ends_with = _keys(of_lang, shown), shown
+    # Words of a language, numbered from 0.
+    codes = np.asarray(spoken.indices)[text].astype(np.int64) * size + np.asarray(coded.indices)
+    counts = np.bincount(codes)
+    present = np.flatnonzero(counts)
+    number = np.zeros(len(counts), np.int64)
+    number[present] = np.arange(len(present))
+    ids, counts = number[codes], counts[present]
+    of_lang, shown = names.take(pa.array(present // size)), coded.dictionary.take(pa.array(present % size))
+    keys = _keys(of_lang, shown, 1)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys.to_pylist()), np.uint64, len(keys))
     if scan < job.shards:
-        yield keys, 1, np.zeros(len(keys), np.int64), counts
-        spoken_here, n = np.unique(lang, return_counts=True)
-        there = names.take(pa.array(spoken_here))
-        yield _keys(there, pa.array([b""] * len(there), pa.large_binary())), 0, np.zeros(len(there), np.int64), n
-    place = np.arange(len(ids))
+        yield keys, hashes, np.zeros(len(keys), np.int64), counts
+        here, rows = np.unique(present // size, return_inverse=True)
+        there = names.take(pa.array(here))
+        yield (_keys(there, pa.array([b""] * len(there), pa.large_binary()), 0), np.zeros(len(there), np.uint64),
+               np.zeros(len(there), np.int64), np.bincount(rows, counts).astype(np.int64))
+    # For phrases of one length: where they begin, their hash, and since when they are frequent.
+    place, here, since = np.arange(len(ids)), hashes[ids], _first_scans(hashes, reached)[ids]
     for length in range(2, job.most_words + 1):
-        since = _first_scans(keys, reached)
-        # Neighbouring places of one piece whose phrases, one word shorter, are both known as frequent.
-        follows = np.flatnonzero((np.diff(place) == 1) & (piece[place[:-1]] == piece[place[1:] + length - 2]))
-        starts = 1 + np.maximum(since[ids[follows]], since[ids[follows + 1]])
-        follows = follows[starts <= scan]
+        known = since < scan
+        follows = np.flatnonzero(known[:-1] & known[1:] & (np.diff(place) == 1)
+                                 & (piece[place[:-1]] == piece[np.minimum(place[:-1] + length - 1, len(piece) - 1)]))
         if not len(follows):
             return
-        pairs, inner, counts = np.unique(ids[follows] * np.int64(len(keys)) + ids[follows + 1],
-                                         return_inverse=True, return_counts=True)
-        left, right = pairs // len(keys), pairs % len(keys)
-        starts = 1 + np.maximum(since[left], since[right])
-        left, right = pa.array(left), pa.array(right)
-        shown = pc.binary_join_element_wise(shown.take(left), ends_with.take(right), pa.scalar(b" ", pa.large_binary()))
-        of_lang, ends_with = of_lang.take(left), ends_with.take(right)
-        keys, place, ids = _keys(of_lang, shown), place[follows], inner
+        starts = 1 + np.maximum(since[follows], since[follows + 1]).astype(np.int64)
+        place, before = place[follows], here[follows]
+        here = mix(before * _FACTOR + hashes[ids[place + length - 1]])
         active = np.flatnonzero(starts + job.shards > scan)
-        yield keys.take(pa.array(active)), length, starts[active], counts[active]
+        if len(active):
+            tuples, counts, row = _tallied([ids[place[active] + i] for i in range(length)], len(keys))
+            parts = [shown.take(pa.array(column)) for column in tuples]
+            phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
+            yield (_keys(of_lang.take(pa.array(tuples[0])), phrases, length), here[active][row], starts[active][row], counts)
+        if length < job.most_words:
+            since = _first_scans(here, reached)
 
 
 def _scan(job: Collocations, scan: int, reached):
-    """Batches of (lang, text) to (key, words, start, n)."""
+    """Batches of (lang, text) to (key, hash, start, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.frombuffer(reached.value, np.uint8)
         for batch in batches:
             langs = batch.column(0).cast(pa.large_binary())
             for data, ends in _windows(batch.column(1), job.window_bytes):
-                for keys, words, starts, counts in _phrases(job, data, ends, langs, scan, slots):
+                for keys, hashes, starts, counts in _phrases(job, data, ends, langs, scan, slots):
                     for at in range(0, len(keys), 50_000):
-                        part = keys.slice(at, 50_000)
+                        part = slice(at, at + 50_000)
                         yield pa.RecordBatch.from_arrays(
-                            [part.cast(pa.string()), pa.array(np.full(len(part), words, np.int8)),
-                             pa.array(starts[at:at + 50_000].astype(np.int32)), pa.array(counts[at:at + 50_000].astype(np.int64))],
-                            ["key", "words", "start", "n"])
+                            [keys.slice(at, 50_000).cast(pa.string()), pa.array(hashes[part].view(np.int64)),
+                             pa.array(starts[part].astype(np.int32)), pa.array(counts[part].astype(np.int64))],
+                            ["key", "hash", "start", "n"])
         trimmed()
 
     return run
 
 
 def _mark(reached: np.ndarray, found: DataFrame, scan: int) -> bool:
-    """Enter phrases that reached the threshold in a scan; False if there were none.
+    """Enter phrases that have reached the threshold after a scan; False if the table has all of them.
 
     What comes to the driver is a bitmap of the slots, 1/8 of the table at most.
     """
     mask = F.lit(len(reached) - 1)
-    hashed = F.xxhash64("key")
     slots = found.select(F.explode(F.array(
-        hashed.bitwiseAND(mask), F.shiftrightunsigned(hashed, 32).bitwiseAND(mask))).alias("slot"))
+        F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask))).alias("slot"))
     # The functions number from one.
     bits = slots.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
-    rows = bits.collect()
-    for row in rows:
+    entered = False
+    for row in bits.collect():
         marked = np.flatnonzero(np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little"))
         marked = marked[marked < len(reached)] + (row["part"] - 1) * 8 * len(row["bits"])
+        entered |= bool((reached[marked] > scan).any())
         reached[marked] = np.minimum(reached[marked], scan)
-    return bool(rows)
+    return entered
 
 
 def _dealt(docs: DataFrame, job: Collocations, text_col: str, lang_col: str) -> tuple[DataFrame, str]:
@@ -229,36 +250,34 @@ def phrase_counts(docs: DataFrame, job: Collocations = Collocations(), text_col:
     """lang, phrase, words, f of all phrases up to ``most_words`` with f of at least ``least``; words = 0: all words of the language."""
     spark: SparkSession = docs.sparkSession
     shards, texts_path = _dealt(docs, job, text_col, lang_col)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     reached = np.full(job.filter_slots, _NEVER, np.uint8)
     state, state_path, scan, last = None, None, 0, 0
     while scan < job.shards or scan <= last + job.shards:
         told = spark.sparkContext.broadcast(reached.tobytes())
         here = shards.where(F.col("shard") == scan % job.shards).select("lang", "text")
-        counted = here.mapInArrow(_scan(job, scan, told), "key string, words byte, start int, n long") \
-            .groupBy("key").agg(F.first("words").alias("words"), F.first("start").alias("start"), F.sum("n").alias("n")) \
-            .withColumn("reached", F.lit(None).cast("int"))
+        # Counts per window are dealt out by phrase as the counts so far are; there both are added up.
+        counted = here.mapInArrow(_scan(job, scan, told), "key string, hash long, start int, n long").repartition(tasks, "key")
         if state is not None:
-            # Both are dealt out by key: they meet where they are.
-            counted = state.unionByName(counted).groupBy("key").agg(
-                F.first("words").alias("words"), F.first("start").alias("start"), F.sum("n").alias("n"),
-                F.max("reached").alias("reached"))
-        enough = F.col("n") >= job.least
-        counted = counted.withColumn("reached", F.coalesce("reached", F.when(enough, F.lit(scan)))) \
-            .where(enough | (F.col("start") + job.shards - 1 > scan))
+            counted = state.unionByName(counted)
+        counted = counted.groupBy("key").agg(F.max("hash").alias("hash"), F.max("start").alias("start"), F.sum("n").alias("n"))
+        counted = counted.where((F.col("n") >= job.least) | (F.col("start") + job.shards - 1 > scan))
         old_path, state_path = state_path, scratch(spark, "phrases")
         state = bucketed(counted, ["key"], "phrases", state_path)
         if old_path:
             remove(spark, old_path)
-        if _mark(reached, state.where((F.col("reached") == scan) & F.col("words").between(1, job.most_words - 1)), scan):
+        words = F.substring_index("key", " ", 1).cast("int")
+        if _mark(reached, state.where((F.col("n") >= job.least) & words.between(1, job.most_words - 1)), scan):
             last = scan
         told.destroy()
         scan += 1
     remove(spark, texts_path)
-    # The rest of the key is the phrase; a language may hold a line break, a phrase cannot.
-    cut = F.length("key") - F.length(F.substring_index("key", "\n", -1))
+    phrase = F.substring_index("key", "\n", -1)
+    number = F.substring_index("key", " ", 1)
+    lang_length = F.length("key") - F.length(phrase) - F.length(number) - 2
     return state.where(F.col("n") >= job.least).select(
-        F.col("key").substr(F.lit(1), cut - 1).alias("lang"), F.substring_index("key", "\n", -1).alias("phrase"),
-        "words", F.col("n").alias("f"))
+        F.col("key").substr(F.length(number) + 2, lang_length).alias("lang"), phrase.alias("phrase"),
+        number.cast("int").alias("words"), F.col("n").alias("f"))
 
 
 def _cuts(candidates: DataFrame, known: DataFrame, job: Collocations) -> DataFrame:

@@ -74,11 +74,16 @@ def bucketed(df: DataFrame, keys: Sequence[str], name: str, path: str | None = N
     spark = df.sparkSession
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
+    # A task has the rows of one bucket: with writers kept open, they need not be sorted by bucket first.
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, "2")
     try:
         df.repartition(count, *keys).write.format("parquet").bucketBy(count, *keys) \
             .option("path", path or scratch(spark, name)).saveAsTable(table)
         return spark.table(table)
     finally:
+        spark.conf.set(writers, before)
         spark.sql(f"drop table if exists {table}")
 
 

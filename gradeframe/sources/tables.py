@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions.labels import labels_from_wide, wide_label_names
+from gradeframe.sources.csv_records import read_records
 from gradeframe.spec import EvalSpec, column
 
 _CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -19,6 +20,7 @@ _CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignore
 def read_table(
     spark: SparkSession, path: str, fmt: str = "parquet",
     schema: StructType | str | None = None, multi_line: bool = True, types: Mapping[str, str] | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Read parquet or CSV.
 
@@ -27,8 +29,10 @@ def read_table(
     pass over the data, and ids keep the text they have. Every file's header
     must name the columns in the same order, and a row with more fields than
     there are columns is an error; short rows end in NULL. Fields that span lines
-    need ``multi_line``, which makes one task per file; turn it off for large
-    one-line files, or convert to parquet once.
+    need ``multi_line``. Files are read in as many tasks as they have splits
+    all the same (see ``csv_records``), at the price of a first pass that finds where
+    records begin; with ``split=False`` there is one pass and one task per
+    file. Without ``multi_line`` there is one pass and a task per split.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt != "csv":
@@ -41,7 +45,10 @@ def read_table(
     # Headers are held against the names by Spark; what is too much ends up in the broken record.
     broken = next(n for n in ("_gf_broken", "_gf_broken_") if n not in schema.names)
     wide = StructType([*schema.fields, StructField(broken, StringType())])
-    rows = spark.read.schema(wide).options(**options, enforceSchema=False, columnNameOfCorruptRecord=broken).csv(path)
+    if multi_line and split:
+        rows = _parsed_records(spark, path, schema, wide, broken)
+    else:
+        rows = spark.read.schema(wide).options(**options, enforceSchema=False, columnNameOfCorruptRecord=broken).csv(path)
     last = column(schema.names[-1])
     # A short row is broken too, but its last column is NULL.
     message = F.concat(F.lit("CSV row with too many fields or a value of another type: "), column(broken))
@@ -50,6 +57,27 @@ def read_table(
     return rows.withColumns({name: column(name).cast(kind) for name, kind in (types or {}).items()})
 
 
+def _parsed_records(spark: SparkSession, path: str, schema: StructType, wide: StructType, broken: str) -> DataFrame:
+    """The rows of CSV files out of their records, headers checked and left out."""
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in _CSV.items() if k != "header"}
+    options["columnNameOfCorruptRecord"] = broken
+    records = read_records(spark, path)
+    texts = ", ".join(f"`{name.replace('`', '``')}` string" for name in wide.names)
+    header = F.from_csv(F.regexp_replace("record", "^\ufeff", ""), texts, options)
+    exact = spark.conf.get("spark.sql.caseSensitive") == "true"
+    given, named = header, [name if exact else name.lower() for name in schema.names]
+    same = F.lit(True)
+    for name, want in zip(schema.names, named):
+        found = given.getField(name)
+        same = same & F.coalesce((found if exact else F.lower(found)) == want, F.lit(False))
+    is_header = (F.col("block") == 0) & (F.col("n") == 0)
+    message = F.concat(F.lit("CSV header of "), F.col("file"), F.lit(" does not name the columns in their order: "), F.col("record"))
+    as_it_should = same & header.getField(broken).isNull()
+    rows = records.where(F.when(is_header, F.when(as_it_should, False).otherwise(F.raise_error(message).cast("boolean"))).otherwise(True))
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in wide.fields)
+    return rows.select(F.from_csv("record", ddl, options).alias("row")).select("row.*")
+
+
 def normalize_missing(
     df: DataFrame, cols: Sequence[str] | None = None, markers: Sequence[str] = fv.MISSING_MARKERS
 ) -> DataFrame:
@@ -62,11 +90,12 @@ def normalize_missing(
 def read_items(
     spark: SparkSession, path: str, fmt: str = "parquet",
     schema: StructType | str | None = None, multi_line: bool = True, types: Mapping[str, str] | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """The items to score. CSV missing markers become NULL."""
     if fmt != "csv":
         return read_table(spark, path, fmt, schema, multi_line)
-    items = normalize_missing(read_table(spark, path, fmt, schema, multi_line))
+    items = normalize_missing(read_table(spark, path, fmt, schema, multi_line, split=split))
     return items.withColumns({name: column(name).cast(kind) for name, kind in (types or {}).items()})
 
 

@@ -73,6 +73,7 @@ def merged_with_overall(rows: DataFrame, counts: Sequence[str], moments: Sequenc
     everyone = F.struct(F.lit(True).alias("is_overall"), nobody.alias("grp"), F.pmod(F.hash("grp"), F.lit(_PARTS)).alias("part"))
     ways = F.when(F.col("grp").isNull(), F.array(everyone)).otherwise(F.array(own, everyone))
     dealt = rows.withColumn("way", F.explode(ways)).select("way.*", *[column(n) for n in names])
-    parts = _merged(dealt, ["is_overall", "grp", "part"], counts, moments)
+    # Counts are added up before they are shuffled; moments are merged part by part first.
+    parts = _merged(dealt, ["is_overall", "grp", "part"], counts, moments) if moments else dealt
     return _merged(parts, ["is_overall", "grp"], counts, moments)
 

@@ -57,13 +57,19 @@ def items_scan(spark, sf_dir):
     return back.withColumn("row_id", F.col("row_id").cast("long"))
 
 
+def _width(results):
+    """Labels of the row that has most."""
+    return results.agg(F.max(F.size("labels"))).first()[0] or 1
+
+
 @query("results_scan", t.RESULTS_SQL + f"""
 select row_id, gold, grp, raw_text as "Raw_Response", answer as "LLM_answer",
-  {sql_shown('list_filter(labels[1:30], lambda x: x is not null)')} as labels from facts""")
+  {sql_shown('list_filter(labels, lambda x: x is not null)')} as labels from facts""")
 def results_scan(spark, sf_dir):
     """Wide results as the evaluation reads them."""
     path = scratch_path(spark, "results-wide")
-    gf.labels_to_wide(t.results(spark, sf_dir), 30).write.parquet(path)
+    results = t.results(spark, sf_dir)
+    gf.labels_to_wide(results, _width(results)).write.parquet(path)
     back = gf.read_results(spark, path)
     return back.select(
         "row_id", "gold", "grp", "Raw_Response", "LLM_answer",
@@ -577,20 +583,27 @@ def parse_multi(spark, sf_dir):
     return parsed.select("row_id", "Q1", "Q2", t.shown("labels").alias("labels"))
 
 
-_WIDE = 7
+_PLACES = "places as (select unnest(range(1, (select max(len(labels)) from res) + 1)) as i)"
 
 
-@query("labels_to_wide", t.RESULTS_SQL + f"""
-select row_id, {", ".join(f"labels[{i}] as label_{i}" for i in range(1, _WIDE + 1))} from res""")
+@query("labels_to_wide", t.RESULTS_SQL + f""",
+{_PLACES}
+select row_id, concat('label_', i) as place, labels[i] as label from res, places""")
 def labels_to_wide(spark, sf_dir):
-    return gf.labels_to_wide(t.results(spark, sf_dir).select("row_id", "labels"), _WIDE)
+    """A column per place, as many as the longest row needs; shown as one row per column."""
+    results = t.results(spark, sf_dir).select("row_id", "labels")
+    wide = gf.labels_to_wide(results, _width(results))
+    return wide.unpivot(["row_id"], [n for n in wide.columns if n != "row_id"], "place", "label")
 
 
-@query("labels_from_wide", t.RESULTS_SQL + f"""
-select row_id, {sql_shown(f"[{', '.join(f'labels[{i}]' for i in range(1, _WIDE + 1))}]")} as labels from res""")
+@query("labels_from_wide", t.RESULTS_SQL + f""",
+{_PLACES},
+padded as (select row_id, list(labels[i] order by i) as labels from res, places group by row_id)
+select row_id, {sql_shown('labels')} as labels from padded""")
 def labels_from_wide(spark, sf_dir):
-    wide = gf.labels_to_wide(t.results(spark, sf_dir).select("row_id", "labels"), _WIDE)
-    return gf.labels_from_wide(wide, 30).select("row_id", t.shown("labels").alias("labels"))
+    results = t.results(spark, sf_dir).select("row_id", "labels")
+    wide = gf.labels_to_wide(results, _width(results))
+    return gf.labels_from_wide(wide).select("row_id", t.shown("labels").alias("labels"))
 
 
 @query("majority_label", t.RESULTS_SQL + " select row_id, majority from done")

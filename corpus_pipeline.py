@@ -22,6 +22,7 @@ from gradeframe.llm.segmentation import Segmentation, segmented
 from gradeframe.llm.substring_dedup import remove_repeats
 
 
+BATCH_BYTES = str(8 << 20)
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left_by_stages: list[str] = []
 
@@ -39,6 +40,8 @@ def stage(work: Stage) -> Stage:
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         _drop_unread(spark, docs)
+        # Texts go to Python workers in batches of this size; the JVM and the worker hold one each.
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         with noting_paths(_left_by_stages):
             return work(spark, docs, sf_dir)
 

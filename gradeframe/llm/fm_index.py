@@ -51,40 +51,44 @@ class FMIndex:
     def __init__(self, text: np.ndarray, symbols: int, longest: int):
         """``text`` has a 0 after each of its parts; matches are followed up to ``longest`` symbols."""
         self.longest, self.size = longest, len(text)
-        ranks, depth = [text.astype(np.int64)], 1
+        # Ranks, rows and places fit into 32 bits: a shard has far fewer symbols.
+        ranks, depth = [text.astype(np.int32)], 1
         while depth <= longest:
             rank = ranks[-1]
-            following = np.zeros_like(rank)
+            following = np.zeros(len(rank), np.int64)
             following[:-depth] = rank[depth:] if depth < len(rank) else 0
-            joint = rank * (int(following.max(initial=0)) + 1) + following
+            joint = rank.astype(np.int64) * (int(following.max(initial=0)) + 1) + following
+            del following
             order = np.argsort(joint, kind="stable")
-            ordered = joint[order]
-            new = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1]))) if len(order) else ordered
-            rank = np.empty_like(rank)
+            joint = joint[order]
+            new = np.zeros(len(order), np.int32)
+            np.cumsum(joint[1:] != joint[:-1], out=new[1:], dtype=np.int32)
+            rank = np.empty(len(order), np.int32)
             rank[order] = new
+            del joint, order, new
             ranks.append(rank)
             depth *= 2
-        self.suffixes = np.argsort(ranks[-1], kind="stable")
+        self.suffixes = np.argsort(ranks[-1], kind="stable").astype(np.int32)
         self.wavelet = WaveletMatrix(text[self.suffixes - 1], symbols)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))
         # Common prefix of each suffix with the one before it, from the ranks at powers of two.
         above, here = self.suffixes[:-1], self.suffixes[1:]
-        common = np.zeros(max(0, self.size - 1), np.int64)
+        common = np.zeros(max(0, self.size - 1), np.int32)
         for power in range(len(ranks) - 1, -1, -1):
-            rank = np.append(ranks[power], -1)
+            rank = np.append(ranks.pop(), np.int32(-1))
             a, b = np.minimum(above + common, self.size), np.minimum(here + common, self.size)
-            common += np.where((rank[a] == rank[b]) & (a < self.size) & (b < self.size), 1 << power, 0)
+            common += np.where((rank[a] == rank[b]) & (a < self.size) & (b < self.size), np.int32(1 << power), np.int32(0))
         self.common = np.concatenate(([0], np.minimum(common, longest))).astype(np.int16)
         self._classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def classes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """(class of each row, start of each class and the end) where a class shares ``depth`` symbols."""
         if depth not in self._classes:
-            if len(self._classes) > 12:
+            if len(self._classes) > 8:
                 self._classes.pop(next(iter(self._classes)))
             new = self.common < depth
             new[:1] = True
-            self._classes[depth] = (np.cumsum(new) - 1).astype(np.int32), np.append(np.flatnonzero(new), self.size)
+            self._classes[depth] = (np.cumsum(new) - 1).astype(np.int32), np.append(np.flatnonzero(new), self.size).astype(np.int32)
         return self._classes[depth]
 
     def _shorten(self, low: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

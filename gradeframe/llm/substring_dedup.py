@@ -6,10 +6,13 @@ some window that covers it also starts in a document with a smaller id.
 1. Each window has an anchor, the least hash of the runs of ``anchor_words``
    words in it. Equal windows have equal anchors, so runs of windows with one
    anchor (segments) can be looked at anchor by anchor. Anchors that occur in
-   one document only fall out.
+   one document only fall out. In text that repeats itself (a run of one word) a
+   segment would be as long as the run; it is cut into pieces of at most twice a window, counted
+   from its beginning, so that runs of any lengths have the same few pieces.
 2. Equal segments are reduced to the one with the smallest id before anything
    wide is moved. An anchor whose segments still hold more words than a shard
-   is cut again, by the least hash under another seed.
+   is cut again, by the least hash under another seed, and at last by the hash of
+   whole windows, of which equal ones are all that an anchor can have.
 3. Segments go to shards by anchor. A shard builds a compressed FM-index over
    them and streams them through it: backward search over a wavelet matrix gives
    the matching statistics, and every window with a match of full length learns
@@ -54,7 +57,7 @@ class SubstringDedup:
     anchor_words: int = 8
     # Words of a shard, which one task indexes; some 400 bytes of memory each.
     shard_words: int = 300_000
-    # Cuts of an anchor that stays too large; what is then left is one shard's work.
+    # Cuts of an anchor that stays too large; the last one goes by whole windows.
     most_cuts: int = 8
 
 
@@ -73,10 +76,10 @@ def cut(hashes: np.ndarray, counts: np.ndarray, job: SubstringDedup, level: int)
     """Segments of pieces of text: (piece, start, words, anchor, content).
 
     ``hashes`` has the words of the pieces one after the other, ``counts`` their
-    numbers. A segment is a longest run of windows with the same anchor.
+    numbers. A segment is a longest run of windows with the same anchor, or a piece of it.
     """
     window = job.window_words
-    gram_words = min(job.anchor_words, window)
+    gram_words = min(job.anchor_words, window) if level < job.most_cuts else window
     with np.errstate(over="ignore"):
         gram = hashes.copy()
         for step in range(1, gram_words):
@@ -99,6 +102,9 @@ def cut(hashes: np.ndarray, counts: np.ndarray, job: SubstringDedup, level: int)
     new = np.ones(len(at), bool)
     new[1:] = (piece[at][1:] != piece[at][:-1]) | (least[at][1:] != least[at][:-1])
     first = np.flatnonzero(new)
+    # Where no run of words comes twice within it, a segment has fewer windows than this.
+    new |= within(np.diff(np.append(first, len(at)))) % (window + 1) == 0
+    first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     start, end = at[first], at[last] + window
     with np.errstate(over="ignore"):
@@ -222,19 +228,17 @@ def repeated_windows(rows: DataFrame, job: SubstringDedup) -> DataFrame:
     schema = f"id {id_type}, row long, {_SEGMENTS}"
     segments = _spread(staged(rows.mapInArrow(_segments(job, 0), schema), "segments"))
     parts: list[DataFrame] = []
-    for level in range(1, job.most_cuts + 1):
+    for level in range(1, job.most_cuts + 2):
         segments = staged(segments, "spread")
         contents = staged(_contents(segments), "contents")
         large = contents.groupBy("anchor").agg(F.sum("words").alias("n")).where(F.col("n") > job.shard_words)
         large = staged(large.select("anchor"), "large")
-        if large.isEmpty():
+        # After the last cut an anchor has the windows of one content.
+        if level > job.most_cuts or large.isEmpty():
             parts.append(segments)
             break
         parts.append(segments.join(large, "anchor", "left_anti").select(*segments.columns))
         hot = segments.join(large, "anchor", "left_semi")
-        if level == job.most_cuts:
-            parts.append(hot.select(*segments.columns))
-            break
         lists = hot.groupBy("id", "row").agg(F.collect_set(F.struct("start", "words", "anchor")).alias("pieces"))
         pieces = rows.join(staged(lists, "pieces"), ["id", "row"]).select("id", "row", "text", "pieces")
         segments = _spread(staged(pieces.mapInArrow(_segments(job, level), schema), "segments"))

@@ -52,6 +52,36 @@ def test_matches_brute_force(spark, shard_words):
     assert sum(r[2] for r in got) > 100
 
 
+def contents(texts, job, level=0):
+    """Words of the different segments of each anchor."""
+    found = {}
+    for words in texts:
+        _, start, size, anchor, content = sd.cut(sd.word_hashes([w.encode() for w in words]), np.array([len(words)]), job, level)
+        for s, n, a, c in zip(start, size, anchor, content):
+            assert found.setdefault(int(a), {}).setdefault(int(c), tuple(words[s:s + n])) == tuple(words[s:s + n])
+    return {a: sum(map(len, different.values())) for a, different in found.items()}
+
+
+@pytest.mark.parametrize("period", [1, 2, 7])
+def test_runs_of_any_lengths_share_their_pieces(period):
+    """What an anchor holds of runs of one word, or of a few, does not grow with the number of runs or their lengths."""
+    job = sd.SubstringDedup()
+    run = [f"w{i}" for i in range(period)] * 2000
+    some, many = ([run[i % period:][:n] for i, n in enumerate(range(50, high))] for high in (250, 1500))
+    most = max(contents(some, job).values())
+    assert most <= period * 51 * 100 and max(contents(many, job).values()) <= max(most * 2, period * 4000)
+    # By whole windows, which is how the last cut goes, only equal windows meet.
+    assert max(contents(many, job, job.most_cuts).values()) <= 51 * 100
+
+
+@pytest.mark.parametrize("shard_words,most_cuts", [(1000, 8), (60, 1), (60, 2)])
+def test_many_runs_match_brute_force(spark, shard_words, most_cuts):
+    rows = [(i, "0 " * (10 + i)) for i in range(60)] + [(100 + i, "a b " * (6 + i) + "0 " * i) for i in range(30)]
+    job = sd.SubstringDedup(window_words=10, anchor_words=3, shard_words=shard_words, most_cuts=most_cuts)
+    got = sorted(map(tuple, sd.removal_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), job).collect()), key=str)
+    assert got == brute(rows, 10)
+
+
 def test_odd_rows(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, passage), (2, "x " + passage), (None, passage), (1, passage + " tail"), (3, passage), (3, passage)]
@@ -92,3 +122,17 @@ def test_matching_statistics():
                 assert length[start + i] == want
                 at = index.suffixes[row[start + i]]
                 assert tuple(text[at:at + want]) == tuple(q[i:i + want])
+
+
+def test_index_of_many_symbols_has_no_overflow():
+    """Products of ranks leave 32 bits; matches of whole windows are found all the same."""
+    rng = np.random.default_rng(2)
+    base = rng.permutation(60_000) + 1
+    text = np.concatenate((base, [0], base[100:30_100], [0]))
+    index = FMIndex(text, 60_001, 50)
+    starts = np.array([0, 60_000, 90_000])
+    length, row = index.matching_statistics(np.concatenate((base, base[100:30_100])), starts)
+    assert (length[:59_951] == 50).all() and (length[60_000:89_951] == 50).all()
+    of, edges = index.classes(50)
+    first = np.minimum.reduceat(index.suffixes, edges[:-1])[of[row[60_000:89_951]]]
+    assert (first == np.arange(100, 30_051)).all()

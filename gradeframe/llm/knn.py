@@ -5,8 +5,10 @@ pivot nearest to it. Cells are summarised: rows, radius and the distances of the
 k + 1 ids nearest to the pivot, of ids with one vector. With q.x = q.p + q.(x - p) and
 |q.(x - p)| <= |q| |x - p| the summaries give each query a score that its k-th
 best reaches at least, and so a least distance from the pivot (and a least norm)
-that a row of a cell must have to be of use. Queries are grouped by their cells;
-a row is copied to a group only if some query of the group can use it. Groups
+that a row of a cell must have to be of use. Queries are grouped by their cells,
+neighbouring cells together until a group has enough queries for a block;
+a row is copied to a group only if some query of the group can use it, so at most once
+per block of queries. Groups
 are cut into blocks of queries and of rows, each block is solved by one matrix
 product, and the best k per query are merged.
 
@@ -85,8 +87,26 @@ def _placed(job: Voronoi, pivots: dict[int, np.ndarray]):
     return run
 
 
-def _needs(job: Voronoi, pivots: dict[int, np.ndarray], cells: list):
-    """Per query cell and data cell the least distance and norm that any query of the batch needs."""
+def query_groups(job: Voronoi, pivots: dict[int, np.ndarray], cells: list) -> dict[int, int]:
+    """The group of each cell that has queries: cells whose pivots are near each other, ``block_queries`` queries at least."""
+    groups: dict[int, int] = {}
+    for size in {c.cell // (job.pivots + 1) for c in cells}:
+        left = {c.cell: c.queries for c in cells if c.cell // (job.pivots + 1) == size and c.queries}
+        p = pivots.get(size, np.zeros((1, size)))
+        here, group, total = None, None, 0
+        while left:
+            # From pivot to nearest pivot.
+            here = min(left) if here is None else min(
+                left, key=lambda c: (float(((p[c % (job.pivots + 1)] - p[here % (job.pivots + 1)]) ** 2).sum()), c))
+            if group is None or total >= job.block_queries:
+                group, total = here, 0
+            groups[here] = group
+            total += left.pop(here)
+    return groups
+
+
+def _needs(job: Voronoi, pivots: dict[int, np.ndarray], cells: list, groups: dict[int, int]):
+    """Per group and data cell the least distance and norm that any query of the batch needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_size: dict[int, list] = {}
@@ -118,7 +138,9 @@ def _needs(job: Voronoi, pivots: dict[int, np.ndarray], cells: list):
                 for j, c in enumerate(there):
                     use = gap[:, j] <= c.radius
                     if use.any():
-                        out[int(group), c.cell] = (float(gap[use, j].min()), float(norm[use].min()) - _SLACK)
+                        key = groups[int(group)], c.cell
+                        before = out.get(key, (np.inf, np.inf))
+                        out[key] = (min(before[0], float(gap[use, j].min())), min(before[1], float(norm[use].min()) - _SLACK))
             keys = list(out)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
@@ -209,14 +231,18 @@ def nearest(
     # One row per pivot (and per vector length without one), k + 1 distances each.
     cells = sizes.join(nearest_rows, "cell", "left") \
         .withColumn("nearest", F.coalesce("nearest", F.array().cast("array<double>"))).collect()
+    groups = query_groups(job, pivots, cells)
+    # As many rows as there are pivots at most.
+    named = data.sparkSession.createDataFrame(sorted(groups.items()), "cell long, group long")
     needs = placed.where("asks").select("cell", "vector").mapInArrow(
-        _needs(job, pivots, cells), "group long, cell long, least_distance double, least_norm double")
+        _needs(job, pivots, cells, groups), "group long, cell long, least_distance double, least_norm double")
     needs = staged(needs.groupBy("group", "cell").agg(
         F.min("least_distance").alias("least_distance"), F.min("least_norm").alias("least_norm")), "needs")
     sizes = staged(sizes.select("cell", "rows", "queries"), "sizes")
     blocks = needs.join(sizes.select("cell", "rows"), "cell").groupBy("group").agg(
         (F.floor(F.sum("rows") / job.block_rows) + 1).cast("int").alias("blocks")) \
-        .join(sizes.select(F.col("cell").alias("group"), (F.floor(F.col("queries") / job.block_queries) + 1).cast("int").alias("turns")), "group")
+        .join(sizes.join(F.broadcast(named), "cell").groupBy("group").agg(
+            F.ceil(F.sum("queries") / (2 * job.block_queries)).cast("int").alias("turns")), "group")
     blocks = staged(blocks, "blocks")
     plan = needs.join(blocks, "group")
     # The plan has at most pivots ** 2 rows.
@@ -224,7 +250,7 @@ def nearest(
         .where("distance >= least_distance and norm >= least_norm").select(
             "group", "id", F.lit(False).alias("asks"), "vector", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"),
             F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
-    asked = placed.where("asks").withColumn("group", F.col("cell")).join(F.broadcast(blocks), "group").select(
+    asked = placed.where("asks").join(F.broadcast(named), "cell").join(F.broadcast(blocks), "group").select(
         "group", "id", "asks", "vector", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("id", F.lit(1)), "turns").cast("int").alias("turn"))
     found = copied.unionByName(asked).groupBy("group", "block", "turn").applyInArrow(

@@ -84,3 +84,19 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert nearest(some, F.col("vec_id") % 10 == 0).collect() == []
     assert nearest(some, F.col("vec_id") == 1).collect() == []
+
+
+def test_rows_are_copied_once_per_block_of_queries(spark, monkeypatch):
+    """Over the given vectors a row goes to a few blocks of queries, not to every cell of queries."""
+    from gradeframe.llm import knn
+
+    seen = []
+    whole = knn.query_groups
+    monkeypatch.setattr(knn, "query_groups", lambda job, pivots, cells: seen.append((cells, whole(job, pivots, cells))) or seen[-1][1])
+    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    for every, job in ((100, Voronoi()), (3, Voronoi(block_queries=100))):
+        assert nearest(data, F.col("vec_id") % every == 0, job).count() == 10 * data.where(F.col("vec_id") % every == 0).count()
+        cells, groups = seen[-1]
+        queries = sum(c.queries for c in cells)
+        assert set(groups) == {c.cell for c in cells if c.queries}
+        assert len(set(groups.values())) <= queries // job.block_queries + 1

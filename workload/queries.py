@@ -692,3 +692,50 @@ def stream_metrics(spark, sf_dir):
         "LLM_answer", "gold", "grp", f"{root}/out", f"{root}/progress",
     ).trigger(availableNow=True).start().awaitTermination()
     return rounded(gf.read_stream_metrics(spark, f"{root}/out"))
+
+
+@query("stream_evaluate", t.RESULTS_SQL + _metrics_sql("done", _SINGLE, True) + _ROUNDED_METRICS)
+def stream_evaluate(spark, sf_dir):
+    """Results arrive in files; the last state of the whole metrics table."""
+    root = scratch_path(spark, "stream-evaluate")
+    results = t.results(spark, sf_dir).select("row_id", "grp", "gold", "LLM_answer", "labels")
+    for half in (0, 1):
+        results.where(F.col("grp").isNull() == F.lit(bool(half))).write.mode("append").parquet(f"{root}/in")
+        gf.stream_evaluate(gf.read_stream(spark, f"{root}/in", results.schema), t.SPEC, f"{root}/out", f"{root}/progress") \
+            .trigger(availableNow=True).start().awaitTermination()
+    return shown_metrics(gf.read_stream_metrics(spark, f"{root}/out"))
+
+
+@query("metrics_refreshed", t.RESULTS_SQL + _metrics_sql("done", _SINGLE, True) + _ROUNDED_METRICS)
+def metrics_refreshed(spark, sf_dir):
+    """Results come in parts, with an evaluation after each that reads the new part only."""
+    root = scratch_path(spark, "refreshed")
+    results = t.results(spark, sf_dir).drop("error")
+    for part in range(2):
+        gf.append_part(results.where(F.pmod("row_id", F.lit(2)) == part), f"{root}/results", f"part-{part}", "row_id")
+        metrics = gf.refresh_evaluation(spark, f"{root}/results", t.SPEC, f"{root}/out")
+    return shown_metrics(metrics)
+
+
+@query("part_append", t.RESULTS_SQL + f"""
+select row_id, raw_text as "Raw_Response", answer as "LLM_answer", {sql_shown('labels')} as labels, err as error from res""")
+def part_append(spark, sf_dir):
+    """Two parts, one of them appended twice: it replaces itself."""
+    path = scratch_path(spark, "parts")
+    results = t.results(spark, sf_dir)
+    for part in (0, 1, 0):
+        gf.append_part(results.where(F.pmod("row_id", F.lit(2)) == part), path, f"part-{part}", "row_id")
+    return gf.existing_results(spark, path).select(
+        "row_id", "Raw_Response", "LLM_answer", t.shown("labels").alias("labels"), "error"
+    )
+
+
+@query("pending_indexed", t.FIXTURE_SQL + """
+select row_id from fx where row_id not in (select doc_id from labels)""")
+def pending_indexed(spark, sf_dir):
+    """Open items against results in parts, by the index of their ids."""
+    path = scratch_path(spark, "indexed")
+    done = t.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"))
+    for part in range(3):
+        gf.append_part(done.where(F.pmod("row_id", F.lit(3)) == part), path, f"part-{part}", "row_id")
+    return gf.pending_at(t.items(spark, sf_dir), path, "row_id").select("row_id")

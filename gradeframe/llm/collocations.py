@@ -9,9 +9,11 @@ pairs are counted while the words are not complete yet. The scans end a cycle
 after the last activation.
 
 A scan is a vectorised pass over bytes (lower case and separators by a lookup
-table, words as dictionary codes, phrases as pairs of codes), which gives phrases
-and counts per window of text; Spark adds them up. The counts so far are one
-table dealt out by phrase; a scan's counts come to it without moving it, and
+table, words as dictionary codes, phrases as tuples of codes), which gives phrases
+and counts per window of text; Spark adds them up. Words travel as text with a 64-bit hash,
+phrases as the hashes of their words, which get their text back from the frequent words at the end.
+That is exact, for the first cycle has every word: if two share a hash, counting starts anew under
+another seed. The counts so far are one table dealt out by phrase; a scan's counts come to it without moving it, and
 phrases that completed their cycle below the threshold leave it. Which phrases
 reached the threshold, and in which scan, is told to the tasks by a table of
 ``filter_slots`` bytes, two per phrase, however large the corpus. A phrase that
@@ -41,13 +43,16 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gradeframe.llm.common import bucketed, mix, remove, scratch, staged, starts_of, trimmed
+from gradeframe.llm.common import bucketed, remove, scratch, staged, starts_of, trimmed
 
 NO_LANGUAGE = "und"
 # A separator of pieces, a separator of words, and all else.
 _PIECE, _BLANK, _WORD = 2, 1, 0
 _NEVER = 255
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_RANK_PARTS = 32
+_SEED = 42  # of Spark's xxhash64
+# The five constants of XXH64.
+_PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
 @dataclass(frozen=True)
@@ -122,13 +127,6 @@ def _words(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, np
     return words, np.searchsorted(np.flatnonzero(kind == _PIECE), at) + text, text
 
 
-def _keys(langs: pa.Array, phrases: pa.Array, words: int) -> pa.Array:
-    """Number of words, language and phrase as one value; a language may hold a line break, a phrase cannot."""
-    number = pa.scalar(b"%d " % words, pa.large_binary())
-    return pc.binary_join_element_wise(pc.binary_join_element_wise(number, langs, pa.scalar(b"", pa.large_binary())), phrases,
-                                       pa.scalar(b"\n", pa.large_binary()))
-
-
 def _first_scans(hashes: np.ndarray, reached: np.ndarray) -> np.ndarray:
     """The scan after which each phrase counts as frequent: never too late, seldom too early."""
     mask = np.uint64(len(reached) - 1)
@@ -148,9 +146,27 @@ def _tallied(columns: Sequence[np.ndarray], size: int) -> tuple[list[np.ndarray]
     return [column[row] for column in columns], counts, row
 
 
-def _phrases(job: Collocations, data: np.ndarray, ends: np.ndarray, langs: pa.Array, scan: int, reached: np.ndarray
-             ) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, hashes, first scans, counts) of the active phrases of a window, length by length."""
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def chained_hash(before: np.ndarray | np.uint64, value: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 makes of a long after what it made of the columns before it."""
+    with np.errstate(over="ignore"):
+        x = before + _PRIMES[4] + np.uint64(8)
+        x = x ^ _rotated(value * _PRIMES[1], 31) * _PRIMES[0]
+        x = _rotated(x, 27) * _PRIMES[0] + _PRIMES[3]
+        x = (x ^ x >> np.uint64(33)) * _PRIMES[1]
+        x = (x ^ x >> np.uint64(29)) * _PRIMES[2]
+        return x ^ x >> np.uint64(32)
+
+
+def _phrases(job: Collocations, data: np.ndarray, ends: np.ndarray, langs: pa.Array, scan: int, reached: np.ndarray, seed: int
+             ) -> Iterator[tuple[list[np.ndarray], pa.Array | None, np.ndarray, np.ndarray]]:
+    """(hashes of the words, text of single words, first scans, counts) of the active phrases of a window, length by length.
+
+    The first has no hash: the number of words of each language.
+    """
     words, piece, text = _words(data, ends)
     if not len(words):
         return
@@ -165,17 +181,17 @@ def _phrases(job: Collocations, data: np.ndarray, ends: np.ndarray, langs: pa.Ar
     number = np.zeros(len(counts), np.int64)
     number[present] = np.arange(len(present))
     ids, counts = number[codes], counts[present]
-    of_lang, shown = names.take(pa.array(present // size)), coded.dictionary.take(pa.array(present % size))
-    keys = _keys(of_lang, shown, 1)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys.to_pylist()), np.uint64, len(keys))
+    line = pa.scalar(b"\n", pa.large_binary())
+    keys = pc.binary_join_element_wise(names.take(pa.array(present // size)), coded.dictionary.take(pa.array(present % size)), line)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(k, seed) for k in keys.to_pylist()), np.uint64, len(keys))
     if scan < job.shards:
-        yield keys, hashes, np.zeros(len(keys), np.int64), counts
         here, rows = np.unique(present // size, return_inverse=True)
-        there = names.take(pa.array(here))
-        yield (_keys(there, pa.array([b""] * len(there), pa.large_binary()), 0), np.zeros(len(there), np.uint64),
-               np.zeros(len(there), np.int64), np.bincount(rows, counts).astype(np.int64))
+        totals = pc.binary_join_element_wise(names.take(pa.array(here)), pa.scalar(b"", pa.large_binary()), line)
+        yield [], totals, np.zeros(len(here), np.int64), np.bincount(rows, counts).astype(np.int64)
+        yield [hashes], keys, np.zeros(len(keys), np.int64), counts
     # For phrases of one length: where they begin, their hash, and since when they are frequent.
-    place, here, since = np.arange(len(ids)), hashes[ids], _first_scans(hashes, reached)[ids]
+    single = chained_hash(np.uint64(_SEED), hashes)
+    place, here, since = np.arange(len(ids)), single[ids], _first_scans(single, reached)[ids]
     for length in range(2, job.most_words + 1):
         known = since < scan
         follows = np.flatnonzero(known[:-1] & known[1:] & (np.diff(place) == 1)
@@ -183,46 +199,52 @@ def _phrases(job: Collocations, data: np.ndarray, ends: np.ndarray, langs: pa.Ar
         if not len(follows):
             return
         starts = 1 + np.maximum(since[follows], since[follows + 1]).astype(np.int64)
-        place, before = place[follows], here[follows]
-        here = mix(before * _FACTOR + hashes[ids[place + length - 1]])
+        place = place[follows]
         active = np.flatnonzero(starts + job.shards > scan)
         if len(active):
-            tuples, counts, row = _tallied([ids[place[active] + i] for i in range(length)], len(keys))
-            parts = [shown.take(pa.array(column)) for column in tuples]
-            phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
-            yield (_keys(of_lang.take(pa.array(tuples[0])), phrases, length), here[active][row], starts[active][row], counts)
+            tuples, counts, row = _tallied([ids[place[active] + i] for i in range(length)], len(hashes))
+            yield [hashes[column] for column in tuples], None, starts[active][row], counts
         if length < job.most_words:
+            here = chained_hash(here[follows], hashes[ids[place + length - 1]])
             since = _first_scans(here, reached)
 
 
-def _scan(job: Collocations, scan: int, reached):
-    """Batches of (lang, text) to (key, hash, start, n)."""
+def _scan(job: Collocations, scan: int, reached, seed: int):
+    """Batches of (lang, text) to (k1, k2, ..., word, start, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.frombuffer(reached.value, np.uint8)
         for batch in batches:
             langs = batch.column(0).cast(pa.large_binary())
             for data, ends in _windows(batch.column(1), job.window_bytes):
-                for keys, hashes, starts, counts in _phrases(job, data, ends, langs, scan, slots):
-                    for at in range(0, len(keys), 50_000):
+                for hashes, words, starts, counts in _phrases(job, data, ends, langs, scan, slots, seed):
+                    for at in range(0, len(counts), 50_000):
                         part = slice(at, at + 50_000)
+                        size = len(counts[part])
+                        columns = [pa.array(h[part].view(np.int64)) for h in hashes]
+                        columns += [pa.nulls(size, pa.int64())] * (job.most_words - len(hashes))
+                        word = pa.nulls(size, pa.string()) if words is None else words.slice(at, 50_000).cast(pa.string())
                         yield pa.RecordBatch.from_arrays(
-                            [keys.slice(at, 50_000).cast(pa.string()), pa.array(hashes[part].view(np.int64)),
-                             pa.array(starts[part].astype(np.int32)), pa.array(counts[part].astype(np.int64))],
-                            ["key", "hash", "start", "n"])
+                            [*columns, word, pa.array(starts[part].astype(np.int32)), pa.array(counts[part].astype(np.int64))],
+                            [*_hash_names(job), "word", "start", "n"])
         trimmed()
 
     return run
 
 
-def _mark(reached: np.ndarray, found: DataFrame, scan: int) -> bool:
+def _hash_names(job: Collocations) -> list[str]:
+    return [f"k{i}" for i in range(1, job.most_words + 1)]
+
+
+def _mark(reached: np.ndarray, found: DataFrame, names: list[str], scan: int) -> bool:
     """Enter phrases that have reached the threshold after a scan; False if the table has all of them.
 
     What comes to the driver is a bitmap of the slots, 1/8 of the table at most.
     """
-    mask = F.lit(len(reached) - 1)
+    # Hashes that are not there (of shorter phrases) leave the hash as it is.
+    mask, hashed = F.lit(len(reached) - 1), F.xxhash64(*names)
     slots = found.select(F.explode(F.array(
-        F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask))).alias("slot"))
+        hashed.bitwiseAND(mask), F.shiftrightunsigned(hashed, 32).bitwiseAND(mask))).alias("slot"))
     # The functions number from one.
     bits = slots.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
@@ -245,39 +267,61 @@ def _dealt(docs: DataFrame, job: Collocations, text_col: str, lang_col: str) ->
     return docs.sparkSession.read.schema("lang string, text string, shard int").parquet(path), path
 
 
-def phrase_counts(docs: DataFrame, job: Collocations = Collocations(), text_col: str = "text", lang_col: str = "lang"
-                  ) -> DataFrame:
-    """lang, phrase, words, f of all phrases up to ``most_words`` with f of at least ``least``; words = 0: all words of the language."""
-    spark: SparkSession = docs.sparkSession
-    shards, texts_path = _dealt(docs, job, text_col, lang_col)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _counted(shards: DataFrame, job: Collocations, seed: int) -> DataFrame | None:
+    """k1, k2, ..., word, start, n after all scans; None if two words share a hash under this seed."""
+    spark: SparkSession = shards.sparkSession
+    tasks, names = int(spark.conf.get("spark.sql.shuffle.partitions")), _hash_names(job)
+    key = [*names, "word"]
+    schema = ", ".join([*[f"{n} long" for n in names], "word string", "start int", "n long"])
     reached = np.full(job.filter_slots, _NEVER, np.uint8)
     state, state_path, scan, last = None, None, 0, 0
     while scan < job.shards or scan <= last + job.shards:
         told = spark.sparkContext.broadcast(reached.tobytes())
         here = shards.where(F.col("shard") == scan % job.shards).select("lang", "text")
         # Counts per window are dealt out by phrase as the counts so far are; there both are added up.
-        counted = here.mapInArrow(_scan(job, scan, told), "key string, hash long, start int, n long").repartition(tasks, "key")
+        counted = here.mapInArrow(_scan(job, scan, told, seed), schema).repartition(tasks, *key)
         if state is not None:
             counted = state.unionByName(counted)
-        counted = counted.groupBy("key").agg(F.max("hash").alias("hash"), F.max("start").alias("start"), F.sum("n").alias("n"))
-        counted = counted.where((F.col("n") >= job.least) | (F.col("start") + job.shards - 1 > scan))
+        counted = counted.groupBy(*key).agg(F.max("start").alias("start"), F.sum("n").alias("n"))
+        # Words stay until all of them have been compared.
+        under_way = (F.col("start") + job.shards - 1 > scan) | (F.col("word").isNotNull() & (scan < job.shards))
+        counted = counted.where((F.col("n") >= job.least) | under_way)
         old_path, state_path = state_path, scratch(spark, "phrases")
-        state = bucketed(counted, ["key"], "phrases", state_path)
+        state = bucketed(counted, key, "phrases", state_path)
         if old_path:
             remove(spark, old_path)
-        words = F.substring_index("key", " ", 1).cast("int")
-        if _mark(reached, state.where((F.col("n") >= job.least) & words.between(1, job.most_words - 1)), scan):
+        if scan == job.shards - 1 and not state.where("k1 is not null and word is not null").groupBy("k1").count().where("count > 1").isEmpty():
+            remove(spark, state_path)
+            return None
+        if _mark(reached, state.where((F.col("n") >= job.least) & F.col("k1").isNotNull() & F.col(names[-1]).isNull()), names, scan):
             last = scan
         told.destroy()
         scan += 1
-    remove(spark, texts_path)
-    phrase = F.substring_index("key", "\n", -1)
-    number = F.substring_index("key", " ", 1)
-    lang_length = F.length("key") - F.length(phrase) - F.length(number) - 2
-    return state.where(F.col("n") >= job.least).select(
-        F.col("key").substr(F.length(number) + 2, lang_length).alias("lang"), phrase.alias("phrase"),
-        number.cast("int").alias("words"), F.col("n").alias("f"))
+    return state
+
+
+def phrase_counts(docs: DataFrame, job: Collocations = Collocations(), text_col: str = "text", lang_col: str = "lang"
+                  ) -> DataFrame:
+    """lang, phrase, words, f of all phrases up to ``most_words`` with f of at least ``least``; words = 0: all words of the language."""
+    shards, texts_path = _dealt(docs, job, text_col, lang_col)
+    seed, state = 0, None
+    while state is None:
+        state, seed = _counted(shards, job, seed), seed + 1
+    remove(docs.sparkSession, texts_path)
+    found = state.where(F.col("n") >= job.least)
+    # A language may hold a line break, a word cannot.
+    single = found.where("word is not null").select(
+        "k1", F.col("word").substr(F.lit(1), F.length("word") - F.length(F.substring_index("word", "\n", -1)) - 1).alias("lang"),
+        F.substring_index("word", "\n", -1).alias("phrase"), F.col("n").alias("f"))
+    phrases = found.where("word is null")
+    for i, name in enumerate(_hash_names(job)):
+        text = single.where("k1 is not null").select(F.col("k1").alias(name), F.col("phrase").alias(f"w{i}"), *([] if i else ["lang"]))
+        phrases = phrases.join(text, name, "inner" if i < 2 else "left")
+    parts = [f"w{i}" for i in range(job.most_words)]
+    # What is not there is left out.
+    phrases = phrases.select("lang", F.concat_ws(" ", *parts).alias("phrase"),
+                             F.array_size(F.array_compact(F.array(*parts))).alias("words"), F.col("n").alias("f"))
+    return single.select("lang", "phrase", F.col("k1").isNotNull().cast("int").alias("words"), "f").unionByName(phrases)
 
 
 def _cuts(candidates: DataFrame, known: DataFrame, job: Collocations) -> DataFrame:
@@ -309,6 +353,10 @@ def collocations(docs: DataFrame, job: Collocations = Collocations(), text_col:
     scored = _cuts(candidates, known, job).join(covering, ["lang", "phrase"], "left") \
         .where(F.coalesce(100 * F.col("longer") < job.covered_percent * F.col("a"), F.lit(True)))
     totals = known.where("words = 0").select("lang", F.col("f").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = scored.withColumn("rank", place.cast("long")).where(F.col("rank") <= job.per_language)
+    # A language's best are among the best of its parts: the last step has a bounded number of rows of each.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(_RANK_PARTS))
+    in_part, whole = Window.partitionBy("lang", "part").orderBy(*order), Window.partitionBy("lang").orderBy(*order)
+    best = scored.withColumn("part", part).withColumn("rank", F.row_number().over(in_part)).where(F.col("rank") <= job.per_language)
+    ranked = best.withColumn("rank", F.row_number().over(whole).cast("long")).where(F.col("rank") <= job.per_language)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

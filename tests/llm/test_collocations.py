@@ -81,8 +81,8 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     job = Collocations(least=4, filter_slots=1 << 15, shards=2)
     entered = module._mark
 
-    def all_marked(reached, found, scan):
-        any_found = entered(reached, found, scan)
+    def all_marked(reached, found, names, scan):
+        any_found = entered(reached, found, names, scan)
         np.minimum(reached, scan, out=reached)
         return any_found
 
@@ -90,6 +90,48 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     assert sorted(map(tuple, collocations(docs, job).collect())) == plain_collocations(rows, job)
 
 
+def test_hash_of_several_words(spark):
+    """Tasks and Spark give a phrase the same hash."""
+    import numpy as np
+
+    from gradeframe.llm.collocations import chained_hash
+
+    values = [(1, 2, None), (-5, 2 ** 62, 7), (0, None, None), (2 ** 63 - 1, -2 ** 63, -1)]
+    rows = spark.createDataFrame(values, "a long, b long, c long").select("a", "b", "c", F.xxhash64("a", "b", "c").alias("h")).collect()
+    for row in rows:
+        hashed = np.array([42], np.uint64)
+        for value in row[:3]:
+            if value is not None:
+                hashed = chained_hash(hashed, np.array([value], np.int64).view(np.uint64))
+        assert hashed.view(np.int64)[0] == row.h
+
+
+def test_words_that_share_a_hash_start_anew(spark, monkeypatch):
+    """Under the first seeds all words of one length share a hash; the counts come out all the same."""
+    import xxhash
+
+    from gradeframe.llm import collocations as module
+
+    class Colliding:
+        @staticmethod
+        def xxh64_intdigest(key, seed):
+            return len(key) if seed < 2 else xxhash.xxh64_intdigest(key, seed)
+
+    tried, plain = [], module._counted
+    monkeypatch.setattr(module, "xxhash", Colliding)
+    monkeypatch.setattr(module, "_counted", lambda shards, job, seed: tried.append(seed) or plain(shards, job, seed))
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[module.__name__])
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    rows = sample(8)
+    job = Collocations(least=4, filter_slots=1 << 15, shards=2)
+    found = sorted(map(tuple, collocations(spark.createDataFrame(rows, "lang string, text string"), job).collect()))
+    assert tried == [0, 1, 2] and found == plain_collocations(rows, job)
+
+
 def test_products_beyond_64_bits(spark):
     from gradeframe.llm.collocations import _cuts
 

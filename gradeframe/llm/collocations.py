@@ -206,7 +206,8 @@ def _phrases(job: Collocations, data: np.ndarray, ends: np.ndarray, langs: pa.Ar
             yield [hashes[column] for column in tuples], None, starts[active][row], counts
         if length < job.most_words:
             here = chained_hash(here[follows], hashes[ids[place + length - 1]])
-            since = _first_scans(here, reached)
+            # Not before it was counted: foreign marks may be older than its own words' are.
+            since = np.maximum(_first_scans(here, reached), starts)
 
 
 def _scan(job: Collocations, scan: int, reached, seed: int):
@@ -293,7 +294,9 @@ def _counted(shards: DataFrame, job: Collocations, seed: int) -> DataFrame | Non
         if scan == job.shards - 1 and not state.where("k1 is not null and word is not null").groupBy("k1").count().where("count > 1").isEmpty():
             remove(spark, state_path)
             return None
-        if _mark(reached, state.where((F.col("n") >= job.least) & F.col("k1").isNotNull() & F.col(names[-1]).isNull()), names, scan):
+        # What completed its cycle earlier was entered then.
+        counting = F.col("k1").isNotNull() & F.col(names[-1]).isNull() & (F.col("start") + job.shards > scan)
+        if _mark(reached, state.where((F.col("n") >= job.least) & counting), names, scan):
             last = scan
         told.destroy()
         scan += 1

@@ -70,6 +70,15 @@ def test_matches_plain_counting(spark, job):
     assert sorted(map(tuple, got.collect())) == plain_collocations(rows, job)
 
 
+def test_foreign_marks_of_any_age(spark):
+    """Over a table that most slots of are taken, at different scans, every phrase is counted for a whole cycle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    job = Collocations(filter_slots=1 << 15, window_bytes=3000)
+    found = {(r.lang, r.phrase): r.f for r in phrase_counts(docs, job).where("words > 0").collect()}
+    counts = plain_counts([tuple(r) for r in docs.select("lang", "text").collect()], 3)
+    assert found == {(lang, " ".join(words)): n for (lang, words), n in counts.items() if n >= 10}
+
+
 def test_a_full_filter_changes_nothing(spark, monkeypatch):
     """Where every slot is taken, every phrase is activated at once, and counted for one cycle all the same."""
     import numpy as np

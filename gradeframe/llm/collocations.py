@@ -276,7 +276,8 @@ def _counted(shards: DataFrame, job: Collocations, seed: int) -> DataFrame | Non
     schema = ", ".join([*[f"{n} long" for n in names], "word string", "start int", "n long"])
     reached = np.full(job.filter_slots, _NEVER, np.uint8)
     state, state_path, scan, last = None, None, 0, 0
-    while scan < job.shards or scan <= last + job.shards:
+    # Behind foreign marks each length may begin one scan after the one before it, without a new mark.
+    while scan < job.shards or scan <= last + job.shards + job.most_words - 2:
         told = spark.sparkContext.broadcast(reached.tobytes())
         here = shards.where(F.col("shard") == scan % job.shards).select("lang", "text")
         # Counts per window are dealt out by phrase as the counts so far are; there both are added up.

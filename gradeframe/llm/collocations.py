@@ -50,6 +50,10 @@ NO_LANGUAGE = "und"
 _PIECE, _BLANK, _WORD = 2, 1, 0
 _NEVER = 255
 _RANK_PARTS = 32
+# Places of a window that are hashed at a time.
+_PLACES = 1 << 17
+# Slots in one of Spark's bitmaps.
+_BITMAP = 1 << 15
 _SEED = 42  # of Spark's xxhash64
 # The five constants of XXH64.
 _PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -119,18 +123,28 @@ def _words(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, np
     begins, after = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1] | edge[1:-1]
     after[:-1] &= ~inside[1:] | edge[1:-1]
-    at, last = np.flatnonzero(begins), np.flatnonzero(after)
+    pieces = np.flatnonzero(kind == _PIECE).astype(np.int32)
+    at, last = np.flatnonzero(begins).astype(np.int32), np.flatnonzero(after).astype(np.int32)
+    letters = _LOWER[data[inside]]
+    del kind, inside, edge, begins, after
     offsets = starts_of(last + 1 - at)
-    words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[inside]])])
-    text = np.searchsorted(ends, at, side="right")
+    del last
+    words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    # Numbers of places fit 32 bits: a window has some MB, a text at most 2 GB.
+    text = np.searchsorted(ends.astype(np.int32), at, side="right").astype(np.int32)
     # Pieces end at separators and with their text.
-    return words, np.searchsorted(np.flatnonzero(kind == _PIECE), at) + text, text
+    return words, np.searchsorted(pieces, at).astype(np.int32) + text, text
+
+
+def _slots_of(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots of each phrase."""
+    mask = np.uint64(size - 1)
+    return (hashes & mask).astype(np.int64), (hashes >> np.uint64(32) & mask).astype(np.int64)
 
 
 def _first_scans(hashes: np.ndarray, reached: np.ndarray) -> np.ndarray:
     """The scan after which each phrase counts as frequent: never too late, seldom too early."""
-    mask = np.uint64(len(reached) - 1)
-    low, high = (hashes & mask).astype(np.int64), (hashes >> np.uint64(32) & mask).astype(np.int64)
+    low, high = _slots_of(hashes, len(reached))
     return np.maximum(reached[low], reached[high])
 
 
@@ -138,11 +152,14 @@ def _tallied(columns: Sequence[np.ndarray], size: int) -> tuple[list[np.ndarray]
     """Distinct tuples of word ids below ``size``, their counts, and a row of each."""
     ids = columns[0]
     for column in columns[1:]:
-        coded = pa.array(ids * size + column).dictionary_encode()
-        ids = np.asarray(coded.indices).astype(np.int64)
+        both = ids.astype(np.int64)
+        both *= size
+        both += column
+        # Only the codes outlive a step: its keys and their dictionary are as large as a window's words.
+        ids = np.asarray(pa.array(both).dictionary_encode().indices)
     counts = np.bincount(ids)
-    row = np.empty(len(counts), np.int64)
-    row[ids] = np.arange(len(ids))
+    row = np.empty(len(counts), np.int32)
+    row[ids] = np.arange(len(ids), dtype=np.int32)
     return [column[row] for column in columns], counts, row
 
 
@@ -178,9 +195,10 @@ def _phrases(job: Collocations, data: np.ndarray, ends: np.ndarray, langs: pa.Ar
     codes = np.asarray(spoken.indices)[text].astype(np.int64) * size + np.asarray(coded.indices)
     counts = np.bincount(codes)
     present = np.flatnonzero(counts)
-    number = np.zeros(len(counts), np.int64)
+    number = np.zeros(len(counts), np.int32)
     number[present] = np.arange(len(present))
     ids, counts = number[codes], counts[present]
+    del words, text, codes, number
     line = pa.scalar(b"\n", pa.large_binary())
     keys = pc.binary_join_element_wise(names.take(pa.array(present // size)), coded.dictionary.take(pa.array(present % size)), line)
     hashes = np.fromiter((xxhash.xxh64_intdigest(k, seed) for k in keys.to_pylist()), np.uint64, len(keys))
@@ -191,23 +209,35 @@ def _phrases(job: Collocations, data: np.ndarray, ends: np.ndarray, langs: pa.Ar
         yield [hashes], keys, np.zeros(len(keys), np.int64), counts
     # For phrases of one length: where they begin, their hash, and since when they are frequent.
     single = chained_hash(np.uint64(_SEED), hashes)
-    place, here, since = np.arange(len(ids)), single[ids], _first_scans(single, reached)[ids]
+    place, here, since = np.arange(len(ids), dtype=np.int32), single[ids], _first_scans(single, reached)[ids].astype(np.int16)
+    del keys, coded, counts, present
     for length in range(2, job.most_words + 1):
         known = since < scan
         follows = np.flatnonzero(known[:-1] & known[1:] & (np.diff(place) == 1)
-                                 & (piece[place[:-1]] == piece[np.minimum(place[:-1] + length - 1, len(piece) - 1)]))
+                                 & (piece[place[:-1]] == piece[np.minimum(place[:-1] + length - 1, len(piece) - 1)])).astype(np.int32)
+        del known
         if not len(follows):
             return
-        starts = 1 + np.maximum(since[follows], since[follows + 1]).astype(np.int64)
+        # Scans have numbers below 255.
+        starts = 1 + np.maximum(since[follows], since[follows + 1])
         place = place[follows]
-        active = np.flatnonzero(starts + job.shards > scan)
+        if length < job.most_words:
+            here = here[follows]
+        del follows
+        active = np.flatnonzero(starts + job.shards > scan).astype(np.int32)
         if len(active):
             tuples, counts, row = _tallied([ids[place[active] + i] for i in range(length)], len(hashes))
-            yield [hashes[column] for column in tuples], None, starts[active][row], counts
+            first = starts[active[row]]
+            del active, row
+            yield [hashes[column] for column in tuples], None, first, counts
+            del tuples, counts, first
         if length < job.most_words:
-            here = chained_hash(here[follows], hashes[ids[place + length - 1]])
-            # Not before it was counted: foreign marks may be older than its own words' are.
-            since = np.maximum(_first_scans(here, reached), starts)
+            since = np.empty(len(place), np.int16)
+            for at in range(0, len(place), _PLACES):
+                part = slice(at, at + _PLACES)
+                here[part] = chained_hash(here[part], hashes[ids[place[part] + length - 1]])
+                # Not before it was counted: foreign marks may be older than its own words' are.
+                since[part] = np.maximum(_first_scans(here[part], reached), starts[part])
 
 
 def _scan(job: Collocations, scan: int, reached, seed: int):
@@ -237,22 +267,38 @@ def _hash_names(job: Collocations) -> list[str]:
     return [f"k{i}" for i in range(1, job.most_words + 1)]
 
 
+def _bitmaps(size: int):
+    """Batches of hashes to (part, bits): the marked ones of ``size`` slots, a bitmap for each part that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, bool)
+        for batch in batches:
+            for slots in _slots_of(np.asarray(batch.column(0)).view(np.uint64), size):
+                held[slots] = True
+        bits = np.packbits(held, bitorder="little").reshape(-1, _BITMAP // 8)
+        del held
+        parts = np.flatnonzero(bits.any(axis=1))
+        for at in range(0, len(parts), 64):
+            some = parts[at:at + 64]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some.astype(np.int32)), pa.array([bits[p].tobytes() for p in some], pa.binary())], ["part", "bits"])
+        trimmed()
+
+    return run
+
+
 def _mark(reached: np.ndarray, found: DataFrame, names: list[str], scan: int) -> bool:
     """Enter phrases that have reached the threshold after a scan; False if the table has all of them.
 
     What comes to the driver is a bitmap of the slots, 1/8 of the table at most.
     """
     # Hashes that are not there (of shorter phrases) leave the hash as it is.
-    mask, hashed = F.lit(len(reached) - 1), F.xxhash64(*names)
-    slots = found.select(F.explode(F.array(
-        hashed.bitwiseAND(mask), F.shiftrightunsigned(hashed, 32).bitwiseAND(mask))).alias("slot"))
-    # The functions number from one.
-    bits = slots.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
+    hashed = found.select(F.xxhash64(*names).alias("h"))
+    # A task gives the bitmap of its phrases, whatever their number.
+    bits = hashed.mapInArrow(_bitmaps(len(reached)), "part int, bits binary").groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits"))
     entered = False
     for row in bits.collect():
-        marked = np.flatnonzero(np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little"))
-        marked = marked[marked < len(reached)] + (row["part"] - 1) * 8 * len(row["bits"])
+        marked = np.flatnonzero(np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")) + row["part"] * _BITMAP
         entered |= bool((reached[marked] > scan).any())
         reached[marked] = np.minimum(reached[marked], scan)
     return entered

@@ -2,11 +2,15 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gradeframe.llm import collocations as module
 from gradeframe.llm.collocations import Collocations, collocations, phrase_counts
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -161,3 +165,42 @@ def test_one_text_of_many_words(spark):
     job = Collocations(filter_slots=1 << 15, window_bytes=50_000, shards=2)
     assert list(map(tuple, collocations(docs, job).collect())) == [
         ("en", 1, "big apple pie", 40_000, 40_000, 40_000, 120_000, 1_000_000)]
+
+
+def test_marks_leave_a_task_as_bitmaps():
+    """However many phrases a task has, what it sends on is bounded by the table's size."""
+    rnd, size = np.random.default_rng(0), 1 << 17
+    hashes = rnd.integers(0, 1 << 64, 300_000, np.uint64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"]) for h in np.array_split(hashes, 7)]
+    rows = [r for b in module._bitmaps(size)(iter(batches)) for r in b.to_pylist()]
+    assert len(rows) <= size >> 15 and {len(r["bits"]) for r in rows} == {4096}
+    want = {int(h) & size - 1 for h in hashes} | {int(h) >> 32 & size - 1 for h in hashes}
+    got = {r["part"] * 32768 + 8 * i + j for r in rows for i, b in enumerate(r["bits"]) for j in range(8) if b >> j & 1}
+    assert got == want
+
+
+def test_marking_makes_no_row_per_phrase(spark, monkeypatch):
+    """Phrases are entered without a row for each slot."""
+    plans, frame = [], type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: plans.append(df._jdf.queryExecution().toString()) or collect(df))
+    found = spark.range(50_000).select(F.col("id").alias("k1"), F.lit(None).cast("long").alias("k2"))
+    reached = np.full(1 << 15, 255, np.uint8)
+    assert module._mark(reached, found, ["k1", "k2"], 3) and not module._mark(reached, found, ["k1", "k2"], 3)
+    assert (reached == 3).sum() > 30_000
+    assert plans and not any("Generate" in p for p in plans)
+
+
+def test_a_window_takes_bounded_memory():
+    """Counting pairs and triples of a window takes less than 25 bytes of arrays for each byte of text."""
+    rnd = np.random.default_rng(1)
+    text = " ".join(f"w{n}" for n in rnd.zipf(1.3, 400_000) % 50_000)
+    job, data = Collocations(), np.frombuffer(text.encode(), np.uint8)
+    reached = np.full(job.filter_slots, 1, np.uint8)
+    tracemalloc.start()
+    try:
+        found = sum(int(n.sum()) for _, _, _, n in module._phrases(job, data, np.array([len(data)]), pa.array([b"en"], pa.large_binary()), 3, reached, 0))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found >= 399_999 and peak < 25 * len(data)

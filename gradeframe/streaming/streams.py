@@ -14,7 +14,7 @@ from gradeframe.operators.metrics import answer_counts, metrics_of_counts
 from gradeframe.operators.resume import pending
 from gradeframe.plans.evaluate import group_figures, metrics_of_figures
 from gradeframe.sources.parts import Folder
-from gradeframe.sources.tables import existing_results, remove_path, scratch_path
+from gradeframe.sources.tables import existing_results, remove_path, scratch_path, staged
 from gradeframe.spec import EvalSpec, has_column
 from gradeframe.streaming.done_ids import first_batch_of_each, use_rocksdb
 
@@ -66,16 +66,22 @@ def stream_score(
     """
     if not re.fullmatch(r"[A-Za-z][\w.-]*", stream_name):
         raise ValueError("stream_name becomes a folder name: a letter, then letters, digits, _ . - only")
-    scratch = scratch_path(items.sparkSession, "done-ids")
+    scratch, fresh_path = (scratch_path(items.sparkSession, name) for name in ("done-ids", "fresh"))
     named = has_column(items, spec.id_col)
     if named:
         use_rocksdb(items.sparkSession)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        others = _other_streams(batch.sparkSession, path, stream_name) if named else None
+        spark = batch.sparkSession
+        others = _other_streams(spark, path, stream_name) if named else None
+        if named:
+            # A scorer may read its items more than once; the state is gone through once.
+            batch = staged(batch, "fresh", fresh_path)
         if others is not None:
             batch = pending(batch, others, spec.id_col, scratch=scratch)
         scorer(batch).write.mode("overwrite").parquet(f"{path}/{_STREAM}={stream_name}/{_BATCH}={batch_id}")
+        if named:
+            remove_path(spark, fresh_path)
 
     fresh = first_batch_of_each(items, spec.id_col) if named else items
     return fresh.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)

@@ -441,6 +441,25 @@ def test_a_batch_reads_nothing_of_what_its_stream_wrote(spark, tmp_path):
     assert ids(gf.read_stream_results(spark, str(out))) == sorted(["1", "2", "2", "3", "3", None, None], key=repr)
 
 
+def test_the_state_of_a_stream_is_gone_through_once(spark, tmp_path):
+    """A scorer that reads its items twice does not have them looked up and entered twice; rows of an id in any order stay together."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    said = spark.createDataFrame([(str(i), "Answer: C") for i in range(40)], "id string, response string")
+    entered, want = [], []
+    for first in (0, 20):
+        group = [str(i) for i in range(first, first + 40)] * 2 + ["hot"] * 3000 + [None] * 5
+        items_of(spark, group).coalesce(1).write.mode("append").parquet(src)
+        want += [str(i) for i in range(first if first == 0 else 40, first + 40)] * 2 + ["hot"] * (3000 if first == 0 else 0) + [None] * 5
+        query = gf.stream_score(
+            gf.read_stream(spark, src, items_of(spark, []).schema), SPEC,
+            lambda todo: gf.score_recorded(todo, said, SPEC, unique=True), out, str(tmp_path / "progress"), "a",
+        ).trigger(availableNow=True).start()
+        query.awaitTermination()
+        entered.append(sum(o.numRowsUpdated for p in query.recentProgress for o in p.stateOperators))
+    assert sorted(ids(gf.read_stream_results(spark, out)), key=repr) == sorted(want, key=repr)
+    assert entered == [41, 20]
+
+
 def test_metrics_stream_equals_batch(spark, tmp_path):
     rows = [(g, a, "A") for g in ("x", "y", None) for a in ("A", "B", None, "A")]
     results = spark.createDataFrame(rows, "grp string, LLM_answer string, gold string")

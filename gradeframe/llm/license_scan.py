@@ -8,12 +8,13 @@ set so that no more than ``false_share`` of ordinary paragraphs reach it. What
 is predicted is confirmed if it shares enough word pairs with a notice of the
 family.
 
-Everything runs in DataFrame functions and Spark ML; scoring is one projection
-over the paragraphs, and only predicted paragraphs are grouped by document.
+Everything runs in DataFrame functions and Spark ML. ``scan`` turns all
+paragraphs into n-gram vectors once and writes them out for both training and
+scoring; only predicted paragraphs are grouped by document.
 
-Training rows are bounded: the notices and pieces of them, and paragraphs of
-``sample_docs`` documents (those with the smallest id hashes), at most
-``sample_paragraphs``.
+The notices and pieces of them are trained against all distinct paragraphs of
+the table (told apart by a 64-bit hash and their n-grams): one half, chosen by
+hash, for the class of other text, the other half for the threshold.
 
 Cases: NULL and empty texts have no paragraphs and no licence. A document with
 several families gets the one with the most confirmed paragraphs, then the
@@ -41,8 +42,6 @@ _WORD = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"
 class LicenseScan:
     notices: tuple[tuple[str, str], ...] = NOTICES
     piece_words: tuple[int, ...] = (8, 14)
-    sample_docs: int = 3000
-    sample_paragraphs: int = 6000
     false_share: float = 0.001
     # Shared word pairs of the smaller of paragraph and notice that confirm a prediction.
     overlap: float = 0.7
@@ -72,66 +71,114 @@ def _notices(spark: SparkSession, job: LicenseScan) -> DataFrame:
     return spark.range(1).select(F.explode(rows).alias("r")).select("r.family", words_of(F.col("r.text")).alias("words"))
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    """Shared elements as a share of the smaller set."""
-    return F.try_divide(F.size(F.array_intersect(a, b)), F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b))))
+def _overlap(shared: Column, n_pairs: Column, notice: Column) -> Column:
+    """The number of shared word pairs as a share of the smaller set."""
+    return F.coalesce(F.try_divide(shared, F.least(n_pairs, F.size(notice))), F.lit(0.0))
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("grams", F.concat("words", "pairs"))
+def _common(shared: str, notice: Column) -> Column:
+    """How many of the distinct pairs a notice has."""
+    return F.size(F.filter(shared, lambda p: F.array_contains(notice, p)))
 
 
-def _least_share(rows: int, wanted: int) -> int:
-    """A 64-bit hash below which some more than the wanted number of rows fall: tasks keep and send only those.
-
-    With a margin of eight standard deviations fewer are practically never left.
-    """
-    share = (wanted + 8 * wanted ** 0.5) / max(rows, 1)
-    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+def _families(job: LicenseScan) -> tuple[str, ...]:
+    return tuple(sorted({f for f, _ in job.notices}))
 
 
-def train(docs: DataFrame, job: LicenseScan = LicenseScan(), id_col: str = "doc_id", text_col: str = "text") -> LicenseModel:
-    """Notices against a bounded sample of the documents' own paragraphs."""
-    spark = docs.sparkSession
-    notices = _notices(spark, job).withColumn("pairs", pairs_of(F.col("words")))
+def _known(spark: SparkSession, job: LicenseScan) -> DataFrame:
+    """label (from 1) and grams of the notices and of pieces of them."""
     pieces = [F.array(F.col("words"))]
     for size in job.piece_words:
         starts = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)), F.lit(max(1, size // 4)))
         pieces.append(F.transform(starts, lambda i, size=size: F.slice("words", i + 1, size)))
-    known = notices.select("family", F.explode(F.array_distinct(F.flatten(F.array(*pieces)))).alias("words"))
-    hashed = docs.where(F.col(text_col).isNotNull()).select(
-        F.xxhash64(F.col(id_col).cast("string"), F.lit(job.seed)).alias("h"), F.col(text_col).alias("text"))
-    picked = hashed.where(F.col("h") <= _least_share(docs.count(), job.sample_docs)).orderBy("h").limit(job.sample_docs)
-    lines = picked.select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "").distinct()
-    lines = lines.orderBy(F.xxhash64("line", F.lit(job.seed)), "line").limit(job.sample_paragraphs)
-    lines = lines.select(F.xxhash64("line", F.lit(job.seed + 1)).alias("h"), words_of(F.col("line")).alias("words")) \
-        .withColumn("pairs", pairs_of(F.col("words")))
-    # Paragraphs that are notices do not stand for other text.
-    near = F.exists(F.col("all"), lambda n: F.coalesce(_overlap(F.col("pairs"), n), F.lit(0.0)) >= job.overlap / 2)
-    every = notices.agg(F.collect_list("pairs").alias("all"))
-    other = staged(lines.join(F.broadcast(every), F.lit(True), "left").where(~near).drop("all"), "paragraphs")
-    families = tuple(sorted({f for f, _ in job.notices}))
-    label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double")
-    positive = _features(known.withColumn("pairs", pairs_of(F.col("words")))).select(label.alias("label"), "grams")
-    negative = _features(other.where("pmod(h, 2) = 0")).select(F.lit(0.0).alias("label"), "grams")
-    rows = staged(positive.unionByName(negative).coalesce(2), "training")
+    known = _notices(spark, job).select("family", F.explode(F.array_distinct(F.flatten(F.array(*pieces)))).alias("words"))
+    label = F.array_position(F.array(*[F.lit(f) for f in _families(job)]), F.col("family")).cast("double")
+    return known.select(label.alias("label"), F.concat("words", pairs_of(F.col("words"))).alias("grams"))
+
+
+def _vocabulary(spark: SparkSession, job: LicenseScan) -> CountVectorizerModel:
+    return CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=50_000).fit(_known(spark, job))
+
+
+def _paragraphs(docs: DataFrame, grams: CountVectorizerModel, job: LicenseScan, id_col: str, text_col: str) -> DataFrame:
+    """id, row (hash of the text), paragraph number, h (hash of the line, NULL if blank), shared, n_pairs, near and features.
+
+    ``shared`` are the distinct word pairs that notices have too, ``n_pairs`` the number of all (0 without shared ones).
+    """
+    # The notices are a fixed list.
+    pairs = _notices(docs.sparkSession, job).select(F.array_distinct(pairs_of(F.col("words"))).alias("p")).collect()
+    notices = [list(p) for p in sorted({tuple(r.p) for r in pairs if r.p})]
+    every = sorted({p for notice in notices for p in notice})
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.split(text_col, "\n").alias("lines"))
+    lines = rows.select("id", "row", F.posexplode("lines").alias("paragraph", "line"))
+    split = lines.select(
+        "id", "row", "paragraph", F.when(F.trim("line") != "", F.xxhash64("line", F.lit(job.seed + 1))).alias("h"),
+        words_of(F.col("line")).alias("words")).withColumn("pairs", pairs_of(F.col("words")))
+    split = split.withColumn("shared", F.array_distinct(F.filter("pairs", lambda p: p.isin(every))))
+    split = split.withColumn("n_pairs", F.when(F.size("shared") > 0, F.size(F.array_distinct("pairs"))).otherwise(0))
+    # Paragraphs that are notices do not stand for other text. The pairs shared with all notices
+    # bound those shared with one, so few notices are compared.
+    least = job.overlap / 2
+    sized = F.array(*[F.struct(F.lit(len(n)).alias("n"), F.lit(n).alias("pairs")) for n in notices])
+    near = F.exists(sized, lambda n: (
+        (F.size("shared") >= F.least("n_pairs", n["n"]) * (least - 1e-9))
+        & (_overlap(_common("shared", n["pairs"]), F.col("n_pairs"), n["pairs"]) >= least)))
+    near = F.when(F.size("shared") > 0, near).otherwise(F.lit(least <= 0))
+    return grams.transform(split.select(
+        "id", "row", "paragraph", "h", "shared", "n_pairs", near.alias("near"), F.concat("words", "pairs").alias("grams"))).drop("grams")
+
+
+def train(docs: DataFrame, job: LicenseScan = LicenseScan(), id_col: str = "doc_id", text_col: str = "text") -> LicenseModel:
+    """Notices against all of the documents' own paragraphs."""
+    grams = _vocabulary(docs.sparkSession, job)
+    return _fitted(staged(_paragraphs(docs, grams, job, id_col, text_col), "vectors"), grams, job)
+
+
+def _fitted(paragraphs: DataFrame, grams: CountVectorizerModel, job: LicenseScan) -> LicenseModel:
+    families = _families(job)
+    other = staged(paragraphs.where(F.col("h").isNotNull() & ~F.col("near")).select("h", "features").distinct(), "paragraphs")
+    positive = grams.transform(_known(paragraphs.sparkSession, job).coalesce(1)).select("label", "features")
+    rows = positive.unionByName(other.where("pmod(h, 2) = 0").select(F.lit(0.0).alias("label"), "features"))
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(1.0)
     for value, n in counts.items():
         # All classes weigh alike, but for text that is no licence.
         share = F.when(F.col("label") == value, (len(families) if value == 0 else 1) / n).otherwise(share)
-    grams = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=50_000).fit(rows.where("label > 0"))
     fitted = LogisticRegression(weightCol="weight", maxIter=80, regParam=2e-4, elasticNetParam=0.5, family="multinomial")
-    classes = fitted.fit(grams.transform(rows.withColumn("weight", share * 100)).coalesce(2))
+    classes = fitted.fit(rows.withColumn("weight", share * 100))
     model = LicenseModel(grams, classes, families, 0.5)
-    held = _scored(_features(other.where("pmod(h, 2) = 1")), model)
-    reached = held.agg(F.percentile("probability", 1 - job.false_share)).first()[0]
-    return LicenseModel(grams, classes, families, max(0.5, reached or 0.0))
+    held = staged(_scored(other.where("pmod(h, 2) = 1"), model).select("probability"), "held")
+    return LicenseModel(grams, classes, families, max(0.5, _percentile(held, 1 - job.false_share) or 0.0))
+
+
+def _percentile(values: DataFrame, share: float) -> float | None:
+    """The exact percentile of the only column, interpolated as by Spark's ``percentile``; None without values.
+
+    The range is narrowed by counts of bins, so that neither a task nor the driver holds all values.
+    """
+    v = F.col(values.columns[0])
+    n, low, high = values.agg(F.count(v), F.min(v), F.max(v)).first()
+    if not n:
+        return None
+    place = share * (n - 1)
+    rank, below = int(place), 0
+    while low < high:
+        number = F.floor((v - low) / (high - low) * 1024)
+        bins = values.where(v.between(low, high)).groupBy(number).agg(
+            F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).orderBy("low").collect()
+        for b in bins:
+            if rank < below + b.n:
+                break
+            below += b.n
+        low, high = b.low, b.high
+    reached, above = values.agg(F.count_if(v <= low), F.min(F.when(v > low, v))).first()
+    after = above if reached <= rank + 1 and above is not None else low
+    return low if place == rank else (rank + 1 - place) * low + (place - rank) * after
 
 
 def _scored(rows: DataFrame, model: LicenseModel) -> DataFrame:
     """rows with family (the likeliest) and probability; the class of other text has no part in the choice."""
-    found = model.classes.transform(model.grams.transform(rows))
+    found = model.classes.transform(rows)
     all_p = vector_to_array("probability")
     own = F.slice(all_p, 2, len(model.families))
     best = F.array_max(own)
@@ -144,22 +191,24 @@ def licensed_paragraphs(
     docs: DataFrame, model: LicenseModel, job: LicenseScan = LicenseScan(), id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """id, row (hash of the text), paragraph number, family, probability and confirmed of paragraphs that reach the threshold."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.split(text_col, "\n").alias("lines"))
-    lines = rows.select("id", "row", F.posexplode("lines").alias("paragraph", "line"))
-    split = lines.select("id", "row", "paragraph", words_of(F.col("line")).alias("words")).withColumn("pairs", pairs_of(F.col("words")))
-    found = _scored(_features(split), model).where(F.col("probability") >= model.threshold).drop("grams", "words")
+    return _licensed(_paragraphs(docs, model.grams, job, id_col, text_col), model, job)
+
+
+def _licensed(paragraphs: DataFrame, model: LicenseModel, job: LicenseScan) -> DataFrame:
+    found = _scored(paragraphs, model).where(F.col("probability") >= model.threshold)
     # One row per notice, a fixed list.
-    notices = _notices(docs.sparkSession, job).select("family", pairs_of(F.col("words")).alias("notice"))
+    notices = _notices(paragraphs.sparkSession, job).select("family", F.array_distinct(pairs_of(F.col("words"))).alias("notice"))
     of_family = notices.groupBy("family").agg(F.collect_list("notice").alias("notices"))
     compared = found.join(F.broadcast(of_family), "family")
-    near = F.exists("notices", lambda n: F.coalesce(_overlap(F.col("pairs"), n), F.lit(0.0)) >= job.overlap)
+    near = F.exists("notices", lambda n: _overlap(_common("shared", n), F.col("n_pairs"), n) >= job.overlap)
     return compared.select("id", "row", "paragraph", "family", "probability", near.alias("confirmed"))
 
 
 def scan(docs: DataFrame, job: LicenseScan = LicenseScan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, family ("unknown" without a confirmed paragraph), probability, n_confirmed, n_unconfirmed, one row per row."""
-    model = train(docs, job, id_col, text_col)
-    found = licensed_paragraphs(docs, model, job, id_col, text_col)
+    grams = _vocabulary(docs.sparkSession, job)
+    paragraphs = staged(_paragraphs(docs, grams, job, id_col, text_col), "vectors")
+    found = _licensed(paragraphs, _fitted(paragraphs, grams, job), job)
     by_family = found.groupBy("id", "row", "family").agg(
         F.sum(F.col("confirmed").cast("int")).alias("yes"), F.sum((~F.col("confirmed")).cast("int")).alias("no"),
         F.max(F.when(F.col("confirmed"), F.col("probability"))).alias("p"))

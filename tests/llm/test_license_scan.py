@@ -1,7 +1,7 @@
 """Licence scan: held-out phrasings, planted lines and odd rows; no Python in the plan."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from gradeframe.llm import license_scan as ls
 
@@ -53,3 +53,28 @@ def test_pairs(spark):
     df = spark.createDataFrame([("A b, C-d.",), ("one",), ("",)], "t string")
     got = [r.p for r in df.select(ls.pairs_of(ls.words_of(F.col("t"))).alias("p")).collect()]
     assert got == [["a b", "b c-d"], [], []]
+
+
+def test_text_beyond_the_first_thousands_of_documents_counts(spark):
+    # Ordinary lines that name a licence's words stand in the documents with the highest id hashes only.
+    rank = F.row_number().over(Window.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(0))))
+    plain = F.concat(F.lit("Some words about river "), "doc_id", F.lit(" and the weather of the last days."))
+    odd = F.concat(F.lit("The MIT campus has hall "), "doc_id", F.lit(" where visitors were seen."))
+    docs = spark.range(3600).select(F.col("id").alias("doc_id")) \
+        .select("doc_id", F.when(rank > 3200, odd).otherwise(plain).alias("text")).localCheckpoint()
+    found = ls.scan(docs).agg(F.sum("n_confirmed").alias("yes"), F.sum("n_unconfirmed").alias("no")).first()
+    assert found.yes == 0
+    assert found.no <= 0.005 * 3600
+
+
+@pytest.mark.parametrize("share", [0.0, 0.37, 0.5, 0.999, 1.0])
+def test_percentile(spark, share):
+    rows = spark.range(1, 5001).select((F.pmod(F.xxhash64("id"), F.lit(3001)) / 3001).alias("p"))
+    # Ties, and values that only the last bit tells apart.
+    rows = rows.union(spark.createDataFrame([(0.5,)] * 700 + [(0.5000000000000001,)] * 300, "p double"))
+    want = rows.agg(F.percentile("p", share)).first()[0]
+    assert ls._percentile(rows, share) == pytest.approx(want, rel=1e-15)
+
+
+def test_percentile_of_nothing(spark):
+    assert ls._percentile(spark.createDataFrame([], "p double"), 0.5) is None
